@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, fusion, packing, split, topn
+from weft.llm import bpe, fusion, packing, split, topn, variants
 from weft.llm.tables import current_chunks, read, usable_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def p1_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_n(usable_hits(read(spark, sf_dir, "hits")), ["namespace", "query_id", "leg"], "chunk_id", "score", TOP)
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.linked_pairs(variants.name_classes(read(spark, sf_dir, "entities")))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.name_classes(read(spark, sf_dir, "entities"))
+
+
 def _chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = current_chunks(read(spark, sf_dir, "chunks"), "content", "section_path")
     return split.split_texts(chunks, "chunk_id", "content", sections="section_path")
@@ -70,7 +78,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_top_scores, p3_found, p3_chunk_pieces, p3_document_pieces, p7_found, p7_ranking, p8_ids, p9_containers]
+    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p7_found, p7_ranking, p8_ids, p9_containers]
     return {f.__name__: f for f in found}
 
 
