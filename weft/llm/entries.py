@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, fusion, packing, split, topn, variants
+from weft.llm import bpe, fusion, markup, packing, split, topn, variants
 from weft.llm.tables import current_chunks, read, usable_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def p3_document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.structure(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_texts(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p6_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_headings(read(spark, sf_dir, "chunks"), "chunk_id", "heading")
+
+
 def _legs(spark: SparkSession, sf_dir: str) -> dict[str, float]:
     """The legs of the table of legs, weighted alike; that table has one row per leg of the system."""
     return {r.leg: 1.0 for r in read(spark, sf_dir, "legs").select("leg").where("leg is not null").distinct().limit(64).collect()}
@@ -78,7 +90,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p7_found, p7_ranking, p8_ids, p9_containers]
+    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers]
     return {f.__name__: f for f in found}
 
 
