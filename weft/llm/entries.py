@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, fusion, markup, packing, split, topn, variants
+from weft.llm import bpe, fusion, knn, markup, packing, split, topn, variants
 from weft.llm.tables import current_chunks, read, usable_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,18 @@ def p3_document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(current_chunks(read(spark, sf_dir, "chunks"), "namespace", "vector"), "namespace", "chunk_id", "vector")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.similar_pairs(_neighbours(spark, sf_dir), "chunk_id", 0.9)
+
+
+def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).select("namespace", "chunk_id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.structure(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -90,7 +102,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers]
+    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p4_found, p4_neighbours, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers]
     return {f.__name__: f for f in found}
 
 
@@ -116,6 +128,17 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _TOP.format(columns="namespace, query_id, leg, chunk_id"),
         "p1_top_scores": _TOP.format(columns="namespace, query_id, leg, chunk_id, score, CAST(rank AS INTEGER) AS rank"),
         "p3_found": f"WITH {_CURRENT} SELECT chunk_id FROM current WHERE length(trim(content, E' \\t\\r\\n')) > 1200",
+        "p4_found": """WITH newest AS (
+  SELECT chunk_id, namespace, vector FROM (
+    SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC, namespace DESC, vector DESC) AS v FROM chunks WHERE chunk_id IS NOT NULL) WHERE v = 1),
+usable AS (
+  SELECT chunk_id, namespace, list_transform(vector, lambda x: CAST(x AS DOUBLE)) AS v FROM newest
+  WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+ranked AS (
+  SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS c,
+    row_number() OVER (PARTITION BY a.chunk_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.chunk_id) AS rank
+  FROM usable a JOIN usable b ON a.namespace = b.namespace AND a.chunk_id <> b.chunk_id)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM ranked WHERE rank <= 5 AND c >= 0.9""",
         "p7_found": f"""{_PLACES}, unanimous AS (
   SELECT query_id, chunk_id FROM placed GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT leg) FROM legs) AND max(place) <= 3)
 SELECT query_id, min(chunk_id) AS chunk_id FROM unanimous GROUP BY query_id HAVING count(*) = 1""",
