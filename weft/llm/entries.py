@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, fusion, knn, markup, packing, split, topn, variants
+from weft.llm import bpe, fusion, knn, markup, packing, split, subjects, topn, variants
 from weft.llm.tables import current_chunks, read, usable_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,8 +101,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens, "doc_id", "n_tokens", CONTAINER, max(1, -(-size // SHARD_BYTES)))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_shares(spark, sf_dir).select("doc_id", "subject")
+
+
+def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = sorted(r.subject for r in read(spark, sf_dir, "subjects").where("subject is not null").distinct().limit(1000).collect())
+    return subjects.subjects_of(read(spark, sf_dir, "documents"), read(spark, sf_dir, "doc_labels"), names)
+
+
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p4_found, p4_neighbours, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers]
+    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p4_found, p4_neighbours, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers, p10_found, p10_shares]
     return {f.__name__: f for f in found}
 
 
