@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.session import cut
+
 # Common short and pet forms of given names.
 NICKNAMES = {
     "abigail": "abby abbie gail", "alexander": "alex al sandy sasha xander lex alec", "benjamin": "ben benny benji benjy", "charlotte": "lottie charlie lotte charly",
@@ -260,6 +262,8 @@ def name_classes(entities: DataFrame, entity_id: str = "entity_id", name: str =
 
     parsed = spelled.mapInPandas(parse, "_kind string, _name string, _rows bigint, _a string, _b string, _family string, _fixed boolean")
 
+    parsed = cut(parsed)  # read by each step below
+
     # Which words are given names: those that stand first more often than last.
     sides = parsed.where("_kind = 'person' and _a <> ''").select(F.explode(F.array(F.struct(F.col("_a").alias("w"), F.col("_rows").alias("g"), F.lit(0).cast("long").alias("s")), F.struct(F.col("_family").alias("w"), F.lit(0).cast("long").alias("g"), F.col("_rows").alias("s")))).alias("x"))
     use = sides.groupBy(F.col("x.w").alias("_w")).agg(F.sum("x.g").alias("_g"), F.sum("x.s").alias("_s"))
@@ -270,6 +274,7 @@ def name_classes(entities: DataFrame, entity_id: str = "entity_id", name: str =
         "_kind", "_name", "_rows", F.when(swap, F.col("_family")).otherwise(F.col("_a")).alias("_a"), "_b", F.when(swap, F.col("_a")).otherwise(F.col("_family")).alias("_family"), F.when(swap, F.col("_fg")).otherwise(F.coalesce("_ag", F.lit(0))).alias("_known")
     )
 
+    oriented = cut(oriented)
     # Rare family names go to the most frequent one that an edit explains.
     families = oriented.groupBy("_kind", "_family").agg(F.sum("_rows").alias("_n"))
     keys_of = F.udf(_keys, "array<string>")
@@ -284,6 +289,7 @@ def name_classes(entities: DataFrame, entity_id: str = "entity_id", name: str =
         .agg(F.max("_top").alias("_top"))
         .select("_kind", "_family", F.col("_top._head").alias("_head"))
     )
+    better = cut(better)
     # A head may itself be attached: two more steps reach the end of such a chain in practice.
     step = better.select("_kind", F.col("_family").alias("_head"), F.col("_head").alias("_next"))
     chain = better.join(step, ["_kind", "_head"], "left").select("_kind", "_family", F.coalesce("_next", "_head").alias("_head"))
