@@ -105,72 +105,64 @@ def fit(points: np.ndarray, cells: int, s: Settings) -> Index:
 def search(index: Index, queries: np.ndarray, items: np.ndarray, same: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, item, cosine) of the best items of each query; same[q] is the query's own item or -1.
 
-    Both are of unit length in double precision. All of a query's kept candidates come back, best
-    first by cosine, k or more where there are as many: the caller breaks ties.
+    Both are of unit length in double precision. All of a query's kept candidates come back, k or
+    more where there are as many: the caller orders them and breaks ties. Queries go through in
+    blocks, so that memory follows the items and not their product with the queries.
     """
-    q32, x32 = queries.astype(np.float32), items.astype(np.float32)
-    cell, codes = index.encode(x32)
+    cell, codes = index.encode(items.astype(np.float32))
     order = np.argsort(cell, kind="stable")
-    lists = np.split(order, np.searchsorted(cell[order], np.arange(1, len(index.centroids))))
-    filled = [c for c, members in enumerate(lists) if len(members)]
-    coarse = q32 @ index.centroids[filled].T
-    want = max(s.scan, len(items) // s.spread)
+    found = np.unique(cell)
+    lists = np.split(order, np.searchsorted(cell[order], found[1:]))
+    centroids = np.ascontiguousarray(index.centroids[found].T)
+    column = np.searchsorted(found, cell)
+    sizes = np.array([len(members) for members in lists])
+    want, keep = max(s.scan, len(items) // s.spread), max(s.rerank, 4 * k)
     width = index.books.shape[2]
-    keep = max(s.rerank, 4 * k)
-    if len(items) <= want:
-        probed = np.ones(coarse.shape, dtype=bool)
-    else:
-        sizes = np.array([len(lists[c]) for c in filled])
-        by = np.argsort(-coarse, axis=1, kind="stable")
-        before = np.cumsum(sizes[by], axis=1) - sizes[by]
-        probed = np.zeros(coarse.shape, dtype=bool)
-        np.put_along_axis(probed, by, before < want, axis=1)
-    found_q: list[np.ndarray] = []
-    found_x: list[np.ndarray] = []
-    found_a: list[np.ndarray] = []
-
-    def scan(rows: np.ndarray, base: np.ndarray, members: np.ndarray, most: int) -> None:
-        """Approximate cosines of some queries with some items by their tables; the best ones are noted."""
-        for at in range(0, len(rows), 1024):
-            some = rows[at : at + 1024]
-            near = base[at : at + 1024].copy()
-            for m, book in enumerate(index.books):
-                table = q32[some, m * width : (m + 1) * width] @ book.T
-                near += np.take(table, codes[members, m], axis=1)
-            if len(members) > most:
-                top = np.argpartition(-near, most - 1, axis=1)[:, :most]
-                near = np.take_along_axis(near, top, axis=1)
-                chosen = members[top]
-            else:
-                chosen = np.broadcast_to(members, near.shape)
-            found_q.append(np.repeat(some, near.shape[1]))
-            found_x.append(chosen.reshape(-1))
-            found_a.append(near.reshape(-1))
-
-    if probed.all():
-        place = np.empty(len(index.centroids), dtype=np.int64)
-        place[filled] = np.arange(len(filled))
-        column = place[cell[order]]
-        for at in range(0, len(queries), 1024):
-            rows = np.arange(at, min(at + 1024, len(queries)))
-            scan(rows, np.take(coarse[rows], column, axis=1), order, keep)
-    else:
-        for j, c in enumerate(filled):
-            rows = np.nonzero(probed[:, j])[0]
-            if len(rows):
-                scan(rows, np.repeat(coarse[rows, j : j + 1], len(lists[c]), axis=1), lists[c], min(keep, len(lists[c])))
-    qs, xs, near = np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_a)
-    other = same[qs] != xs
-    qs, xs, near = qs[other], xs[other], near[other]
-    by = np.lexsort((-near, qs))
-    qs, xs = qs[by], xs[by]
-    first = np.searchsorted(qs, np.arange(len(queries)))
-    rank = np.arange(len(qs)) - first[qs]
-    qs, xs = qs[rank < keep], xs[rank < keep]
-    cosine = np.empty(len(qs))
-    for at in range(0, len(qs), 65_536):
-        cosine[at : at + 65_536] = np.einsum("ij,ij->i", queries[qs[at : at + 65_536]], items[xs[at : at + 65_536]])
-    return qs, xs, np.clip(cosine, -1.0, 1.0)
+    out_q, out_x, out_c = [], [], []
+    for start in range(0, len(queries), 1024):
+        block = queries[start : start + 1024]
+        q32 = block.astype(np.float32)
+        coarse = q32 @ centroids
+        tables = [q32[:, m * width : (m + 1) * width] @ book.T for m, book in enumerate(index.books)]
+        rows = np.arange(len(block))
+        if len(items) <= want:
+            near = coarse[:, column]
+            for m, table in enumerate(tables):
+                near += np.take(table, codes[:, m], axis=1)
+            own = same[start : start + 1024]
+            near[rows[own >= 0], own[own >= 0]] = -np.inf
+            most = min(keep, len(items))
+            top = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(items) else np.broadcast_to(np.arange(len(items)), near.shape)
+            qs, xs = np.repeat(rows, most), top.reshape(-1)
+        else:
+            by = np.argsort(-coarse, axis=1, kind="stable")
+            before = np.cumsum(sizes[by], axis=1) - sizes[by]
+            probed = np.zeros(coarse.shape, dtype=bool)
+            np.put_along_axis(probed, by, before < want, axis=1)
+            some_q, some_x, some_near = [], [], []
+            for j, members in enumerate(lists):
+                asking = np.nonzero(probed[:, j])[0]
+                if not len(asking):
+                    continue
+                near = np.repeat(coarse[asking, j : j + 1], len(members), axis=1)
+                for m, table in enumerate(tables):
+                    near += table[asking[:, None], codes[members, m]]
+                most = min(keep, len(members))
+                top = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(members) else np.broadcast_to(np.arange(most), near.shape)
+                some_q.append(np.repeat(asking, most))
+                some_x.append(members[top].reshape(-1))
+                some_near.append(np.take_along_axis(near, top, axis=1).reshape(-1))
+            qs, xs, scores = np.concatenate(some_q), np.concatenate(some_x), np.concatenate(some_near)
+            by = np.lexsort((-scores, qs))
+            qs, xs = qs[by], xs[by]
+            rank = np.arange(len(qs)) - np.searchsorted(qs, rows)[qs]
+            qs, xs = qs[rank <= keep], xs[rank <= keep]
+        other = same[start + qs] != xs
+        qs, xs = qs[other], xs[other]
+        out_q.append(start + qs)
+        out_x.append(xs)
+        out_c.append(np.einsum("ij,ij->i", block[qs], items[xs]))
+    return np.concatenate(out_q), np.concatenate(out_x), np.clip(np.concatenate(out_c), -1.0, 1.0)
 
 
 def nearest(rows: DataFrame, group: str, key: str, vector: str, k: int = 5, dim: int = DIM, settings: Settings | None = None) -> DataFrame:
