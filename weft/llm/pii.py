@@ -29,8 +29,8 @@ KEEP = 300_000
 WEIGHTS = "pii_weights.npz"
 
 # A stretch ends at a line's end, after a Chinese full stop, or after a sentence's mark that follows a
-# word of four letters or more, as abbreviations are shorter, and comes before a capital.
-_STRETCH = re.compile(r"(?<=[\n\r。！？])|(?<=[^\W\d_]{4}[.!?] )(?=[^\W\d_a-zß-ÿ¿])|(?<=[^\W\d_]{4}[.!?])(?=<)|(?<=>)(?=[^\W\d_a-z])")
+# word of four letters or more, as abbreviations are shorter, and comes before a capital or a tag.
+_MARK = re.compile(r"[。！？](?=.)|[.!?](?: (?=[^\W\d_a-zß-ÿ¿])|(?=<))|>(?=[^\W\d_a-z])")
 
 
 @dataclass
@@ -53,18 +53,22 @@ class Network:
         half = np.r_[np.full(3 * hidden, 0.5), np.ones(hidden)].astype(np.float32)
         self.table = [np.ascontiguousarray((self.embed @ w + b) * half) for w, b in zip(self.w, self.b)]
         self.state = [np.ascontiguousarray(u * half) for u in self.u]
-        self.quiet = 2 * max(0.0, float((self.trans - self.trans[0, 0]).max()))
-        self.codes: dict[str, int] = {}
-
-    def encode(self, text: str) -> list[int]:
-        codes = self.codes
-        out = []
-        for c in text:
-            i = codes.get(c)
-            if i is None:
-                i = codes[c] = code(c, self.chars)
-            out.append(i)
-        return out
+        stay = float(self.trans[0, 0])
+        self.enter = (self.trans[0, 1:] - stay).astype(np.float32)
+        self.opening = np.maximum(self.first[1:] - self.first[0], self.enter).astype(np.float32)
+        self.within = float(self.trans[1:, 1:].max()) - stay
+        # a run at the end of a text needs no step out of it, and is spared one that stays
+        self.leave = max(0.0, float(self.trans[1:, 0].max()) - stay, -stay) + 1e-3
+        self.places = np.full(0x110000, -1, dtype=np.int32)
+
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The places of each text's characters."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32)
+        places = self.places[points]
+        if (new := np.unique(points[places < 0])).size:
+            self.places[new] = [code(chr(c), self.chars) for c in new.tolist()]
+            places = self.places[points]
+        return np.split(places, np.cumsum([len(t) for t in texts])[:-1])
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tag scores (time, text, tag) of padded texts (time, text), longest first."""
@@ -97,20 +101,39 @@ class Network:
         total += self.bias
         return total
 
-    def decode(self, scores: np.ndarray) -> np.ndarray:
-        """The best tags of one text by Viterbi; scores is (time, tag)."""
-        if ((scores[:, 1:].max(axis=1) - scores[:, 0]) + self.quiet < 0).all():
-            return np.zeros(len(scores), dtype=np.int64)  # no path can beat "nothing here"
-        best = self.first + scores[0]
-        back = np.empty(scores.shape, dtype=np.int64)
+    def loud(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which padded texts could hold anything: in the others no run of tags outscores "nothing here".
+
+        The bound takes each run's best start, best tags and best steps inside and out of it, whether
+        or not they go together, so it never misses a run that Viterbi would choose.
+        """
+        nothing = scores[:, :, 0]
+        begin = (scores[:, :, 1:] + self.enter).max(axis=2) - nothing
+        inside = scores[:, :, 1:].max(axis=2) - nothing + self.within
+        run = (scores[0, :, 1:] + self.opening).max(axis=1) - nothing[0]
+        best = run.copy()
         for t in range(1, len(scores)):
-            ways = best[:, None] + self.trans
-            back[t] = ways.argmax(axis=0)
-            best = ways.max(axis=0) + scores[t]
-        tags = np.empty(len(scores), dtype=np.int64)
-        tags[-1] = best.argmax()
-        for t in range(len(scores) - 1, 0, -1):
-            tags[t - 1] = back[t, tags[t]]
+            run = np.maximum(begin[t], run + inside[t])
+            np.maximum(best, np.where(t < lengths, run, -np.inf), out=best)
+        return best + self.leave >= 0
+
+    def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The best tags (time, text) of padded texts by Viterbi; scores is (time, text, tag)."""
+        t_max, n, _ = scores.shape
+        into = np.ascontiguousarray(self.trans.T.astype(np.float32))
+        best = self.first.astype(np.float32) + scores[0]
+        back = np.empty((t_max, n, len(TAGS)), dtype=np.int8)
+        rows = np.arange(n)
+        for t in range(1, t_max):
+            ways = best[:, None, :] + into
+            back[t] = ways.argmax(axis=2)
+            step = np.take_along_axis(ways, back[t][:, :, None].astype(np.int64), axis=2)[:, :, 0] + scores[t]
+            best = np.where((t < lengths)[:, None], step, best)
+        tags = np.zeros((t_max, n), dtype=np.int64)
+        tags[lengths - 1, rows] = best.argmax(axis=1)
+        for t in range(t_max - 1, 0, -1):
+            inside = t < lengths
+            tags[t - 1] = np.where(inside, back[t, rows, tags[t]], tags[t - 1])
         return tags
 
 
@@ -135,12 +158,20 @@ def load(data: bytes) -> Network:
 
 def stretches(text: str) -> list[tuple[int, str]]:
     """(start, text) of the sentences and lines, blanks at their ends left out."""
-    out, at = [], 0
-    for part in _STRETCH.split(text):
-        body = part.strip()
-        if body:
-            out.append((at + len(part) - len(part.lstrip()), body))
-        at += len(part)
+    out: list[tuple[int, str]] = []
+    start = 0
+    for line in text.splitlines(keepends=True):
+        cuts = []
+        for m in _MARK.finditer(line):
+            if m[0][0] not in ".!?" or line[max(0, m.start() - 4) : m.start()].isalpha() and m.start() >= 4:
+                cuts.append(m.end())
+        at = 0
+        for cut in [*cuts, len(line)]:
+            part = line[at:cut]
+            if body := part.strip():
+                out.append((start + at + len(part) - len(part.lstrip()), body))
+            at = cut
+        start += len(line)
     return out
 
 
@@ -164,14 +195,15 @@ class Reader:
     def read(self, texts: Sequence[str]) -> None:
         """Fill ``seen`` with the spans of these texts: all windows of similar length go through the network together."""
         net = self.network
-        windows: list[tuple[int, int, list[int]]] = []
-        for k, text in enumerate(texts):
-            ids = net.encode(text)
+        if not texts:
+            return
+        windows: list[tuple[int, int, np.ndarray]] = []
+        for k, ids in enumerate(net.encode(texts)):
             step = WINDOW - OVERLAP
             for at in range(0, max(1, len(ids) - OVERLAP), step) if len(ids) > WINDOW else (0,):
                 windows.append((k, at, ids[at : at + WINDOW]))
         windows.sort(key=lambda w: -len(w[2]))
-        scores: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        blended: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for at in range(0, len(windows), 512):
             batch = windows[at : at + 512]
             lengths = np.array([len(w[2]) for w in batch])
@@ -179,20 +211,26 @@ class Reader:
             for j, (_, _, w) in enumerate(batch):
                 ids[: len(w), j] = w
             got = net.emissions(ids, lengths)
-            loud = got[:, :, 1:].max(axis=2) - got[:, :, 0] + net.quiet >= 0
-            loud &= np.arange(lengths[0])[:, None] < lengths
-            any_loud = loud.any(axis=0)
-            for j, (k, start, w) in enumerate(batch):
-                if len(texts[k]) <= WINDOW:
-                    self.seen[texts[k]] = self._checked(texts[k], net.decode(got[: len(w), j])) if any_loud[j] else ()
-                    continue
-                if k not in scores:
-                    scores[k] = np.zeros((len(texts[k]), len(TAGS))), np.zeros(len(texts[k]))
-                edge = np.minimum(np.arange(1, len(w) + 1), np.arange(len(w), 0, -1)).astype(float)
-                scores[k][0][start : start + len(w)] += got[: len(w), j] * edge[:, None]
-                scores[k][1][start : start + len(w)] += edge
-        for k, (total, weight) in scores.items():
-            self.seen[texts[k]] = self._checked(texts[k], net.decode(total / weight[:, None]))
+            loud = net.loud(got, lengths)
+            whole = np.array([len(texts[k]) <= WINDOW for k, _, _ in batch])
+            some = np.nonzero(loud & whole)[0]
+            tags = net.decode(got[:, some], lengths[some]) if len(some) else None
+            for j in np.nonzero(whole)[0].tolist():
+                self.seen[texts[batch[j][0]]] = ()
+            for column, j in enumerate(some.tolist()):
+                text = texts[batch[j][0]]
+                self.seen[text] = self._checked(text, tags[: len(text), column])
+            for j in np.nonzero(~whole)[0].tolist():
+                k, start, w = batch[j]
+                if k not in blended:
+                    blended[k] = np.zeros((len(texts[k]), len(TAGS)), np.float32), np.zeros(len(texts[k]), np.float32)
+                edge = np.minimum(np.arange(1, len(w) + 1), np.arange(len(w), 0, -1)).astype(np.float32)
+                blended[k][0][start : start + len(w)] += got[: len(w), j] * edge[:, None]
+                blended[k][1][start : start + len(w)] += edge
+        for k, (total, weight) in blended.items():
+            scores = total / weight[:, None]
+            found = net.decode(scores[:, None], np.array([len(scores)]))[:, 0]
+            self.seen[texts[k]] = self._checked(texts[k], found)
 
     @staticmethod
     def _checked(text: str, tags: np.ndarray) -> tuple[tuple[int, int, str], ...]:
@@ -209,9 +247,9 @@ class Reader:
 
 # ---------------------------------------------------------------- exact checks
 
-_LABEL = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|M|Frau|Herr|Sra?|Dra?)\.? |mailto:|tel:|[\"'“„«<(\[{]+)+", re.I)
+_LABEL = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Frau|Herr|Sra?|Dra?)\.? |mailto:|tel:|[\"'“„«<(\[{]+)+", re.I)
 _AT, _DOT = r"(?:\s?(?:@|\[at\]|\(at\)|\{at\}|＠)\s?|\s+at\s+)", r"(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?|\s+dot\s+)"
-_EMAIL = re.compile(rf"[\w.+%-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+", re.I)
+_EMAIL = re.compile(rf"[A-Za-z0-9_.+%-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
 _IP = re.compile(r"(?:\d{1,3}(?:\.|\[\.\])){3}\d{1,3}")
 _GROUPS = re.compile(r"[+(]?\d[\d ().\-/]*\d")
 

@@ -10,6 +10,7 @@ rather than values. A tenth of the documents is held out to measure what was lea
 
 from __future__ import annotations
 
+import io
 import random
 import re
 import sys
@@ -22,7 +23,7 @@ import pandas as pd
 
 from weft.llm.pii import KINDS, TAGS, WEIGHTS, WINDOW, Network, Reader, load, stretches
 
-EMBED, HIDDEN = 16, 32
+EMBED, HIDDEN = 16, 20
 
 _U = r"[A-ZÀ-ÖØ-Þ]"
 _WORD = rf"(?:{_U}['’]?[\w'’]+(?:-{_U}?[\w'’]+)*)"
@@ -31,20 +32,20 @@ _NAME = rf"(?:{_WORD}, {_WORD}(?: {_U}\.)?|{_U}\.(?: ?{_U}\.)* {_WORD}|{_WORD}(?
 _FREE = rf"(?:{_ANY}|{_U}\.)(?:,? (?:{_ANY}|{_U}\.)){{1,3}}"
 _HANNAME = r"[㐀-鿿]{2,4}"
 _AT, _DOT = r"(?: ?(?:@|\[at\]|\(at\)) ?| at )", r"(?:\.| ?(?:\[dot\]|\(dot\)) ?| dot )"
-_MAIL = rf"[\w.+%-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,3}}"
+_MAIL = rf"[A-Za-z0-9_.+%-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+){{1,3}}"
 _NUM = r"[+(]?\d[\d ().\-/]*\d"
 _TOWN = rf"{_WORD}(?:-{_WORD})*"
 
 #: (kind, pattern): group 1 is the labelled span.
 FUNCTIONS: list[tuple[str, re.Pattern[str]]] = [
     *(("email", re.compile(p, re.I)) for p in (
-        r"(?<![\w.+@-])([\w.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b)",
+        r"(?<![A-Za-z0-9_.+@-])([A-Za-z0-9_.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b)",
         rf"(?:Write to|Replies went to|Contact ?:|Kontakt:|Contacto:|cc|bitte an|Escriba a|Écrire à|联系|邮箱:) ?<?({_MAIL})")),
     *(("phone", re.compile(p)) for p in (
         rf"(?:Call|Phone|answers on|tel:|T[ée]l\.|Telefonisch unter|Joignable au|Llame al|电话|致电) ?({_NUM})",)),
     *(("ssn", re.compile(p)) for p in (rf"(?:SSN(?: is)?\)?|social security number:) ?({_NUM})",)),
     *(("id_number", re.compile(p)) for p in (
-        r"(?:National ID|identity card|Passport no\.|Ausweisnummer|Documento de identidad|Pièce d['’]identité n°|身份证号) ?([A-Z]{2}\d{7}|[A-Z]{2}(?: \d\d){3} [A-Z]|(?=[A-Z]*\d)[A-Z0-9]{8,12}|\d{8}-[A-Z]|\d\d(?: \d+)+|\d{17}[\dX])",)),
+        r"(?:National ID|identity card|Passport no\.|Ausweisnummer|Documento de identidad|Pièce d['’]identité n°|身份证号) ?([A-Z]{2}\d{7}|[A-Z]{2}(?: \d\d){3} [A-Z]|\d{17}[\dX]|\d{8}-[A-Z]|\d\d(?: \d+)+|(?=[A-Z]*\d)[A-Z0-9]{8,12})",)),
     *(("credit_card", re.compile(p)) for p in (rf"(?:card number|Paid with card|Bezahlt mit Karte|Payé par carte|Pagado con la tarjeta|付款卡号) ?({_NUM})",)),
     *(("ipv4", re.compile(p)) for p in (r"(?:Client|came from|Anmeldung von|connexion depuis|acceso vino de|登录来自) ?(\d{1,3}(?:\.\d{1,3}){3})",)),
     *(("address", re.compile(p)) for p in (
@@ -74,21 +75,28 @@ def label(text: str) -> list[tuple[int, int, str]]:
 
 
 def varied(text: str, spans: list[tuple[int, int, str]], rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
-    """A copy with other digits, and other letters in the words of its names."""
-    chars = list(text)
-    for i, c in enumerate(chars):
-        if c.isdigit():
-            chars[i] = rng.choice("0123456789")
+    """A copy with other digits, other letters in names and addresses of mail, and names typed in other ways."""
+    out, moved, at = [], [], 0
+    digits = lambda s: "".join(rng.choice("0123456789") if c.isdigit() else c for c in s)
+    swap = {**dict.fromkeys("aeiou", "aeiou"), **dict.fromkeys("bcdfghjklmnpqrstvwxz", "bcdfghjklmnpqrstvwxz")}
     for a, b, kind in spans:
-        if kind == "ipv4":
-            chars[a:b] = list(text[a:b])
-        if kind in ("name", "email"):
-            for i in range(a, b):
-                if chars[i] in "aeiou" and rng.random() < 0.4:
-                    chars[i] = rng.choice("aeiou")
-                elif chars[i] in "bcdfghjklmnpqrstvwxz" and rng.random() < 0.3:
-                    chars[i] = rng.choice("bcdfghjklmnpqrstvwxz")
-    return "".join(chars), spans
+        out.append(digits(text[at:a]))
+        body = text[a:b]
+        if kind == "name":
+            body = "".join(rng.choice(swap[c]) if c in swap and rng.random() < 0.35 else c for c in body)
+            if " " in body and rng.random() < 0.2:
+                first, _, last = body.rpartition(" ")
+                body = f"{first} {rng.choice(['de', 'van', 'von', 'da', 'del'])} {last}" if "," not in body else body
+            body = rng.choice([body, body, body, body, body, body.upper(), body.lower()])
+        elif kind == "email":
+            body = "".join(rng.choice(swap[c]) if c in swap and rng.random() < 0.25 and i < len(body) // 2 else c for i, c in enumerate(body))
+        elif kind != "ipv4":
+            body = digits(body)
+        start = sum(map(len, out))
+        out.append(body)
+        moved.append((start, start + len(body), kind))
+        at = b
+    return "".join(out) + digits(text[at:]), moved
 
 
 def adam(params: dict[str, np.ndarray], rate: float):
@@ -198,9 +206,9 @@ def examples(texts: list[str], rng: random.Random) -> list[tuple[str, list[tuple
         if len(s) > 400:
             continue
         loud = spans or re.search(r"\d{3}|@", s)
-        if loud or rng.random() < 0.12:
+        if loud or rng.random() < 0.2:
             out.append((s, spans))
-            if loud and rng.random() < 0.6:
+            for _ in range(2 if any(k == "name" for _, _, k in spans) else int(bool(loud)) * (rng.random() < 0.6)):
                 out.append(varied(s, spans, rng))
     return out
 
@@ -242,15 +250,13 @@ def train(texts: list[str], seconds: float, seed: int = 7, say=print) -> bytes:
             tags[a:b] = 2 + 2 * KINDS.index(k)
             tags[a] -= 1
         for at in range(0, len(s), WINDOW):
-            coded.append((np.array(empty.encode(s[at : at + WINDOW])), tags[at : at + WINDOW]))
+            coded.append((empty.encode([s[at : at + WINDOW]])[0], tags[at : at + WINDOW]))
     coded.sort(key=lambda x: len(x[0]))
     batches = [coded[i : i + 64] for i in range(0, len(coded), 64)]
     say(f"{len(data)} stretches, {sum(len(x[0]) for x in coded)} characters, {len(chars)} known characters")
     update, began, epoch = adam(p, 0.006), time.time(), 0
 
     def pack() -> bytes:
-        import io
-
         out = io.BytesIO()
         np.savez_compressed(out, chars=np.array([ord(c) for c in chars], dtype=np.int32), **{k: v.astype(np.float16) for k, v in p.items()})
         return out.getvalue()
