@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, fusion, knn, markup, packing, split, subjects, topn, variants
+from weft.llm import bpe, fusion, knn, markup, packing, pii, split, subjects, topn, variants
 from weft.llm.tables import current_chunks, read, usable_hits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,14 @@ def p4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).select("namespace", "chunk_id", "neighbour", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p5_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.structure(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -111,7 +119,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p4_found, p4_neighbours, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers, p10_found, p10_shares]
+    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers, p10_found, p10_shares]
     return {f.__name__: f for f in found}
 
 

@@ -292,6 +292,8 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] |
     surface = text[start:end]
     if kind == "id_number" and sum(c.isdigit() for c in surface) < 5:
         return None
+    if kind == "name" and " " not in surface.strip() and not "㐀" <= surface[:1] <= "鿿":
+        return None  # a single word alone isn't a person's name
     if kind == "address" and not any(c.isdigit() for c in surface) or kind == "name" and (any(c.isdigit() or c in "@<>{}|\\" for c in surface) or len(surface) < 2):
         return None
     return start, end, kind

@@ -39,7 +39,7 @@ _TOWN = rf"{_WORD}(?:-{_WORD})*"
 #: (kind, pattern): group 1 is the labelled span.
 FUNCTIONS: list[tuple[str, re.Pattern[str]]] = [
     *(("email", re.compile(p, re.I)) for p in (
-        r"(?<![A-Za-z0-9_.+@-])([A-Za-z0-9_.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b)",
+        r"(?<![A-Za-z0-9_.+@-])([A-Za-z0-9_.+%-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9]))",
         rf"(?:Write to|Replies went to|Contact ?:|Kontakt:|Contacto:|cc|bitte an|Escriba a|Écrire à|联系|邮箱:) ?<?({_MAIL})")),
     *(("phone", re.compile(p)) for p in (
         rf"(?:Call|Phone|answers on|tel:|T[ée]l\.|Telefonisch unter|Joignable au|Llame al|电话|致电) ?({_NUM})",)),
