@@ -13,7 +13,7 @@ NEUTRAL = 0.5
 def grader_score(reply: Column) -> Column:
     """The number of the first line ``score=<number>``, held to 0..1; 0.5 where it can't be read."""
     value = F.trim(F.regexp_extract(F.coalesce(reply, F.lit("")), r"(?im)^[ \t\r]*score[ \t]*=([^\r\n]*)", 1)).try_cast("double")
-    return F.coalesce(F.when(~F.isnan(value), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))), F.lit(NEUTRAL))
+    return F.coalesce(F.when(value.isNotNull() & ~F.isnan(value), F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))), F.lit(NEUTRAL))
 
 
 def judgement(reply: Column) -> Column:

@@ -26,11 +26,6 @@ def answer_tokens(text: Column) -> Column:
     return fields(F.lower(text))
 
 
-def ascii_tokens(text: Column) -> Column:
-    """Tokens of the hash embedder: runs of a-z and 0-9 of the lower-case text."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-
-
 def estimated_tokens(text: Column) -> Column:
     """Han characters plus 1.3 per word, cut to a whole number; at least 1 unless the text is blank, 0 for null."""
     known = F.coalesce(text, F.lit(""))

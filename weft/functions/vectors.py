@@ -2,28 +2,48 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weft.functions.text import ascii_tokens
-
 DIMENSION = 32
 
 
-def token_bucket(token: Column, dimension: int = DIMENSION) -> Column:
-    """FNV-1a (64 bits) of an ASCII token modulo a power of two, in the low bits only, which suffice."""
-    if dimension & (dimension - 1) or not 0 < dimension <= 2**20:
-        raise ValueError("dimension must be a power of two")
-    low = dimension - 1
-    seed, prime = 0xCBF29CE484222325 & low, 0x100000001B3 & low
-    letters = F.filter(F.split(token, ""), lambda c: c != "")
-    return F.aggregate(letters, F.lit(seed), lambda h, c: (h.bitwiseXOR(F.ascii(c)) * F.lit(prime)).bitwiseAND(F.lit(low)))
+_TOKEN = re.compile("[a-z0-9]+")
+
+
+@lru_cache(maxsize=200_000)
+def token_bucket(token: str, dimension: int = DIMENSION) -> int:
+    """FNV-1a (64 bits) of a token modulo the dimension."""
+    h = 0xCBF29CE484222325
+    for b in token.encode():
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h % dimension
+
+
+def _counts(texts: pd.Series, dimension: int) -> np.ndarray:
+    out = np.zeros((len(texts), dimension))
+    for i, t in enumerate(texts):
+        for token, n in Counter(_TOKEN.findall(t.lower())).items() if t else ():
+            out[i, token_bucket(token, dimension)] += n
+    return out
 
 
 def hash_counts(text: Column, dimension: int = DIMENSION) -> Column:
-    """How many tokens fall into each bucket."""
-    buckets = F.transform(ascii_tokens(text), lambda t: token_bucket(t, dimension))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    """How many tokens (runs of a-z and 0-9 of the lower-case text) fall into each bucket; null counts as empty."""
+    if dimension < 1:
+        raise ValueError("dimension must be 1 or more")
+
+    @F.pandas_udf("array<double>")
+    def run(series: pd.Series) -> pd.Series:
+        return pd.Series(list(_counts(series, dimension)), dtype=object)
+
+    return run(text)
 
 
 def norm(vector: Column) -> Column:
@@ -32,9 +52,15 @@ def norm(vector: Column) -> Column:
 
 def hash_embedding(text: Column, dimension: int = DIMENSION) -> Column:
     """Bag-of-words vector of length 1; all zero for a text without ASCII letters or digits."""
-    counts = hash_counts(text, dimension)
-    size = norm(counts)
-    return F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(counts)
+    if dimension < 1:
+        raise ValueError("dimension must be 1 or more")
+
+    @F.pandas_udf("array<double>")
+    def run(series: pd.Series) -> pd.Series:
+        out = _counts(series, dimension)
+        return pd.Series(list(out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)), dtype=object)
+
+    return run(text)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -29,9 +29,9 @@ def ranked(hits: DataFrame) -> DataFrame:
 def heuristic_rerank(hits: DataFrame, boost: float = 0.05) -> DataFrame:
     """hits (with the query's and the chunk's texts) plus boost per query token found in title, content, heading and path."""
     words = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")), F.coalesce("heading", F.lit("")), F.array_join(F.coalesce("section_path", F.array().cast("array<string>")), " "))
-    have = search_tokens(words)
-    found = F.size(F.filter(search_tokens(F.col("query_text")), lambda t: F.array_contains(have, t)))
-    return ranked(hits.withColumn("score", F.round(F.col("score") + boost * found, DIGITS)))
+    marked = hits.withColumn("_have", search_tokens(words))
+    found = F.size(F.filter(search_tokens(F.col("query_text")), lambda t: F.array_contains("_have", t)))
+    return ranked(marked.withColumn("score", F.round(F.col("score") + boost * found, DIGITS)).drop("_have"))
 
 
 def model_rerank(hits: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]], top: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.text import overlap_score, search_tokens
+from weft.functions.text import search_tokens
 from weft.functions.vectors import cosine, hash_embedding, norm
 
 K1, B = 1.2, 0.75
@@ -283,5 +283,6 @@ def graph_hits(reached: DataFrame, entities: DataFrame, queries: DataFrame, deca
 
 def lexical_overlap(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, chunk_id, overlap) of the pairs of one scope that share a token."""
-    pairs = queries.join(corpus.select("scope", "chunk_id", "content"), "scope")
-    return pairs.select("query_id", "chunk_id", overlap_score(F.col("query_text"), F.col("content")).alias("overlap")).where(F.col("overlap") > 0)
+    asked = queries.select("query_id", "scope", search_tokens(F.col("query_text")).alias("_q"))
+    have = corpus.select("scope", "chunk_id", search_tokens(F.col("content")).alias("_c"))
+    return asked.join(have, "scope").select("query_id", "chunk_id", F.size(F.filter("_q", lambda t: F.array_contains("_c", t))).alias("overlap")).where(F.col("overlap") > 0)
