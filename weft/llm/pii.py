@@ -24,13 +24,17 @@ KINDS = ("email", "phone", "ssn", "id_number", "credit_card", "ipv4", "address",
 TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 #: Characters of a window, and those that neighbouring windows share.
 WINDOW, OVERLAP = 160, 64
+#: Windows that go through the network together.
+BATCH = 1024
+#: Texts read together.
+TEXTS = 2048
 #: Sentences that a worker remembers.
 KEEP = 300_000
 WEIGHTS = "pii_weights.npz"
 
 # A stretch ends at a line's end, after a Chinese full stop, or after a sentence's mark that follows a
 # word of four letters or more, as abbreviations are shorter, and comes before a capital or a tag.
-_MARK = re.compile(r"[。！？](?=.)|[.!?](?: (?=[^\W\d_a-zß-ÿ¿])|(?=<))|>(?=[^\W\d_a-z])")
+_MARK = re.compile(r"[.!?>。！？]")
 
 
 @dataclass
@@ -48,11 +52,13 @@ class Network:
     first: np.ndarray
 
     def __post_init__(self) -> None:
-        # sigmoid(x) = tanh(x/2)/2 + 1/2: with the halving in the weights one tanh serves all gates
+        # sigmoid(x) = (1 + tanh(x/2))/2: with the inner halving in the weights one tanh serves all gates,
+        # and with the outer one of the output gate in what reads the state, it needs no step of its own
         hidden = self.u[0].shape[0]
         half = np.r_[np.full(3 * hidden, 0.5), np.ones(hidden)].astype(np.float32)
         self.table = [np.ascontiguousarray((self.embed @ w + b) * half) for w, b in zip(self.w, self.b)]
-        self.state = [np.ascontiguousarray(u * half) for u in self.u]
+        self.state = [np.ascontiguousarray(u * half * 0.5) for u in self.u]
+        self.read_out = np.ascontiguousarray(self.out.T * 0.5)
         stay = float(self.trans[0, 0])
         self.enter = (self.trans[0, 1:] - stay).astype(np.float32)
         self.opening = np.maximum(self.first[1:] - self.first[0], self.enter).astype(np.float32)
@@ -71,35 +77,34 @@ class Network:
         return np.split(places, np.cumsum([len(t) for t in texts])[:-1])
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tag scores (time, text, tag) of padded texts (time, text), longest first."""
+        """Tag scores (tag, time, text) of padded texts (time, text), longest first."""
         t_max, n = ids.shape
-        hidden = self.state[0].shape[0]
-        total = np.empty((t_max, n, len(TAGS)), dtype=np.float32)
+        hidden = self.u[0].shape[0]
+        states = np.zeros((t_max, n, 2 * hidden), dtype=np.float32)
         # lengths fall, so the texts that still run at each step are the first ones
-        alive = np.searchsorted(-lengths, -np.arange(t_max), side="left")
+        alive = np.searchsorted(-lengths, -np.arange(t_max), side="left").tolist()
+        all_gates, all_pushed, squashed = np.empty((n, 4 * hidden), np.float32), np.empty((n, 4 * hidden), np.float32), np.empty((n, hidden), np.float32)
         for way in (0, 1):
             h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
             table, state = self.table[way], self.state[way]
-            part = np.ascontiguousarray(self.out[way * hidden : (way + 1) * hidden])
             for t in range(t_max) if way == 0 else range(t_max - 1, -1, -1):
                 k = alive[t]
-                gates = h[:k] @ state
-                gates += table[ids[t, :k]]
+                gates, pushed, cell = all_gates[:k], all_pushed[:k], c[:k]
+                np.matmul(h[:k], state, out=gates)
+                np.take(table, ids[t, :k], axis=0, out=pushed, mode="clip")
+                gates += pushed
                 np.tanh(gates, out=gates)
-                i, f, o, g = gates[:, :hidden], gates[:, hidden : 2 * hidden], gates[:, 2 * hidden : 3 * hidden], gates[:, 3 * hidden :]
                 gates[:, : 3 * hidden] += 1
-                gates[:, : 3 * hidden] *= 0.5
-                cell = c[:k]
-                cell *= f
-                i *= g
-                cell += i
-                np.multiply(np.tanh(cell), o, out=h[:k])
-                if way == 0:
-                    total[t, :k] = h[:k] @ part
-                else:
-                    total[t, :k] += h[:k] @ part
-        total += self.bias
-        return total
+                cell *= gates[:, hidden : 2 * hidden]
+                gates[:, :hidden] *= gates[:, 3 * hidden :]
+                cell += gates[:, :hidden]
+                cell *= 0.5
+                np.tanh(cell, out=squashed[:k])
+                np.multiply(squashed[:k], gates[:, 2 * hidden : 3 * hidden], out=h[:k])
+                states[t, :k, way * hidden : (way + 1) * hidden] = h[:k]
+        scores = (self.read_out @ states.reshape(-1, 2 * hidden).T).reshape(len(TAGS), t_max, n)
+        scores += self.bias[:, None, None]
+        return scores
 
     def loud(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Which padded texts could hold anything: in the others no run of tags outscores "nothing here".
@@ -107,18 +112,19 @@ class Network:
         The bound takes each run's best start, best tags and best steps inside and out of it, whether
         or not they go together, so it never misses a run that Viterbi would choose.
         """
-        nothing = scores[:, :, 0]
-        begin = (scores[:, :, 1:] + self.enter).max(axis=2) - nothing
-        inside = scores[:, :, 1:].max(axis=2) - nothing + self.within
-        run = (scores[0, :, 1:] + self.opening).max(axis=1) - nothing[0]
+        nothing = scores[0]
+        begin = (scores[1:] + self.enter[:, None, None]).max(axis=0) - nothing
+        inside = scores[1:].max(axis=0) - nothing + self.within
+        run = (scores[1:, 0] + self.opening[:, None]).max(axis=0) - nothing[0]
         best = run.copy()
-        for t in range(1, len(scores)):
+        for t in range(1, scores.shape[1]):
             run = np.maximum(begin[t], run + inside[t])
             np.maximum(best, np.where(t < lengths, run, -np.inf), out=best)
         return best + self.leave >= 0
 
     def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best tags (time, text) of padded texts by Viterbi; scores is (time, text, tag)."""
+        """The best tags (time, text) of padded texts by Viterbi; scores is (tag, time, text)."""
+        scores = np.ascontiguousarray(scores.transpose(1, 2, 0))
         t_max, n, _ = scores.shape
         into = np.ascontiguousarray(self.trans.T.astype(np.float32))
         best = self.first.astype(np.float32) + scores[0]
@@ -163,8 +169,20 @@ def stretches(text: str) -> list[tuple[int, str]]:
     for line in text.splitlines(keepends=True):
         cuts = []
         for m in _MARK.finditer(line):
-            if m[0][0] not in ".!?" or line[max(0, m.start() - 4) : m.start()].isalpha() and m.start() >= 4:
-                cuts.append(m.end())
+            p = m.end()
+            mark, after = line[p - 1], line[p : p + 1]
+            if mark in "。！？":
+                if after and after != "\n":
+                    cuts.append(p)
+            elif mark == ">":
+                if after.isalpha() and not "a" <= after <= "z":
+                    cuts.append(p)
+            elif p > 4 and (after == " " or after == "<") and line[p - 5 : p - 1].isalpha():
+                first = line[p + 1 : p + 2]
+                if after == "<":
+                    cuts.append(p)
+                elif first.isalpha() and not ("a" <= first <= "z" or "ß" <= first <= "ÿ"):
+                    cuts.append(p + 1)
         at = 0
         for cut in [*cuts, len(line)]:
             part = line[at:cut]
@@ -204,17 +222,17 @@ class Reader:
                 windows.append((k, at, ids[at : at + WINDOW]))
         windows.sort(key=lambda w: -len(w[2]))
         blended: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for at in range(0, len(windows), 512):
-            batch = windows[at : at + 512]
+        for at in range(0, len(windows), BATCH):
+            batch = windows[at : at + BATCH]
             lengths = np.array([len(w[2]) for w in batch])
-            ids = np.zeros((lengths[0], len(batch)), dtype=np.int32)
+            ids = np.zeros((lengths[0], len(batch)), dtype=np.intp)
             for j, (_, _, w) in enumerate(batch):
                 ids[: len(w), j] = w
             got = net.emissions(ids, lengths)
             loud = net.loud(got, lengths)
             whole = np.array([len(texts[k]) <= WINDOW for k, _, _ in batch])
             some = np.nonzero(loud & whole)[0]
-            tags = net.decode(got[:, some], lengths[some]) if len(some) else None
+            tags = net.decode(got[:, :, some], lengths[some]) if len(some) else None
             for j in np.nonzero(whole)[0].tolist():
                 self.seen[texts[batch[j][0]]] = ()
             for column, j in enumerate(some.tolist()):
@@ -223,14 +241,24 @@ class Reader:
             for j in np.nonzero(~whole)[0].tolist():
                 k, start, w = batch[j]
                 if k not in blended:
-                    blended[k] = np.zeros((len(texts[k]), len(TAGS)), np.float32), np.zeros(len(texts[k]), np.float32)
+                    blended[k] = np.zeros((len(TAGS), len(texts[k])), np.float32), np.zeros(len(texts[k]), np.float32)
                 edge = np.minimum(np.arange(1, len(w) + 1), np.arange(len(w), 0, -1)).astype(np.float32)
-                blended[k][0][start : start + len(w)] += got[: len(w), j] * edge[:, None]
+                blended[k][0][:, start : start + len(w)] += got[:, : len(w), j] * edge
                 blended[k][1][start : start + len(w)] += edge
-        for k, (total, weight) in blended.items():
-            scores = total / weight[:, None]
-            found = net.decode(scores[:, None], np.array([len(scores)]))[:, 0]
-            self.seen[texts[k]] = self._checked(texts[k], found)
+        long = sorted(blended, key=lambda k: -len(texts[k]))
+        for at in range(0, len(long), 64):
+            batch_of = long[at : at + 64]
+            lengths = np.array([len(texts[k]) for k in batch_of])
+            scores = np.zeros((len(TAGS), lengths[0], len(batch_of)), np.float32)
+            for j, k in enumerate(batch_of):
+                scores[:, : lengths[j], j] = blended[k][0] / blended[k][1]
+            some = np.nonzero(net.loud(scores, lengths))[0]
+            for k in batch_of:
+                self.seen[texts[k]] = ()
+            if len(some):
+                tags = net.decode(scores[:, : lengths[some[0]], some], lengths[some])
+                for column, j in enumerate(some.tolist()):
+                    self.seen[texts[batch_of[j]]] = self._checked(texts[batch_of[j]], tags[: lengths[j], column])
 
     @staticmethod
     def _checked(text: str, tags: np.ndarray) -> tuple[tuple[int, int, str], ...]:
@@ -331,8 +359,8 @@ def personal_data(rows: DataFrame, key: str, text: str, data: bytes | None = Non
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = _reader(trained)
         for frame in frames:
-            for at in range(0, len(frame), 1024):
-                part = frame.iloc[at : at + 1024]
+            for at in range(0, len(frame), TEXTS):
+                part = frame.iloc[at : at + TEXTS]
                 found = reader.find(part["_text"].tolist())
                 out = [(k, what, t[a:b]) for k, t, spans in zip(part["_key"], part["_text"], found) for a, b, what in spans]
                 yield pd.DataFrame(list(dict.fromkeys(out)), columns=["_key", "kind", "surface"])
@@ -359,8 +387,8 @@ def redacted(rows: DataFrame, key: str, text: str, data: bytes | None = None) ->
     def run(series: pd.Series) -> pd.Series:
         reader, out = _reader(trained), []
         texts = series.tolist()
-        for at in range(0, len(texts), 1024):
-            part = texts[at : at + 1024]
+        for at in range(0, len(texts), TEXTS):
+            part = texts[at : at + TEXTS]
             out += [None if t is None else redact(t, s) for t, s in zip(part, reader.find(part))]
         return pd.Series(out, dtype=object)
 
