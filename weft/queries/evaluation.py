@@ -88,7 +88,7 @@ def _long(metrics: DataFrame) -> DataFrame:
 _HIGH, _LOW = str(evaluate.HIGHER), "('FollowupQueriesUsedMean')"
 
 
-@query(f"""WITH {_F1}, m0 AS ({_run_sql(0)}), m1 AS ({_run_sql(1)}), before AS (SELECT * FROM (UNPIVOT INCLUDE NULLS m0 ON COLUMNS(*) INTO NAME metric VALUE v)), after AS (SELECT * FROM (UNPIVOT INCLUDE NULLS m1 ON COLUMNS(*) INTO NAME metric VALUE v))
+@query(f"""WITH {_F1}, m0 AS ({_run_sql(0)}), m1 AS ({_run_sql(1)}), before AS (SELECT * FROM (UNPIVOT m0 ON COLUMNS(*) INTO NAME metric VALUE v)), after AS (SELECT * FROM (UNPIVOT m1 ON COLUMNS(*) INTO NAME metric VALUE v))
 SELECT metric, b.v AS prev, a.v AS curr, round(a.v - b.v, 6) AS delta, CASE WHEN a.v - b.v IS NULL OR metric NOT IN {str((*evaluate.HIGHER, *evaluate.LOWER))} THEN 'undefined' WHEN abs(a.v - b.v) < 1e-9 THEN 'unchanged'
   WHEN (metric IN {_HIGH} AND a.v > b.v) OR (metric IN {_LOW} AND a.v < b.v) THEN 'improved' ELSE 'regressed' END AS direction FROM before b JOIN after a USING (metric)""")
 def benchmark_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
