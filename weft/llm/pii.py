@@ -67,14 +67,14 @@ class Network:
         self.leave = max(0.0, float(self.trans[1:, 0].max()) - stay, -stay) + 1e-3
         self.places = np.full(0x110000, -1, dtype=np.int32)
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The places of each text's characters."""
+    def encode(self, texts: Sequence[str]) -> np.ndarray:
+        """The places of the texts' characters, end to end."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), dtype=np.uint32)
         places = self.places[points]
         if (new := np.unique(points[places < 0])).size:
             self.places[new] = [code(chr(c), self.chars) for c in new.tolist()]
             places = self.places[points]
-        return np.split(places, np.cumsum([len(t) for t in texts])[:-1])
+        return places
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Tag scores (tag, time, text) of padded texts (time, text), longest first."""
@@ -215,36 +215,41 @@ class Reader:
         net = self.network
         if not texts:
             return
-        windows: list[tuple[int, int, np.ndarray]] = []
-        for k, ids in enumerate(net.encode(texts)):
-            step = WINDOW - OVERLAP
-            for at in range(0, max(1, len(ids) - OVERLAP), step) if len(ids) > WINDOW else (0,):
-                windows.append((k, at, ids[at : at + WINDOW]))
-        windows.sort(key=lambda w: -len(w[2]))
+        places = net.encode(texts)
+        windows: list[tuple[int, int, int, int]] = []  # length, text, start in the text, place of its first character
+        begin = 0
+        for k, text in enumerate(texts):
+            size = len(text)
+            if size <= WINDOW:
+                windows.append((size, k, 0, begin))
+            else:
+                windows += [(min(WINDOW, size - at), k, at, begin + at) for at in range(0, size - OVERLAP, WINDOW - OVERLAP)]
+            begin += size
+        windows.sort(key=lambda w: -w[0])
         blended: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for at in range(0, len(windows), BATCH):
             batch = windows[at : at + BATCH]
-            lengths = np.array([len(w[2]) for w in batch])
-            ids = np.zeros((lengths[0], len(batch)), dtype=np.intp)
-            for j, (_, _, w) in enumerate(batch):
-                ids[: len(w), j] = w
+            lengths = np.array([w[0] for w in batch])
+            steps = np.arange(lengths[0])[:, None]
+            inside = steps < lengths
+            ids = np.where(inside, places[np.where(inside, steps + np.array([w[3] for w in batch]), 0)], 0).astype(np.intp)
             got = net.emissions(ids, lengths)
             loud = net.loud(got, lengths)
-            whole = np.array([len(texts[k]) <= WINDOW for k, _, _ in batch])
+            whole = np.array([len(texts[w[1]]) <= WINDOW for w in batch])
             some = np.nonzero(loud & whole)[0]
             tags = net.decode(got[:, :, some], lengths[some]) if len(some) else None
             for j in np.nonzero(whole)[0].tolist():
-                self.seen[texts[batch[j][0]]] = ()
+                self.seen[texts[batch[j][1]]] = ()
             for column, j in enumerate(some.tolist()):
-                text = texts[batch[j][0]]
+                text = texts[batch[j][1]]
                 self.seen[text] = self._checked(text, tags[: len(text), column])
             for j in np.nonzero(~whole)[0].tolist():
-                k, start, w = batch[j]
+                size, k, start, _ = batch[j]
                 if k not in blended:
                     blended[k] = np.zeros((len(TAGS), len(texts[k])), np.float32), np.zeros(len(texts[k]), np.float32)
-                edge = np.minimum(np.arange(1, len(w) + 1), np.arange(len(w), 0, -1)).astype(np.float32)
-                blended[k][0][:, start : start + len(w)] += got[:, : len(w), j] * edge
-                blended[k][1][start : start + len(w)] += edge
+                edge = np.minimum(np.arange(1, size + 1), np.arange(size, 0, -1)).astype(np.float32)
+                blended[k][0][:, start : start + size] += got[:, :size, j] * edge
+                blended[k][1][start : start + size] += edge
         long = sorted(blended, key=lambda k: -len(texts[k]))
         for at in range(0, len(long), 64):
             batch_of = long[at : at + 64]

@@ -250,7 +250,7 @@ def train(texts: list[str], seconds: float, seed: int = 7, say=print) -> bytes:
             tags[a:b] = 2 + 2 * KINDS.index(k)
             tags[a] -= 1
         for at in range(0, len(s), WINDOW):
-            coded.append((empty.encode([s[at : at + WINDOW]])[0], tags[at : at + WINDOW]))
+            coded.append((empty.encode([s[at : at + WINDOW]]), tags[at : at + WINDOW]))
     coded.sort(key=lambda x: len(x[0]))
     batches = [coded[i : i + 64] for i in range(0, len(coded), 64)]
     say(f"{len(data)} stretches, {sum(len(x[0]) for x in coded)} characters, {len(chars)} known characters")
