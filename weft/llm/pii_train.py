@@ -1,6 +1,6 @@
 """Training of the personal-data network from labelled spans, in numpy.
 
-    python -m weft.llm.pii_train DOCUMENTS.parquet [MINUTES]
+    python -m weft.llm.pii_train DOCUMENTS.parquet [MINUTES [OUTPUT]]
 
 Labelled spans come from labelling functions: phrases that announce a kind, with the shapes of what
 follows. They only make the examples; nothing of them is used when texts are read. Half of the
@@ -23,7 +23,7 @@ import pandas as pd
 
 from weft.llm.pii import KINDS, TAGS, WEIGHTS, WINDOW, Network, Reader, load, stretches
 
-EMBED, HIDDEN = 16, 20
+EMBED, HIDDEN = 16, 16
 
 _U = r"[A-ZÀ-ÖØ-Þ]"
 _WORD = rf"(?:{_U}['’]?[\w'’]+(?:-{_U}?[\w'’]+)*)"
@@ -285,4 +285,5 @@ def train(texts: list[str], seconds: float, seed: int = 7, say=print) -> bytes:
 if __name__ == "__main__":
     frame = pd.read_parquet(sys.argv[1], columns=["text"])
     minutes = float(sys.argv[2]) if len(sys.argv) > 2 else 6.0
-    Path(__file__).with_name(WEIGHTS).write_bytes(train([t for t in frame["text"] if isinstance(t, str)], 60 * minutes, say=lambda x: print(x, flush=True)))
+    target = Path(sys.argv[3]) if len(sys.argv) > 3 else Path(__file__).with_name(WEIGHTS)
+    target.write_bytes(train([t for t in frame["text"] if isinstance(t, str)], 60 * minutes, say=lambda x: print(x, flush=True)))

@@ -265,6 +265,8 @@ def judge(weights: np.ndarray, labelled: np.ndarray, s: Settings) -> np.ndarray:
     out = []
     for row in special:
         top = np.argsort(-row, kind="stable")[: s.top]
-        votes = lift[:, top].mean(axis=1)
-        out.append(int(np.argmax(votes)) if votes.max() > 0.15 else -1)
+        votes = lift[:, top] @ (np.maximum(row[top], 0) / max(1e-12, np.maximum(row[top], 0).sum()))
+        # a subject must stand out in most of the topic's weight, and more than all others together
+        clear = votes.max() > 0.05 and votes.max() > 0.5 * votes.sum()
+        out.append(int(np.argmax(votes)) if clear else -1)
     return np.array(out)
