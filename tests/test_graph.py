@@ -90,7 +90,9 @@ def test_two_clusters(spark):
 def test_hierarchy(spark):
     pairs = [(f"{c}{i}", f"{c}{j}", 5.0) for c in "abcd" for i, j in ((1, 2), (2, 3), (1, 3))] + [("a1", "b1", 2.0), ("c1", "d1", 2.0), ("b3", "c3", 1.0)]
     levels = C.louvain(graph_of(pairs))
-    assert len(levels) >= 2 and len(set(levels[0].values())) == 4 and len(set(levels[-1].values())) <= 2
+    assert len(levels) >= 2 and len(set(levels[0].values())) == 4
+    for low, high in zip(levels, levels[1:]):
+        assert all(len({high[n] for n in low if low[n] == c}) == 1 for c in set(low.values()))
     assert C.louvain({}) == [] and C.louvain({"x": {}}) == [{"x": "x"}]
     assert C.louvain(graph_of(pairs[::-1])) == levels
 

@@ -96,5 +96,5 @@ def test_permuted_input_gives_the_same(spark):
 
 
 def test_prepare_queries(spark):
-    raw = spark.createDataFrame([(1, "a", " hi ", None), (1, "a", " hi ", None), (2, "a", None, 3), (3, None, "x", 1), (4, "a", "  ", 1), (5, "a", "y", -1)], "query_id long, namespace string, query_text string, top_k double")
+    raw = spark.createDataFrame([(1, "a", " hi ", None), (1, "a", " hi ", None), (2, "a", None, 3.0), (3, None, "x", 1.0), (4, "a", "  ", 1.0), (5, "a", "y", -1.0)], "query_id long, namespace string, query_text string, top_k double")
     assert sorted((r.query_id, r.query_text, r.top_k) for r in R.prepare_queries(raw).collect()) == [(1, "hi", 5), (5, "y", 5)]
