@@ -60,12 +60,12 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CORPUS}, {_TERMS} SELECT chunk_id, name, type FROM corpus JOIN terms ON contains(lower(content), lower(name))")
 def gazetteer_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.gazetteer_entities(corpus(spark, sf_dir), _terms(spark, sf_dir))
+    return graph.gazetteer_entities(corpus(spark, sf_dir, "content"), _terms(spark, sf_dir))
 
 
 @query(f"WITH {CORPUS}, {_TERMS}, found AS (SELECT chunk_id, name FROM corpus JOIN terms ON contains(lower(content), lower(name))) SELECT a.chunk_id, a.name AS source, b.name AS target, 'co-occurs' AS relation, 1.0 AS weight FROM found a JOIN found b ON a.chunk_id = b.chunk_id AND a.name < b.name")
 def cooccur_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.co_occurrences(graph.gazetteer_entities(corpus(spark, sf_dir), _terms(spark, sf_dir)))
+    return graph.co_occurrences(graph.gazetteer_entities(corpus(spark, sf_dir, "content"), _terms(spark, sf_dir)))
 
 
 @query(f"WITH {ENTITIES} SELECT entity_id, name, type, array_to_string(list_sort(source_chunk_ids), ',') AS source_chunk_ids FROM nodes")
@@ -84,7 +84,7 @@ SELECT n.entity_id, array_to_string(CASE WHEN len(n.source_chunk_ids) = 0 THEN n
     "left_over AS (SELECT entity_id, list_sort(list(c)) AS l FROM (SELECT entity_id, unnest(source_chunk_ids) AS c FROM nodes) WHERE c NOT IN (SELECT chunk_id FROM gone) GROUP BY entity_id), kept AS (SELECT n.entity_id, coalesce(o.l, []) AS l FROM nodes n LEFT JOIN left_over o USING (entity_id))",
 ))
 def graph_gc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = corpus(spark, sf_dir).where("namespace = 'handbook'").select("chunk_id")
+    gone = corpus(spark, sf_dir, "doc_id").where("namespace = 'handbook'").select("chunk_id")
     return _joined(graph.remove_sources(canonical(spark, sf_dir)[0], gone)).select("entity_id", "source_chunk_ids")
 
 

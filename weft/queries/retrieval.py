@@ -12,7 +12,7 @@ from weft.queries.base import ASKED, BM25, CORPUS, DENSE, LEXICAL, SPACE, asked,
 
 @query(f"WITH {LEXICAL} SELECT query_id, chunk_id, score, rank FROM lexical")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_top(asked(spark, sf_dir), corpus(spark, sf_dir))
+    return R.lexical_top(asked(spark, sf_dir), corpus(spark, sf_dir, "content"))
 
 
 @query(f"SELECT doc_id, {counts_sql('b')} AS counts FROM (SELECT doc_id, {buckets_sql('text')} AS b FROM documents)")
@@ -38,7 +38,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {CORPUS}, {ASKED}, {DENSE} SELECT query_id, chunk_id, score, rank FROM dense")
 def dense_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.dense_text_top(asked(spark, sf_dir), corpus(spark, sf_dir))
+    return R.dense_text_top(asked(spark, sf_dir), corpus(spark, sf_dir, "content"))
 
 
 _FUSED = f"""WITH {LEXICAL}, {DENSE}, legs AS (SELECT query_id, chunk_id, rank, 0 AS lexical_rank, rank AS dense_rank FROM dense UNION ALL SELECT query_id, chunk_id, rank, rank, 0 FROM lexical),
@@ -48,7 +48,7 @@ best AS {top_sql("fused")}"""
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, chunks = asked(spark, sf_dir), corpus(spark, sf_dir)
+    questions, chunks = asked(spark, sf_dir), corpus(spark, sf_dir, "content")
     return R.fuse({"dense": R.dense_text_top(questions, chunks), "lexical": R.lexical_top(questions, chunks)}, questions)
 
 
@@ -67,7 +67,7 @@ def rrf_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, chunk_id, CAST(len(list_filter(q.t, lambda x: list_contains(c.t, x))) AS INTEGER) AS overlap FROM q JOIN c USING (scope) WHERE len(list_filter(q.t, lambda x: list_contains(c.t, x))) > 0"""
 )
 def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.lexical_overlap(asked(spark, sf_dir), corpus(spark, sf_dir))
+    return R.lexical_overlap(asked(spark, sf_dir), corpus(spark, sf_dir, "content"))
 
 
 _PATHS = "prefixes AS (SELECT DISTINCT scope, doc_id, section_path[1:n] AS path FROM (SELECT scope, doc_id, section_path, unnest(range(1, len(section_path) + 1)) AS n FROM corpus))"
@@ -78,7 +78,7 @@ _PATHS = "prefixes AS (SELECT DISTINCT scope, doc_id, section_path[1:n] AS path
   CASE WHEN len(path) > 1 THEN doc_id || ':' || array_to_string(path[1:len(path) - 1], '/') ELSE doc_id || ':root' END AS parent_id FROM prefixes"""
 )
 def section_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sections(corpus(spark, sf_dir)).select(F.col("scope").alias("namespace"), "doc_id", "node_id", "level", "parent_id")
+    return R.sections(corpus(spark, sf_dir, "doc_id", "section_path")).select(F.col("scope").alias("namespace"), "doc_id", "node_id", "level", "parent_id")
 
 
 @query(
@@ -86,7 +86,7 @@ def section_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM corpus WHERE regexp_replace(coalesce(content, ''), '{SPACE}', '', 'g') <> ''"""
 )
 def section_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.leaves(corpus(spark, sf_dir)).select(F.col("scope").alias("namespace"), "doc_id", "chunk_id", "parent_id")
+    return R.leaves(corpus(spark, sf_dir, "doc_id", "section_path", "content")).select(F.col("scope").alias("namespace"), "doc_id", "chunk_id", "parent_id")
 
 
 _COUNT = "len(list_filter(q.t, lambda x: contains({0}, x)))"
@@ -125,12 +125,12 @@ plan AS (SELECT query_id, scope, path, confidence, CAST(place AS INTEGER) AS pla
 
 @query(f"WITH {_ROUTES} SELECT query_id, array_to_string(path, ' > ') AS path, score, confidence, CAST(place AS INTEGER) AS place FROM routes")
 def route_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.route_candidates(asked(spark, sf_dir), corpus(spark, sf_dir))
+    found = R.route_candidates(asked(spark, sf_dir), corpus(spark, sf_dir, "title", "section_path", "heading"))
     return found.select("query_id", F.array_join("path", " > ").alias("path"), "score", "confidence", "place")
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.plan_routes(R.route_candidates(asked(spark, sf_dir), corpus(spark, sf_dir)), gap=0.3, fanout=2)
+    return R.plan_routes(R.route_candidates(asked(spark, sf_dir), corpus(spark, sf_dir, "title", "section_path", "heading")), gap=0.3, fanout=2)
 
 
 @query(f"WITH {_PLAN} SELECT query_id, array_to_string(path, ' > ') AS path, confidence, place, mode FROM plan")
@@ -154,7 +154,7 @@ SELECT query_id, chunk_id, score, rank FROM {top_sql("merged")}"""
 
 @query(_FANOUT)
 def route_fanout_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.route_fanout(asked(spark, sf_dir), corpus(spark, sf_dir), _plan(spark, sf_dir))
+    return R.route_fanout(asked(spark, sf_dir), corpus(spark, sf_dir, "section_path", "content"), _plan(spark, sf_dir))
 
 
 _PARTS = f"""parts AS (SELECT query_id, scope, top_k, CASE WHEN len(p) > 1 THEN p ELSE [query_text] END AS p FROM (
@@ -174,7 +174,7 @@ merged AS (SELECT v.whole AS query_id, f.chunk_id, v.top_k, max(f.score) AS scor
 SELECT query_id, chunk_id, score, rank FROM {top_sql("merged")}"""
 )
 def variant_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.multi_hop(asked(spark, sf_dir), corpus(spark, sf_dir))
+    return R.multi_hop(asked(spark, sf_dir), corpus(spark, sf_dir, "content"))
 
 
 @query(
@@ -183,7 +183,7 @@ summed AS (SELECT query_id, path, round(sum(score), 6) AS score FROM twice GROUP
 SELECT query_id, array_to_string(path, ' > ') AS path, score, round(score / max(score) OVER (PARTITION BY query_id), 6) AS confidence FROM summed"""
 )
 def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.route_candidates(asked(spark, sf_dir), corpus(spark, sf_dir))
+    found = R.route_candidates(asked(spark, sf_dir), corpus(spark, sf_dir, "title", "section_path", "heading"))
     both = found.select("query_id", "path", "score").unionByName(found.where("place = 1").select("query_id", "path", "score"))
     return R.merge_candidates(both).select("query_id", F.array_join("path", " > ").alias("path"), "score", "confidence")
 
@@ -193,7 +193,7 @@ def candidate_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT query_id, chunk_id, score, rank FROM {top_sql("united")}"""
 )
 def hit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions, chunks = asked(spark, sf_dir), corpus(spark, sf_dir)
+    questions, chunks = asked(spark, sf_dir), corpus(spark, sf_dir, "content")
     return R.union_hits(R.lexical_top(questions, chunks), R.dense_text_top(questions, chunks), 4)
 
 
