@@ -172,6 +172,19 @@ def test_equal_vectors_and_empty(spark):
     assert knn.similar_pairs(knn.nearest(df, "ns", "id", "vec"), "id", 0.9).where("chunk_a >= chunk_b").isEmpty()
 
 
+@pytest.mark.parametrize("settings", [knn.Settings(), knn.Settings(unit=1500)])
+def test_recall_in_a_large_group(spark, settings):
+    v = np.random.default_rng(7).standard_normal((4000, 64)).astype(np.float32)
+    rows = [("n", f"v{i:04}", [float(x) for x in v[i]]) for i in range(len(v))]
+    got = defaultdict(set)
+    for r in knn.nearest(spark.createDataFrame(rows, "ns string, id string, vec array<float>"), "ns", "id", "vec", settings=settings).collect():
+        got[r.id].add(r.neighbour)
+    unit = knn.unit_length(v)
+    asked = range(0, 4000, 8)
+    top = {i: [j for j in np.argsort(-(unit @ unit[i])) if j != i][:5] for i in asked}
+    assert sum(len(got[rows[i][1]] & {rows[j][1] for j in top[i]}) for i in asked) >= 0.9 * 5 * len(asked)
+
+
 def test_current_version(spark):
     df = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("a", 2, "new"), ("b", None, "x"), (None, 3, "y"), ("c", 1, None)], "chunk_id string, ingested_at int, content string")
     assert {(r.chunk_id, r.content) for r in current_chunks(df, "content").collect()} == {("a", "new"), ("b", "x"), ("c", None)}

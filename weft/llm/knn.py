@@ -5,8 +5,9 @@ indexed. A query probes the lists of its nearest centroids, distances to codes c
 asymmetric table per query, and the best candidates are ranked again by exact cosine.
 
 The work is cut by group (namespace). A group within ``unit`` vectors is one unit. A larger one is
-cut by coarse cell, and a cell that is still too large by salt; its queries are copied to the cells
-they probe. So no task holds an unbounded group, and vectors of small groups are moved once.
+cut into packs of coarse cells, and a pack that is still too large by salt; its queries are copied
+to the packs they probe. So no task holds an unbounded group, and vectors of small groups are moved
+once. Equal vectors are searched as one and brought apart again afterwards.
 """
 
 from __future__ import annotations
@@ -29,15 +30,17 @@ DIM = 64
 class Settings:
     """sample: most vectors the index is fitted on; cells: most coarse centroids; parts, codes: of the
     product quantiser; scan: least vectors a query is compared with by code, or the share 1/spread of
-    its unit if that is more; rerank: candidates ranked exactly; unit: most vectors of a task's group;
-    probes: cells a query is copied to in larger groups."""
+    its unit if that is more (1: all of it, which one matrix product does faster than list by list);
+    rerank: least candidates ranked exactly, or twice the root of the unit's vectors if that is more;
+    unit: most vectors of a task's group; probes: least cells a query probes in larger groups, or the
+    share 1/spread of them if that is more."""
 
     sample: int = 16_384
     cells: int = 1024
     parts: int = 8
     codes: int = 256
     scan: int = 1024
-    spread: int = 16
+    spread: int = 1
     rerank: int = 40
     unit: int = 65_536
     probes: int = 8
@@ -103,66 +106,89 @@ def fit(points: np.ndarray, cells: int, s: Settings) -> Index:
 
 
 def search(index: Index, queries: np.ndarray, items: np.ndarray, same: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, item, cosine) of the best items of each query; same[q] is the query's own item or -1.
+    """(query, item, cosine to 12 decimals) of the best k items of each query, and those equal to the k-th.
 
-    Both are of unit length in double precision. All of a query's kept candidates come back, k or
-    more where there are as many: the caller orders them and breaks ties. Queries go through in
-    blocks, so that memory follows the items and not their product with the queries.
+    same[q] is the query's own item or -1. Both are of unit length in double precision; the items
+    should differ, since copies take each other's place among the candidates. A distance to a code
+    is the product with the vector that the code stands for, so a list is scanned by one matrix
+    product. Queries go through in blocks, so that memory follows the items and not their product
+    with the queries.
     """
     cell, codes = index.encode(items.astype(np.float32))
     order = np.argsort(cell, kind="stable")
-    found = np.unique(cell)
-    lists = np.split(order, np.searchsorted(cell[order], found[1:]))
-    centroids = np.ascontiguousarray(index.centroids[found].T)
-    column = np.searchsorted(found, cell)
-    sizes = np.array([len(members) for members in lists])
-    want, keep = max(s.scan, len(items) // s.spread), max(s.rerank, 4 * k)
+    found, starts = np.unique(cell[order], return_index=True)
+    ends = np.append(starts[1:], len(items))
     width = index.books.shape[2]
+    coded = index.centroids[cell[order]]
+    for m, book in enumerate(index.books):
+        coded[:, m * width : (m + 1) * width] += book[codes[order, m]]
+    place = np.empty(len(items), dtype=np.int64)
+    place[order] = np.arange(len(items))
+    centroids = np.ascontiguousarray(index.centroids[found].T)
+    sizes = ends - starts
+    want = max(s.scan, len(items) // s.spread)
+    most = min(max(s.rerank, 4 * k, 2 * int(np.sqrt(len(items)))), len(items))
+    size = int(np.clip(16_000_000 // len(items), 64, 1024))
     out_q, out_x, out_c = [], [], []
-    for start in range(0, len(queries), 1024):
-        block = queries[start : start + 1024]
+    for start in range(0, len(queries), size):
+        block, own = queries[start : start + size], same[start : start + size]
         q32 = block.astype(np.float32)
-        coarse = q32 @ centroids
-        tables = [q32[:, m * width : (m + 1) * width] @ book.T for m, book in enumerate(index.books)]
-        rows = np.arange(len(block))
         if len(items) <= want:
-            near = coarse[:, column]
-            for m, table in enumerate(tables):
-                near += np.take(table, codes[:, m], axis=1)
-            own = same[start : start + 1024]
-            near[rows[own >= 0], own[own >= 0]] = -np.inf
-            most = min(keep, len(items))
-            top = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(items) else np.broadcast_to(np.arange(len(items)), near.shape)
-            qs, xs = np.repeat(rows, most), top.reshape(-1)
+            near = q32 @ coded.T
         else:
+            coarse = q32 @ centroids
             by = np.argsort(-coarse, axis=1, kind="stable")
             before = np.cumsum(sizes[by], axis=1) - sizes[by]
             probed = np.zeros(coarse.shape, dtype=bool)
             np.put_along_axis(probed, by, before < want, axis=1)
-            some_q, some_x, some_near = [], [], []
-            for j, members in enumerate(lists):
+            near = np.full((len(block), len(items)), -np.inf, dtype=np.float32)
+            for j, (first, last) in enumerate(zip(starts, ends)):
                 asking = np.nonzero(probed[:, j])[0]
-                if not len(asking):
-                    continue
-                near = np.repeat(coarse[asking, j : j + 1], len(members), axis=1)
-                for m, table in enumerate(tables):
-                    near += table[asking[:, None], codes[members, m]]
-                most = min(keep, len(members))
-                top = np.argpartition(-near, most - 1, axis=1)[:, :most] if most < len(members) else np.broadcast_to(np.arange(most), near.shape)
-                some_q.append(np.repeat(asking, most))
-                some_x.append(members[top].reshape(-1))
-                some_near.append(np.take_along_axis(near, top, axis=1).reshape(-1))
-            qs, xs, scores = np.concatenate(some_q), np.concatenate(some_x), np.concatenate(some_near)
-            by = np.lexsort((-scores, qs))
-            qs, xs = qs[by], xs[by]
-            rank = np.arange(len(qs)) - np.searchsorted(qs, rows)[qs]
-            qs, xs = qs[rank <= keep], xs[rank <= keep]
-        other = same[start + qs] != xs
-        qs, xs = qs[other], xs[other]
+                if len(asking):
+                    near[asking, first:last] = q32[asking] @ coded[first:last].T
+        rows = np.nonzero(own >= 0)[0]
+        near[rows, place[own[rows]]] = -np.inf
+        top = np.argpartition(near, len(items) - most, axis=1)[:, len(items) - most :] if most < len(items) else np.broadcast_to(np.arange(len(items)), near.shape)
+        scanned = np.isfinite(np.take_along_axis(near, top, axis=1))
+        xs = order[top]
+        exact = np.round(np.clip(np.matmul(items[xs], block[:, :, None])[:, :, 0], -1.0, 1.0), 12)
+        exact[~scanned] = -np.inf
+        least = np.partition(exact, most - min(k, most), axis=1)[:, most - min(k, most)]
+        qs, at = np.nonzero(scanned & (exact >= least[:, None]))
         out_q.append(start + qs)
-        out_x.append(xs)
-        out_c.append(np.einsum("ij,ij->i", block[qs], items[xs]))
-    return np.concatenate(out_q), np.concatenate(out_x), np.clip(np.concatenate(out_c), -1.0, 1.0)
+        out_x.append(xs[qs, at])
+        out_c.append(exact[qs, at])
+    return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_c)
+
+
+def ranked(index: Index, vectors: np.ndarray, names: np.ndarray, asking: np.ndarray, offered: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of asking, its class; and by class the best k + 1 rows of offered with their cosines, -1 where there are fewer.
+
+    A class is the rows of one vector; its own rows are among the best, as each of them has the
+    others for neighbours. Classes are searched, not rows, so copies can't crowd out anything; then
+    each gives its k + 1 smallest rows by names, as more can't be among the best.
+    """
+    kinds, kind = np.unique(vectors + 0.0, axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    members = offered[np.lexsort((names[offered], kind[offered]))]
+    there, first = np.unique(kind[members], return_index=True)
+    counts = np.minimum(np.diff(np.append(first, len(members))), k + 1)
+    wanted, of = np.unique(kind[asking], return_inverse=True)
+    same = np.searchsorted(there, wanted)
+    same = np.where((same < len(there)) & (there[np.minimum(same, len(there) - 1)] == wanted), same, -1)
+    qs, xs, cosine = search(index, kinds[wanted], kinds[there], same, k, s)
+    own = np.nonzero(same >= 0)[0]
+    qs, xs, cosine = np.append(qs, own), np.append(xs, same[own]), np.append(cosine, np.ones(len(own)))
+    n = counts[xs]
+    rows = members[np.repeat(first[xs], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    qs, cosine = np.repeat(qs, n), np.repeat(cosine, n)
+    by = np.lexsort((names[rows], -cosine, qs))
+    qs, rows, cosine = qs[by], rows[by], cosine[by]
+    rank = np.arange(len(qs)) - np.searchsorted(qs, np.arange(len(wanted)))[qs]
+    best, value = np.full((len(wanted), k + 1), -1), np.zeros((len(wanted), k + 1))
+    kept = rank <= k
+    best[qs[kept], rank[kept]], value[qs[kept], rank[kept]] = rows[kept], cosine[kept]
+    return of.reshape(-1), best, value
 
 
 def nearest(rows: DataFrame, group: str, key: str, vector: str, k: int = 5, dim: int = DIM, settings: Settings | None = None) -> DataFrame:
@@ -188,58 +214,72 @@ def nearest(rows: DataFrame, group: str, key: str, vector: str, k: int = 5, dim:
 
     sizes = slim.groupBy("_g").agg(F.count("*").alias("_n"))
     sized = slim.join(sizes, "_g")
-    small = sized.where(F.col("_n") <= s.unit).select("_g", F.lit(-1).alias("_cell"), F.lit(0).alias("_salt"), F.lit(0).alias("_block"), "_id", "_v", F.lit(3).alias("_role"))
+    small = sized.where(F.col("_n") <= s.unit).select("_g", F.lit(0).alias("_pack"), F.lit(0).alias("_salt"), F.lit(0).alias("_block"), "_id", "_v", F.lit(3).alias("_role"))
+    # Cells that lie side by side on the centroids' main axis go to packs side by side.
+    middle = index.centroids - index.centroids.mean(axis=0)
+    line = np.argsort(np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable"), kind="stable")
+    probes = max(s.probes, -(-len(index.centroids) // s.spread))
 
     @F.pandas_udf("array<int>")
-    def probes(vectors: pd.Series) -> pd.Series:
+    def cells(vectors: pd.Series) -> pd.Series:
+        """The place on the line of the vector's own cell, then those of the cells to probe."""
         if not len(vectors):
             return pd.Series([], dtype=object)
         v = unit_length(np.stack(vectors.to_numpy())).astype(np.float32)
         own = assign(v, index.centroids)
-        by = np.argsort(-(v @ index.centroids.T - (index.centroids**2).sum(1) / 2), axis=1, kind="stable")[:, : s.probes]
-        return pd.Series([[int(o), *map(int, p)] for o, p in zip(own, by)])
-
-    large = sized.where(F.col("_n") > s.unit).select("_g", "_id", "_v", probes("_v").alias("_p"))
-    items = large.select("_g", "_id", "_v", F.col("_p")[0].alias("_cell"))
-    asked = large.select("_g", "_id", "_v", F.explode(F.slice("_p", 2, s.probes)).alias("_cell"))
-    # A cell's items are cut by salt and its queries by block: a unit has bounded numbers of both.
-    salts = items.groupBy("_g", "_cell").agg(F.ceil(F.count("*") / s.unit).cast("int").alias("_salts"))
-    blocks = asked.groupBy("_g", "_cell").agg(F.ceil(F.count("*") / (s.probes * s.unit)).cast("int").alias("_blocks"))
-    cuts = salts.join(blocks, ["_g", "_cell"])
-    items = items.join(cuts, ["_g", "_cell"]).select("_g", "_cell", F.expr("cast(pmod(xxhash64(_id), _salts) as int)").alias("_salt"), F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_block"), "_id", "_v", F.lit(2).alias("_role"))
-    asked = asked.join(cuts, ["_g", "_cell"]).select("_g", "_cell", F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"), F.expr("cast(pmod(xxhash64(_id, 1), _blocks) as int)").alias("_block"), "_id", "_v", F.lit(1).alias("_role"))
+        by = np.argsort(-(v @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+        return pd.Series([[int(line[o]), *map(int, line[p])] for o, p in zip(own, by)])
+
+    # Of equal vectors the first asks for all, and k + 1 are enough to be found.
+    copies = Window.partitionBy("_g", "_v").orderBy("_id")
+    large = sized.where(F.col("_n") > s.unit).select("_g", "_id", "_v")
+    offered = large.withColumn("_r", F.row_number().over(copies)).where(F.col("_r") <= k + 1).withColumn("_p", cells("_v")).withColumn("_cell", F.col("_p")[0])
+    # Cells make packs of about a unit, cut by salt; their queries are cut by block. A query goes to every pack that has a cell it probes.
+    counted = offered.groupBy("_g", "_cell").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_g").orderBy("_cell")) - F.col("_n")
+    packs = counted.withColumn("_pack", F.floor(before / s.unit).cast("int"))
+    items = offered.join(packs.drop("_n"), ["_g", "_cell"]).select("_g", "_pack", "_id", "_v")
+    held = packs.groupBy("_g").agg(F.map_from_entries(F.collect_list(F.struct("_cell", "_pack"))).alias("_packs"))
+    reached = F.array_distinct(F.filter(F.transform("_p", lambda c: F.try_element_at("_packs", c)), lambda x: x.isNotNull()))
+    asked = offered.where(F.col("_r") == 1).join(held, "_g").select("_g", F.explode(reached).alias("_pack"), "_id", "_v")
+    salts = packs.groupBy("_g", "_pack").agg(F.ceil(F.sum("_n") / s.unit).cast("int").alias("_salts"))
+    blocks = asked.groupBy("_g", "_pack").agg(F.ceil(F.count("*") / s.unit).cast("int").alias("_blocks"))
+    cuts = salts.join(blocks, ["_g", "_pack"])
+    items = items.join(cuts, ["_g", "_pack"]).select("_g", "_pack", F.expr("cast(pmod(xxhash64(_v), _salts) as int)").alias("_salt"), F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_block"), "_id", "_v", F.lit(2).alias("_role"))
+    asked = asked.join(cuts, ["_g", "_pack"]).select("_g", "_pack", F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"), F.expr("cast(pmod(xxhash64(_id, 1), _blocks) as int)").alias("_block"), "_id", "_v", F.lit(1).alias("_role"))
     id_type = slim.schema["_id"].dataType.simpleString()
     group_type = slim.schema["_g"].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
+        """Of a whole group each row's k nearest; else the k + 1 best of each vector that asks, itself among them."""
         ids = table["_id"].combine_chunks()
         role = table["_role"].to_numpy()
         vectors = unit_length(table["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
         q, x = np.nonzero(role & 1)[0], np.nonzero(role & 2)[0]
-        where = {v: i for i, v in enumerate(ids.take(pa.array(x)).to_pylist())}
-        same = np.array([where.get(v, -1) for v in ids.take(pa.array(q)).to_pylist()], dtype=np.int64)
-        if not len(q) or not len(x):
-            qs = xs = np.empty(0, dtype=np.int64)
-            cosine = np.empty(0)
-        else:
-            qs, xs, cosine = search(index, vectors[q], vectors[x], same, k, s)
-            rounded = np.round(cosine, 12)
-            names = np.argsort(np.argsort(np.array(ids.take(pa.array(x)).to_pylist()), kind="stable"), kind="stable")
-            by = np.lexsort((names[xs], -rounded, qs))
-            qs, xs, cosine = qs[by], xs[by], rounded[by]
-            rank = np.arange(len(qs)) - np.searchsorted(qs, np.arange(len(q)))[qs]
-            qs, xs, cosine = qs[rank < k], xs[rank < k], cosine[rank < k]
-        return pa.table({"_g": table["_g"].combine_chunks().take(pa.array(q[qs])), "_id": ids.take(pa.array(q[qs])), "_x": ids.take(pa.array(x[xs])), "_c": pa.array(cosine)})
-
-    schema = f"_g {group_type}, _id {id_type}, _x {id_type}, _c double"
-    units = ["_g", "_cell", "_salt", "_block"]
-    near = small.groupBy(*units).applyInArrow(run, schema).unionByName(items.unionByName(asked).groupBy(*units).applyInArrow(run, schema))
+        qs = xs = np.empty(0, dtype=np.int64)
+        cosine, rank = np.empty(0), np.empty(0, dtype=np.int32)
+        if len(q) and len(x):
+            words = np.array(ids.to_pylist())
+            names = np.unique(words, return_inverse=True)[1].reshape(-1)
+            of, best, value = ranked(index, vectors, names, q, x, k, s)
+            some = best[of]
+            kept = (some >= 0) & ((role[q] == 1)[:, None] | (names[some] != names[q][:, None]))
+            at = np.cumsum(kept, axis=1)
+            kept &= at <= np.where(role[q] == 1, k + 1, k)[:, None]
+            rows, columns = np.nonzero(kept)
+            qs, xs, cosine, rank = q[rows], some[rows, columns], value[of[rows], columns], at[rows, columns].astype(np.int32)
+        return pa.table({"_g": table["_g"].combine_chunks().take(pa.array(qs)), "_id": ids.take(pa.array(qs)), "_x": ids.take(pa.array(xs)), "_c": pa.array(cosine), "rank": pa.array(rank)})
+
+    schema = f"_g {group_type}, _id {id_type}, _x {id_type}, _c double, rank int"
+    units = ["_g", "_pack", "_salt", "_block"]
+    within = small.groupBy(*units).applyInArrow(run, schema)
     best = Window.partitionBy("_g", "_id").orderBy(F.desc("_c"), F.asc("_x"))
-    return (
-        near.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select(F.col("_g").alias(group), F.col("_id").alias(key), F.col("_x").alias("neighbour"), F.col("_c").alias("cosine"), "rank")
-    )
+    parts = items.unionByName(asked).groupBy(*units).applyInArrow(run, schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
+    firsts = large.groupBy("_g", "_v").agg(F.min("_id").alias("_first"))
+    members = large.join(firsts, ["_g", "_v"]).select("_g", "_id", "_first")
+    across = members.join(parts.select("_g", F.col("_id").alias("_first"), "_x", "_c"), ["_g", "_first"]).where(F.col("_id") != F.col("_x"))
+    across = across.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return within.unionByName(across.select("_g", "_id", "_x", "_c", "rank")).select(F.col("_g").alias(group), F.col("_id").alias(key), F.col("_x").alias("neighbour"), F.col("_c").alias("cosine"), "rank")
 
 
 def similar_pairs(neighbours: DataFrame, key: str, least: float) -> DataFrame:
