@@ -172,6 +172,12 @@ def test_equal_vectors_and_empty(spark):
     assert knn.similar_pairs(knn.nearest(df, "ns", "id", "vec"), "id", 0.9).where("chunk_a >= chunk_b").isEmpty()
 
 
+def brute_force(rows, k=5):
+    unit = knn.unit_length(np.array([r[2] for r in rows], dtype=np.float32))
+    cosine = np.round(unit @ unit.T, 12)
+    return {r[1]: [rows[j][1] for j in sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-cosine[i, j], rows[j][1]))[:k]] for i, r in enumerate(rows)}
+
+
 @pytest.mark.parametrize("settings", [knn.Settings(), knn.Settings(unit=1500)])
 def test_recall_in_a_large_group(spark, settings):
     v = np.random.default_rng(7).standard_normal((4000, 64)).astype(np.float32)
@@ -185,6 +191,21 @@ def test_recall_in_a_large_group(spark, settings):
     assert sum(len(got[rows[i][1]] & {rows[j][1] for j in top[i]}) for i in asked) >= 0.9 * 5 * len(asked)
 
 
+@pytest.mark.parametrize("settings", [knn.Settings(), knn.Settings(unit=60, probes=64)])
+def test_many_equal_vectors(spark, settings):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(64)
+    kinds = [base, base + 0.1 * rng.standard_normal(64), *rng.standard_normal((40, 64))]
+    copies = [100, 70, *[1] * 40]
+    names = [f"v{i:03}" for i in rng.permutation(sum(copies))]
+    rows = [("n", names.pop(), [float(np.float32(x)) for x in kind]) for kind, n in zip(kinds, copies) for _ in range(n)]
+    got = knn.nearest(spark.createDataFrame(rows, "ns string, id string, vec array<float>"), "ns", "id", "vec", settings=settings).orderBy("id", "rank").collect()
+    found = defaultdict(list)
+    for r in got:
+        found[r.id].append(r.neighbour)
+    assert found == brute_force(rows)
+
+
 def test_current_version(spark):
     df = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("a", 2, "new"), ("b", None, "x"), (None, 3, "y"), ("c", 1, None)], "chunk_id string, ingested_at int, content string")
     assert {(r.chunk_id, r.content) for r in current_chunks(df, "content").collect()} == {("a", "new"), ("b", "x"), ("c", None)}
