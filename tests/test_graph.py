@@ -1,6 +1,11 @@
+import random
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from weft.functions.vectors import DIMENSION, _counts
 from weft.operators import community as C
 from weft.operators import graph as G
 
@@ -64,6 +69,26 @@ def test_components_and_resolution(spark):
     assert res["org", "Acme Data"] == "acme data data acme" and res["person", "Acme Data"] == "Acme Data" and res["org", "Other"] == "Other"
 
 
+def test_resolution_compares_every_pair_of_a_type(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    names = sorted({*words, *(" ".join(rng.choices(words, k=rng.randint(2, 12))) for _ in range(140)), "\u4e2d", "\u6587"})
+    rows = [(t, n) for i, n in enumerate(names) for t in ("x", "y") if t == "x" or i % 3]
+    for threshold in (0.92, 0.7):
+        got = {(r.type, r.name): r.canonical for r in G.resolve(spark.createDataFrame(rows, "type string, name string"), threshold).collect()}
+        want = {}
+        for t in ("x", "y"):
+            own = [n for k, n in rows if k == t]
+            v = _counts(pd.Series(own), DIMENSION)
+            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+            label = np.arange(len(own))
+            for i, j in zip(*np.nonzero(np.round(v @ v.T, 6) >= threshold)):
+                label[label == label[i]] = label[j]
+            for i, n in enumerate(own):
+                want[t, n] = min((own[j] for j in np.nonzero(label == label[i])[0]), key=lambda m: (-len(m.encode()), m))
+        assert got == want
+
+
 def graph_of(pairs):
     g = {}
     for a, b, w in pairs:

@@ -183,18 +183,25 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def resolve(entities: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(type, name, canonical): names of one type that mean the same, by equal normal names or the cosine of their embeddings.
 
-    Names are compared within a type where they share a token, since embeddings without a common
-    token can't reach a threshold above 0 but by collision of buckets. The canonical name of a
+    Every two names of a type are compared, by their different vectors. A pair can reach the
+    threshold only if, from its first common bucket on, each vector is at least that long; so vectors
+    meet in such buckets, and count in the first common one alone. The canonical name of a
     component is the longest in bytes, then the smallest.
     """
     names = entities.where(F.coalesce(normal_name(F.col("name")), F.lit("")) != "").select(F.coalesce("type", F.lit("")).alias("type"), F.trim("name").alias("name")).distinct()
     keyed = names.withColumn("_id", F.concat("type", F.lit("\x1f"), "name")).withColumn("_n", normal_name(F.col("name"))).withColumn("_v", hash_embedding(F.col("name")))
     same = Window.partitionBy("type", "_n")
     equal = keyed.select(F.col("_id").alias("a"), F.min("_id").over(same).alias("b"))
-    tokens = keyed.select("type", "_id", "_v", F.explode(F.array_distinct(F.filter(F.split("_n", "[^a-z0-9]+"), lambda t: t != ""))).alias("_t"))
-    left, right = tokens.select("type", "_t", F.col("_id").alias("a"), F.col("_v").alias("_va")), tokens.select("type", "_t", F.col("_id").alias("b"), F.col("_v").alias("_vb"))
-    near = left.join(right, ["type", "_t"]).where("a < b").dropDuplicates(["a", "b"]).where(F.round(cosine(F.col("_va"), F.col("_vb")), DIGITS) >= threshold).select("a", "b")
-    linked = components(equal.unionByName(near))
+    rest = lambda v, i: F.aggregate(F.slice(v, i + 1, F.size(v)), F.lit(0.0), lambda s, x: s + x * x)
+    kinds = keyed.where(F.exists("_v", lambda x: x > 0)).groupBy("type", "_v").agg(F.min("_id").alias("_first"))
+    alike = keyed.join(kinds, ["type", "_v"]).where(F.lit(threshold) <= 1).select(F.col("_id").alias("a"), F.col("_first").alias("b"))
+    least = max(0.0, threshold - 10**-DIGITS) ** 2
+    buckets = F.filter(F.sequence(F.lit(0), F.size("_v") - 1), lambda i: (F.get("_v", i) > 0) & (rest(F.col("_v"), i) >= least))
+    placed = cut(kinds.select("type", "_first", "_v", F.explode(buckets).alias("_b")))
+    left, right = placed.select("type", "_b", F.col("_first").alias("a"), F.col("_v").alias("_va")), placed.select("type", "_b", F.col("_first").alias("b"), F.col("_v").alias("_vb"))
+    common = F.array_position(F.zip_with("_va", "_vb", lambda x, y: (x > 0) & (y > 0)), F.lit(True)) - 1
+    near = left.join(right, ["type", "_b"]).where((F.col("a") < F.col("b")) & (common == F.col("_b"))).where(F.round(cosine(F.col("_va"), F.col("_vb")), DIGITS) >= threshold).select("a", "b")
+    linked = components(equal.unionByName(alike).unionByName(near))
     placed = keyed.join(linked, keyed._id == linked.node).select("type", "name", "component")
     heads = placed.groupBy("component").agg(F.min_by("name", F.struct(-F.octet_length("name"), F.col("name"))).alias("canonical"))
     return placed.join(heads, "component").select("type", "name", "canonical")
