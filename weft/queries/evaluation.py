@@ -9,7 +9,8 @@ from weft.functions.parsers import grader_score, judgement
 from weft.operators import evaluate
 from weft.queries.base import HITS, fields_sql, lexical_hits, query, read
 
-# The gold of a query, for want of labels: the document of its best usable hit, whatever the leg.
+# The gold of a query, for want of labels: the document of its best usable lexical hit. Queries without one have no gold and stay
+# out of the means: at sf0.1, 48 of the 2,001 with usable hits.
 _GOLD = """gold AS (SELECT query_id, [arg_max(split_part(chunk_id, ':', 1), (score, chunk_id))] AS docs, [arg_max(chunk_id, (score, chunk_id))] AS chunks FROM hits
   WHERE query_id IS NOT NULL AND namespace IS NOT NULL AND chunk_id IS NOT NULL AND leg = 'lexical' AND score IS NOT NULL AND NOT isnan(score) GROUP BY query_id)"""
 _PER = f"""{HITS}, {_GOLD}, per AS (SELECT g.query_id, len(list_intersect(g.docs, coalesce(t.docs, []))) / 5 AS p, len(list_intersect(g.docs, coalesce(t.docs, []))) / len(g.docs) AS r,
