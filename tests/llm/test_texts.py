@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weft.llm import bpe, markup, pii, pii_train, split, subjects, variants
+from weft.llm import bpe, markup, pii, pii_phrases, pii_train, split, subjects, variants
 
 ENTITIES = "entity_id long, name string, type string, kind string, class_id string"
 
@@ -178,40 +178,95 @@ def test_personal_data(text, want):
         assert all(s not in pii.redact(text, spans) for _, s in want)
 
 
-def test_bound_never_misses_and_long_texts(spark):
+def test_viterbi_is_exact_and_long_texts(spark):
+    import numpy as np
+
     network = pii.load(pii.weights())
+    rng = np.random.default_rng(1)
+    table = pii_train.transitions({"leave": network.leave, "enter": network.enter, "begun": network.begun, "inside": network.inside})
+    for _ in range(20):
+        n = int(rng.integers(2, 6))
+        scores = rng.standard_normal((n, len(pii.TAGS), 1)).astype(np.float32) * 6
+        best, back = np.r_[network.enter, np.full(len(pii.KINDS), -1e9)] + scores[0, :, 0], []
+        for t in range(1, n):
+            ways = best[:, None] + table
+            back.append(ways.argmax(0))
+            best = ways.max(0) + scores[t, :, 0]
+        want = [int(best.argmax())]
+        for step in reversed(back):
+            want.append(int(step[want[-1]]))
+        loud, tags = network.decode(scores.copy(), np.array([n]))
+        assert (tags[:, 0].tolist() if len(loud) else [0] * n) == want[::-1]
     texts = [t for t, _ in PRIVATE] + ["word " * 3000 + "Call +49 30 23125 981 after nine. " + "tail " * 2000, "x" * 4000]
     a = pii.Reader(network).find(texts)
-    network.loud = lambda scores, lengths: __import__("numpy").ones(scores.shape[2], dtype=bool)  # type: ignore[method-assign]
-    assert pii.Reader(network).find(texts) == a and len(a[-2]) == 1 and a[-1] == []
+    assert len(a[-2]) == 1 and a[-1] == [] and a == [pii.Reader(network).find([t])[0] for t in texts]
     df = spark.createDataFrame([(1, texts[0], "x"), (1, texts[0], "x"), (2, None, "x"), (3, "", "x")], "id long, t string, kind string")
     assert pii.personal_data(df, "id", "t").count() == 1
     assert {r.redacted for r in pii.redacted(df, "id", "t").collect()} == {"Write to [EMAIL] if the link is broken.", None, ""}
     assert pii.personal_data(df.where("false"), "id", "t").isEmpty()
 
 
+ORDINARY = [
+    ("You can be reached at jon.meyer@foo.org any time.", "You can be reached at [EMAIL] any time."),
+    ("The gateway 192.168.17.4 was restarted last night.", "The gateway [IPV4] was restarted last night."),
+    ("He lives at 12 Baker Street, London NW1 6XE with his dog.", "He lives at [ADDRESS] with his dog."),
+    ("My colleague Jonathan Meyer presented the results.", "My colleague [NAME] presented the results."),
+    ("Sarah Connor called the office twice.", "[NAME] called the office twice."),
+    ("Peter Novak and Anna Schmidt wrote the paper together.", "[NAME] and [NAME] wrote the paper together."),
+    ("Please phone (555) 123-4567 or email info@shop.co.uk.", "Please phone [PHONE] or email [EMAIL]."),
+    ("The Golden Gate Bridge opened in 1937.", "The Golden Gate Bridge opened in 1937."),
+    ("Visa 4111 1111 1111 1111 was charged twice.", "Visa [CREDIT_CARD] was charged twice."),
+    ("Wir treffen uns mit Klaus Hoffmann in Berlin.", "Wir treffen uns mit [NAME] in Berlin."),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), ORDINARY)
+def test_ordinary_sentences(text, want):
+    """Sentences of no carrier and of no phrase of the test tables."""
+    reader = pii.Reader(pii.load(pii.weights()))
+    assert pii.redact(text, reader.find([text])[0]) == want
+
+
+def test_held_out_carriers():
+    """Recall on carriers that were never trained on, by kind; all of an e-mail, an address of the network or an SSN must go."""
+    maker = pii_phrases.Maker(random.Random(99), held=True)
+    lines = [maker.fill(*line) for group in maker.lines.values() for line in group for _ in range(30)]
+    assert not set(maker.lines["name"]) & set(pii_phrases.carriers(False)["name"])
+    marks = pii_train.score(pii.load(pii.weights()), lines)
+    least = {"email": 0.98, "ssn": 0.98, "ipv4": 0.98, "address": 0.95, "credit_card": 0.9, "phone": 0.8, "id_number": 0.75, "name": 0.78}
+    assert all(marks[k][1] >= v for k, v in least.items()), marks
+
+
+def test_check_takes_no_words_before_an_address():
+    text = "reached at jon.meyer@foo.org, or jane at mail dot foo dot org"
+    assert pii.check(text, 8, 28, "email") == (11, 28, "email")
+    at = text.index("jane")
+    assert text[slice(*pii.check(text, at, len(text), "email")[:2])] == "jane at mail dot foo dot org"
+    assert pii.check("x 078-05-1120", 2, 13, "phone") == (2, 13, "ssn") and pii.check("a 10.0.0.1", 2, 10, "phone") == (2, 10, "ipv4")
+
+
 def test_gradients_are_right():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    e, h, n = pii_train.EMBED, pii_train.HIDDEN, len(pii.TAGS)
-    p = {"embed": rng.standard_normal((7, e)), "out": rng.standard_normal((2 * h, n)) * 0.3, "bias": np.zeros(n), "trans": rng.standard_normal((n, n)) * 0.1, "first": np.zeros(n)}
+    net = pii_train.empty(dict.fromkeys("abcdef", 1), rng)
+    p = {"embed": net.embed, "out": net.out, "bias": net.bias, "leave": net.leave, "enter": net.enter, "begun": net.begun, "inside": net.inside}
     for w in (0, 1):
-        p |= {f"w{w}": rng.standard_normal((e, 4 * h)) * 0.2, f"u{w}": rng.standard_normal((h, 4 * h)) * 0.2, f"b{w}": np.zeros(4 * h)}
-    p = {k: v.astype(np.float64) for k, v in p.items()}
-    ids, gold, lengths = rng.integers(0, 7, (5, 3)), rng.integers(0, n, (5, 3)), np.array([5, 4, 2])
+        p |= {f"w{w}": net.w[w], f"u{w}": net.u[w], f"b{w}": net.b[w]}
+    p = {k: v.astype(np.float64) + rng.standard_normal(v.shape) * 0.1 for k, v in p.items()}
+    ids, gold, lengths = rng.integers(0, 7, (5, 3)), np.zeros((5, 3), dtype=int), np.array([5, 4, 2])
+    gold[1:4, 0], gold[:2, 1], gold[1, 2] = [1, 9, 9], [8, 16], 3
     _, grads = pii_train.gradients(p, ids, gold, lengths)
-    for k in ("embed", "w0", "u1", "out", "trans"):
+    for k in p:
         i = tuple(rng.integers(0, s) for s in p[k].shape)
-        if k == "embed":
-            i = (int(ids[0, 0]), 1)
-        step = 1e-3
+        i = {"embed": (int(ids[0, 0]), 1), "begun": (7,), "inside": (0,)}.get(k, i)
+        step = 1e-4
         p[k][i] += step
         up, _ = pii_train.gradients(p, ids, gold, lengths)
         p[k][i] -= 2 * step
         down, _ = pii_train.gradients(p, ids, gold, lengths)
         p[k][i] += step
-        assert grads[k][i] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=2e-3)
+        assert grads[k][i] == pytest.approx((up - down) / (2 * step), rel=1e-4, abs=1e-7)
 
 
 def test_subjects(spark):

@@ -4,6 +4,11 @@ The network is plain numpy. Texts are cut into sentences and lines; longer ones
 windows whose scores are blended, and one Viterbi pass over the whole stretch reconciles them.
 Sentences that were read before, and they are many in any corpus, are looked up. What is found is
 checked exactly against the shape of its kind, and trimmed of labels and punctuation.
+
+The cell couples its input and forget gates (one is what the other leaves) and its gates are straight
+between 0 and 1, so that a step is one product and few passes. Steps from a tag to "nothing" or to
+the beginning of a kind cost what leaving the one and entering the other cost; inside a kind only
+its own tags follow. So Viterbi needs a maximum per step instead of a table of tags by tags.
 """
 
 from __future__ import annotations
@@ -21,51 +26,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "phone", "ssn", "id_number", "credit_card", "ipv4", "address", "name")
-TAGS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: Nothing, then the beginning of each kind, then its inside.
+TAGS = ("O", *(f"B-{k}" for k in KINDS), *(f"I-{k}" for k in KINDS))
+FIRST_INSIDE = 1 + len(KINDS)
 #: Characters of a window, and those that neighbouring windows share.
 WINDOW, OVERLAP = 160, 64
 #: Windows that go through the network together.
 BATCH = 1024
 #: Texts read together.
 TEXTS = 2048
-#: Sentences that a worker remembers.
-KEEP = 300_000
+#: Sentences that a worker remembers: those of the last reads, and as many from before.
+KEEP = 150_000
 WEIGHTS = "pii_weights.npz"
 
-# A stretch ends at a line's end, after a Chinese full stop, or after a sentence's mark that follows a
-# word of four letters or more, as abbreviations are shorter, and comes before a capital or a tag.
-_MARK = re.compile(r"[.!?>。！？]")
+# A stretch ends at a line's end, after a Chinese full stop, after a tag, or after a sentence's mark that
+# follows a word of four letters or more, as abbreviations are shorter, and comes before a capital or a tag.
+_CUT = re.compile(
+    r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]|[。！？](?=[^\n])|>(?=[^\W\d_a-z])|[.!?](?<=[^\W\d_]{4}[.!?])(?:(?=<)| (?=[^\W\d_a-zß-ÿ]))"
+)
 
 
 @dataclass
 class Network:
-    """chars: the known characters, by place; 0 is any other. Weights of both directions, tags and transitions."""
+    """chars: the known characters, by place; 0 is any other. Weights of both directions, tags and transitions.
+
+    w, u, b: per direction, input, state and bias of the three gates keep-or-take, output and content.
+    leave, enter: of a step from any tag to "nothing" or a beginning; begun, inside: of a step to a
+    kind's inside from its beginning and from its inside.
+    """
 
     chars: dict[str, int]
     embed: np.ndarray
-    w: list[np.ndarray]  # per direction: input to gates
-    u: list[np.ndarray]  # state to gates
+    w: list[np.ndarray]
+    u: list[np.ndarray]
     b: list[np.ndarray]
     out: np.ndarray
     bias: np.ndarray
-    trans: np.ndarray
-    first: np.ndarray
+    leave: np.ndarray
+    enter: np.ndarray
+    begun: np.ndarray
+    inside: np.ndarray
 
     def __post_init__(self) -> None:
-        # sigmoid(x) = (1 + tanh(x/2))/2: with the inner halving in the weights one tanh serves all gates,
-        # and with the outer one of the output gate in what reads the state, it needs no step of its own
+        # a gate is x/4 + 1/2 between 0 and 1; the quarter and the half go into the weights
         hidden = self.u[0].shape[0]
-        half = np.r_[np.full(3 * hidden, 0.5), np.ones(hidden)].astype(np.float32)
-        self.table = [np.ascontiguousarray((self.embed @ w + b) * half) for w, b in zip(self.w, self.b)]
-        self.state = [np.ascontiguousarray(u * half * 0.5) for u in self.u]
-        self.read_out = np.ascontiguousarray(self.out.T * 0.5)
-        stay = float(self.trans[0, 0])
-        self.enter = (self.trans[0, 1:] - stay).astype(np.float32)
-        self.opening = np.maximum(self.first[1:] - self.first[0], self.enter).astype(np.float32)
-        self.within = float(self.trans[1:, 1:].max()) - stay
-        # a run at the end of a text needs no step out of it, and is spared one that stays
-        self.leave = max(0.0, float(self.trans[1:, 0].max()) - stay, -stay) + 1e-3
+        scale = np.r_[np.full(2 * hidden, 0.25), np.ones(hidden)].astype(np.float32)
+        shift = np.r_[np.full(2 * hidden, 0.5), np.zeros(hidden)].astype(np.float32)
+        self.gates = [np.ascontiguousarray((np.concatenate([u, w, b[None]]) * scale).T) for w, u, b in zip(self.w, self.u, self.b)]
+        for g in self.gates:
+            g[:, -1] += shift
+        self.letters = np.ascontiguousarray(self.embed.T)
+        self.read_out = [np.ascontiguousarray(self.out[:hidden].T), np.ascontiguousarray(self.out[hidden:].T)]
         self.places = np.full(0x110000, -1, dtype=np.int32)
+        self.room = np.empty(0, dtype=np.float32)
 
     def encode(self, texts: Sequence[str]) -> np.ndarray:
         """The places of the texts' characters, end to end."""
@@ -77,70 +90,87 @@ class Network:
         return places
 
     def emissions(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Tag scores (tag, time, text) of padded texts (time, text), longest first."""
+        """Tag scores (time, tag, text) of padded texts (time, text), longest first; beyond a text's end they mean nothing."""
         t_max, n = ids.shape
-        hidden = self.u[0].shape[0]
-        states = np.zeros((t_max, n, 2 * hidden), dtype=np.float32)
-        # lengths fall, so the texts that still run at each step are the first ones
-        alive = np.searchsorted(-lengths, -np.arange(t_max), side="left").tolist()
-        all_gates, all_pushed, squashed = np.empty((n, 4 * hidden), np.float32), np.empty((n, 4 * hidden), np.float32), np.empty((n, hidden), np.float32)
+        hidden, wide = self.u[0].shape[0], self.embed.shape[1]
+        rows = hidden + wide + 1
+        if self.room.size < 2 * (t_max + 1) * rows * n:
+            self.room = np.zeros(2 * (t_max + 1) * rows * n, dtype=np.float32)
+        # fed[way][t]: what a step reads: the state before it, its letter, and 1; a step writes its state where the next one reads
+        fed = self.room[: 2 * (t_max + 1) * rows * n].reshape(2, t_max + 1, rows, n)
+        for e in range(wide):
+            letters = np.take(self.letters[e], ids)
+            fed[0, :-1, hidden + e], fed[1, 1:, hidden + e] = letters, letters
+        fed[:, :, -1] = 1
+        fed[0, 0, :hidden] = 0
+        alive = [*alive_at(lengths, t_max), 0]
+        room, squashed, cells = np.empty(3 * hidden * n, np.float32), np.empty(hidden * n, np.float32), np.empty(hidden * n, np.float32)
         for way in (0, 1):
-            h, c = np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
-            table, state = self.table[way], self.state[way]
+            weights = self.gates[way]
+            cell = np.zeros((hidden, n), np.float32)
             for t in range(t_max) if way == 0 else range(t_max - 1, -1, -1):
                 k = alive[t]
-                gates, pushed, cell = all_gates[:k], all_pushed[:k], c[:k]
-                np.matmul(h[:k], state, out=gates)
-                np.take(table, ids[t, :k], axis=0, out=pushed, mode="clip")
-                gates += pushed
-                np.tanh(gates, out=gates)
-                gates[:, : 3 * hidden] += 1
-                cell *= gates[:, hidden : 2 * hidden]
-                gates[:, :hidden] *= gates[:, 3 * hidden :]
-                cell += gates[:, :hidden]
-                cell *= 0.5
-                np.tanh(cell, out=squashed[:k])
-                np.multiply(squashed[:k], gates[:, 2 * hidden : 3 * hidden], out=h[:k])
-                states[t, :k, way * hidden : (way + 1) * hidden] = h[:k]
-        scores = (self.read_out @ states.reshape(-1, 2 * hidden).T).reshape(len(TAGS), t_max, n)
-        scores += self.bias[:, None, None]
+                at, to = (t, t + 1) if way == 0 else (t + 1, t)
+                if way == 1:
+                    fed[1, at, :hidden, alive[t + 1] : k] = 0  # texts that end here
+                gates, new, old = room[: 3 * hidden * k].reshape(3 * hidden, k), squashed[: hidden * k].reshape(hidden, k), cells[: hidden * k].reshape(hidden, k)
+                np.matmul(weights, fed[way, at, :, :k], out=gates)
+                take, give, content = gates[:hidden], gates[hidden : 2 * hidden], gates[2 * hidden :]
+                np.clip(gates[: 2 * hidden], 0, 1, out=gates[: 2 * hidden])
+                np.tanh(content, out=content)
+                held = cell[:, :k]
+                np.subtract(content, held, out=old)
+                old *= take
+                held += old
+                np.tanh(held, out=new)
+                np.multiply(new, give, out=fed[way, to, :hidden, :k])
+        scores = np.matmul(self.read_out[0], fed[0, 1:, :hidden])
+        scores += np.matmul(self.read_out[1], fed[1, :-1, :hidden])
+        scores += self.bias[:, None]
         return scores
 
-    def loud(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Which padded texts could hold anything: in the others no run of tags outscores "nothing here".
+    def decode(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts for which some run of tags outscores "nothing here", and their best tags (time, text), by Viterbi.
 
-        The bound takes each run's best start, best tags and best steps inside and out of it, whether
-        or not they go together, so it never misses a run that Viterbi would choose.
+        scores is (time, tag, text), texts longest first; it is overwritten by the best sums.
         """
-        nothing = scores[0]
-        begin = (scores[1:] + self.enter[:, None, None]).max(axis=0) - nothing
-        inside = scores[1:].max(axis=0) - nothing + self.within
-        run = (scores[1:, 0] + self.opening[:, None]).max(axis=0) - nothing[0]
-        best = run.copy()
-        for t in range(1, scores.shape[1]):
-            run = np.maximum(begin[t], run + inside[t])
-            np.maximum(best, np.where(t < lengths, run, -np.inf), out=best)
-        return best + self.leave >= 0
-
-    def decode(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best tags (time, text) of padded texts by Viterbi; scores is (tag, time, text)."""
-        scores = np.ascontiguousarray(scores.transpose(1, 2, 0))
-        t_max, n, _ = scores.shape
-        into = np.ascontiguousarray(self.trans.T.astype(np.float32))
-        best = self.first.astype(np.float32) + scores[0]
-        back = np.empty((t_max, n, len(TAGS)), dtype=np.int8)
+        t_max, _, n = scores.shape
+        one = FIRST_INSIDE
+        leave, enter, begun, inside = self.leave[:, None], self.enter[:, None], self.begun[:, None], self.inside[:, None]
+        best = scores[0]
+        calm = np.empty((t_max, n), np.float32)  # the sums of "nothing" throughout, added up as the others are
+        best[:one] += enter
+        best[one:] = -1e9
+        calm[0] = best[0]
+        for t, k in enumerate(alive_at(lengths, t_max)):
+            if not t:
+                continue
+            before, now = scores[t - 1, :, :k], scores[t, :, :k]
+            calm[t, :k] = now[0] + ((calm[t - 1, :k] + self.leave[0]) + self.enter[0])
+            now[:one] += (before + leave).max(axis=0) + enter
+            now[one:] += np.maximum(before[1:one] + begun, before[one:] + inside)
         rows = np.arange(n)
-        for t in range(1, t_max):
-            ways = best[:, None, :] + into
-            back[t] = ways.argmax(axis=2)
-            step = np.take_along_axis(ways, back[t][:, :, None].astype(np.int64), axis=2)[:, :, 0] + scores[t]
-            best = np.where((t < lengths)[:, None], step, best)
-        tags = np.zeros((t_max, n), dtype=np.int64)
-        tags[lengths - 1, rows] = best.argmax(axis=1)
-        for t in range(t_max - 1, 0, -1):
-            inside = t < lengths
-            tags[t - 1] = np.where(inside, back[t, rows, tags[t]], tags[t - 1])
-        return tags
+        loud = np.nonzero(scores[lengths - 1, :, rows].max(axis=1) > calm[lengths - 1, rows])[0]
+        if not len(loud):
+            return loud, np.zeros((t_max, 0), np.int64)
+        ends = lengths[loud]
+        mine = np.ascontiguousarray(scores[: ends[0], :, loud].transpose(0, 2, 1))
+        left = (mine + self.leave).argmax(axis=2)
+        fresh = mine[:, :, 1:one] + self.begun >= mine[:, :, one:] + self.inside
+        tags = np.zeros((int(ends[0]), len(loud)), dtype=np.int64)
+        rows = np.arange(len(loud))
+        tags[ends - 1, rows] = mine[ends - 1, rows].argmax(axis=1)
+        for t in range(int(ends[0]) - 1, 0, -1):
+            tag = tags[t]
+            k = np.maximum(tag - one, 0)
+            came = np.where(tag < one, left[t - 1], np.where(fresh[t - 1, rows, k], k + 1, tag))
+            tags[t - 1] = np.where(t < ends, came, tags[t - 1])
+        return loud, tags
+
+
+def alive_at(lengths: np.ndarray, steps: int) -> list[int]:
+    """How many of the texts, longest first, still run at each step."""
+    return np.searchsorted(-lengths, -np.arange(steps), side="left").tolist()
 
 
 def code(c: str, chars: dict[str, int]) -> int:
@@ -159,45 +189,27 @@ def load(data: bytes) -> Network:
     with np.load(io.BytesIO(data), allow_pickle=False) as z:
         chars = {c: i + 1 for i, c in enumerate("".join(map(chr, z["chars"])))}
         get = lambda k: z[k].astype(np.float32)
-        return Network(chars, get("embed"), [get("w0"), get("w1")], [get("u0"), get("u1")], [get("b0"), get("b1")], get("out"), get("bias"), get("trans").astype(np.float64), get("first").astype(np.float64))
+        return Network(chars, get("embed"), [get("w0"), get("w1")], [get("u0"), get("u1")], [get("b0"), get("b1")], *map(get, ("out", "bias", "leave", "enter", "begun", "inside")))
 
 
 def stretches(text: str) -> list[tuple[int, str]]:
     """(start, text) of the sentences and lines, blanks at their ends left out."""
     out: list[tuple[int, str]] = []
-    start = 0
-    for line in text.splitlines(keepends=True):
-        cuts = []
-        for m in _MARK.finditer(line):
-            p = m.end()
-            mark, after = line[p - 1], line[p : p + 1]
-            if mark in "。！？":
-                if after and after != "\n":
-                    cuts.append(p)
-            elif mark == ">":
-                if after.isalpha() and not "a" <= after <= "z":
-                    cuts.append(p)
-            elif p > 4 and (after == " " or after == "<") and line[p - 5 : p - 1].isalpha():
-                first = line[p + 1 : p + 2]
-                if after == "<":
-                    cuts.append(p)
-                elif first.isalpha() and not ("a" <= first <= "z" or "ß" <= first <= "ÿ"):
-                    cuts.append(p + 1)
-        at = 0
-        for cut in [*cuts, len(line)]:
-            part = line[at:cut]
-            if body := part.strip():
-                out.append((start + at + len(part) - len(part.lstrip()), body))
-            at = cut
-        start += len(line)
+    at = 0
+    for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+        part = text[at:end]
+        if body := part.strip():
+            out.append((at if body[0] == part[0] else at + len(part) - len(part.lstrip()), body))
+        at = end
     return out
 
 
 def spans_of(tags: np.ndarray) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
     for i in np.nonzero(tags)[0].tolist():
-        kind = KINDS[(tags[i] - 1) // 2]
-        if tags[i] % 2 == 0 and out and out[-1][1] == i and out[-1][2] == kind:
+        inside = tags[i] >= FIRST_INSIDE
+        kind = KINDS[tags[i] - (FIRST_INSIDE if inside else 1)]
+        if inside and out and out[-1][1] == i and out[-1][2] == kind:
             out[-1] = (out[-1][0], i + 1, kind)
         else:
             out.append((i, i + 1, kind))
@@ -208,13 +220,14 @@ class Reader:
     """Reads stretches of text in batches; remembers what it has read."""
 
     def __init__(self, network: Network) -> None:
-        self.network, self.seen = network, {}
+        self.network, self.seen, self.older = network, {}, {}
 
     def read(self, texts: Sequence[str]) -> None:
         """Fill ``seen`` with the spans of these texts: all windows of similar length go through the network together."""
         net = self.network
         if not texts:
             return
+        self.seen |= dict.fromkeys(texts, ())
         places = net.encode(texts)
         windows: list[tuple[int, int, int, int]] = []  # length, text, start in the text, place of its first character
         begin = 0
@@ -225,45 +238,43 @@ class Reader:
             else:
                 windows += [(min(WINDOW, size - at), k, at, begin + at) for at in range(0, size - OVERLAP, WINDOW - OVERLAP)]
             begin += size
-        windows.sort(key=lambda w: -w[0])
+        table = np.array(windows)
+        table = table[np.argsort(-table[:, 0], kind="stable")]
+        sizes = np.array([len(t) for t in texts])
         blended: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for at in range(0, len(windows), BATCH):
-            batch = windows[at : at + BATCH]
-            lengths = np.array([w[0] for w in batch])
+        for at in range(0, len(table), BATCH):
+            lengths, which, starts, begins = table[at : at + BATCH].T
             steps = np.arange(lengths[0])[:, None]
-            inside = steps < lengths
-            ids = np.where(inside, places[np.where(inside, steps + np.array([w[3] for w in batch]), 0)], 0).astype(np.intp)
+            ids = places[np.where(steps < lengths, steps + begins, 0)]
             got = net.emissions(ids, lengths)
-            loud = net.loud(got, lengths)
-            whole = np.array([len(texts[w[1]]) <= WINDOW for w in batch])
-            some = np.nonzero(loud & whole)[0]
-            tags = net.decode(got[:, :, some], lengths[some]) if len(some) else None
-            for j in np.nonzero(whole)[0].tolist():
-                self.seen[texts[batch[j][1]]] = ()
-            for column, j in enumerate(some.tolist()):
-                text = texts[batch[j][1]]
-                self.seen[text] = self._checked(text, tags[: len(text), column])
-            for j in np.nonzero(~whole)[0].tolist():
-                size, k, start, _ = batch[j]
-                if k not in blended:
-                    blended[k] = np.zeros((len(TAGS), len(texts[k])), np.float32), np.zeros(len(texts[k]), np.float32)
-                edge = np.minimum(np.arange(1, size + 1), np.arange(size, 0, -1)).astype(np.float32)
-                blended[k][0][:, start : start + size] += got[:, :size, j] * edge
-                blended[k][1][start : start + size] += edge
+            for i in np.nonzero(sizes[which] > WINDOW)[0].tolist():
+                k = int(which[i])
+                self._blend(blended, texts[k], k, int(starts[i]), got[: lengths[i], :, i])
+            loud, tags = net.decode(got, lengths)
+            for column, i in enumerate(loud.tolist()):
+                text = texts[which[i]]
+                if len(text) <= WINDOW:
+                    self.seen[text] = self._checked(text, tags[: len(text), column])
         long = sorted(blended, key=lambda k: -len(texts[k]))
         for at in range(0, len(long), 64):
-            batch_of = long[at : at + 64]
-            lengths = np.array([len(texts[k]) for k in batch_of])
-            scores = np.zeros((len(TAGS), lengths[0], len(batch_of)), np.float32)
-            for j, k in enumerate(batch_of):
-                scores[:, : lengths[j], j] = blended[k][0] / blended[k][1]
-            some = np.nonzero(net.loud(scores, lengths))[0]
-            for k in batch_of:
-                self.seen[texts[k]] = ()
-            if len(some):
-                tags = net.decode(scores[:, : lengths[some[0]], some], lengths[some])
-                for column, j in enumerate(some.tolist()):
-                    self.seen[texts[batch_of[j]]] = self._checked(texts[batch_of[j]], tags[: lengths[j], column])
+            batch = [texts[k] for k in long[at : at + 64]]
+            lengths = np.array([len(t) for t in batch])
+            scores = np.zeros((lengths[0], len(TAGS), len(batch)), np.float32)
+            for j, k in enumerate(long[at : at + 64]):
+                scores[: lengths[j], :, j] = blended[k][0] / blended[k][1][:, None]
+            loud, tags = net.decode(scores, lengths)
+            for column, j in enumerate(loud.tolist()):
+                self.seen[batch[j]] = self._checked(batch[j], tags[: lengths[j], column])
+
+    @staticmethod
+    def _blend(blended: dict[int, tuple[np.ndarray, np.ndarray]], text: str, k: int, start: int, scores: np.ndarray) -> None:
+        """Add a window's scores, weighed by the distance from its edges."""
+        size = len(scores)
+        if k not in blended:
+            blended[k] = np.zeros((len(text), len(TAGS)), np.float32), np.zeros(len(text), np.float32)
+        edge = np.minimum(np.arange(1, size + 1), np.arange(size, 0, -1)).astype(np.float32)
+        blended[k][0][start : start + size] += scores * edge[:, None]
+        blended[k][1][start : start + size] += edge
 
     @staticmethod
     def _checked(text: str, tags: np.ndarray) -> tuple[tuple[int, int, str], ...]:
@@ -272,23 +283,41 @@ class Reader:
     def find(self, texts: Sequence[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) in each text, in order."""
         parts = [stretches(t) if t else [] for t in texts]
-        if len(self.seen) > KEEP:
-            self.seen.clear()
-        self.read(list({s for p in parts for _, s in p if s not in self.seen}))
-        return [[(at + a, at + b, kind) for at, s in p for a, b, kind in self.seen[s]] for p in parts]
+        new = dict.fromkeys(s for p in parts for _, s in p if s not in self.seen)
+        self.seen |= {s: self.older[s] for s in new if s in self.older}
+        self.read([s for s in new if s not in self.seen])
+        seen = self.seen
+        found = [[(at + a, at + b, kind) for at, s in p for a, b, kind in seen[s]] for p in parts]
+        if len(seen) > KEEP:
+            self.older, self.seen = seen, {}
+        return found
 
 
 # ---------------------------------------------------------------- exact checks
 
 _LABEL = re.compile(r"^(?:(?:Dr|Prof|Mr|Mrs|Ms|Mme|Frau|Herr|Sra?|Dra?)\.? |mailto:|tel:|[\"'“„«<(\[{]+)+", re.I)
-_AT, _DOT = r"(?:\s?(?:@|\[at\]|\(at\)|\{at\}|＠)\s?|\s+at\s+)", r"(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?|\s+dot\s+)"
-_EMAIL = re.compile(rf"[A-Za-z0-9_.+%-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
+# An address is written with its sign, with a bracketed word for it, or spelled out, and then its dots are spelled out too.
+_DOT = r"(?:\.|\s?(?:\[dot\]|\(dot\)|\{dot\})\s?)"
+_EMAIL = re.compile(
+    rf"[A-Za-z0-9_.+%-]+(?:[@＠]| @ |\s?(?:\[at\]|\(at\)|\{{at\}})\s?)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+"
+    r"|[A-Za-z0-9_.+%-]+(?: dot [A-Za-z0-9_+%-]+)*\s+at\s+[A-Za-z0-9-]+(?:\s+dot\s+[A-Za-z0-9-]+)+",
+    re.I,
+)
 _IP = re.compile(r"(?:\d{1,3}(?:\.|\[\.\])){3}\d{1,3}")
+_SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _GROUPS = re.compile(r"[+(]?\d[\d ().\-/]*\d")
 
 
 def check(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] | None:
-    """The span within its stretch, snapped to the shape of its kind; None if it can't be of that kind."""
+    """The span within its stretch, snapped to the shape of its kind; None if it can't be of that kind.
+
+    Digits shaped like an address of the network are one, and three, two and four of them joined by
+    hyphens are no telephone number, whichever number they were taken for. A telephone number has 7 to
+    15 digits, a card's 13 to 19, an SSN 9, an address one or more; a name has two to eight words
+    (a Chinese one two characters or more), an address at most 160 characters.
+    """
+    if kind in ("phone", "ssn", "credit_card", "id_number"):
+        kind = "ipv4" if _IP.fullmatch(text[start:end].strip(" .")) else "ssn" if kind == "phone" and _SSN.fullmatch(text[start:end].strip()) else kind
     if kind in ("email", "ipv4", "phone", "ssn", "credit_card"):
         pattern = {"email": _EMAIL, "ipv4": _IP}.get(kind, _GROUPS)
         best = None
@@ -327,6 +356,8 @@ def check(text: str, start: int, end: int, kind: str) -> tuple[int, int, str] |
         return None
     if kind == "name" and " " not in surface.strip() and not "㐀" <= surface[:1] <= "鿿":
         return None  # a single word alone isn't a person's name
+    if kind == "name" and len(surface.split()) > 8 or kind == "address" and len(surface) > 160:
+        return None
     if kind == "address" and not any(c.isdigit() for c in surface) or kind == "name" and (any(c.isdigit() or c in "@<>{}|\\" for c in surface) or len(surface) < 2):
         return None
     return start, end, kind
