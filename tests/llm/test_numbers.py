@@ -50,13 +50,28 @@ def test_floor_is_used_and_safe(spark):
     df = spark.createDataFrame([("g", f"i{i % 50}", float(i % 50)) for i in range(2000)] + [("tie", f"t{i:04}", 1.0) for i in range(500)], "g string, item string, score double")
     slim = df.selectExpr("g as _k0", "item as _item", "score as _score").withColumn("_bucket", topn.score_bucket(F.col("_score")))
     floors = {r._k0: r._floor for r in topn.thresholds(slim, ["_k0"], 5).collect()}
-    assert set(floors) == {"g", "tie"} and floors["g"] > 200
+    assert set(floors) == {"g", "tie"} and floors["g"] > topn.DOUBLINGS // 2 * topn.RESOLUTION
     got = topn.top_n(df, ["g"], "item", "score", 5).collect()
     assert sorted(r.item for r in got if r.g == "tie") == [f"t{i:04}" for i in range(5)]
     with pytest.raises(ValueError):
         topn.top_n(df, ["g"], "item", "score", 0)
 
 
+@pytest.mark.parametrize(("low", "high"), [(0.016, 0.033), (0.9, 1.0), (-1e-9, -5e-10), (1e12, 1.5e12)])
+def test_floor_cuts_narrow_scales(spark, low, high):
+    """Whatever the scale, nine tenths of a large group go before anything is sorted."""
+    df = spark.range(20000).select(F.lit("g").alias("_k0"), F.col("id").cast("string").alias("_item"), (low + (high - low) * F.rand(3)).alias("_score")).withColumn("_bucket", topn.score_bucket(F.col("_score")))
+    floor = topn.thresholds(df, ["_k0"], 5).first()._floor
+    assert 5 <= df.where(F.col("_bucket") >= floor).count() < 2000
+
+
+def test_buckets_keep_the_order(spark):
+    values = sorted([0.0, 1e-308, 5e-324, 1e-9, 0.1, 0.2, 0.99, 0.991, 1.0, 3.0, 1e9, 1e308, math.inf])
+    values = sorted([-v for v in values] + values)
+    got = [r.b for r in spark.createDataFrame([(v,) for v in values], "v double").select("v", topn.score_bucket(F.col("v")).alias("b")).orderBy("v").collect()]
+    assert got == sorted(got) and len(set(got)) > len(values) - 5
+
+
 def test_places_and_borda(spark):
     df, rows = hits(spark, 1500)
     legs = {"dense": 1.0, "lexical": 2.0, "structure": 1.0, "graph": 1.0}

@@ -84,16 +84,24 @@ def p6_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markup.clean_headings(read(spark, sf_dir, "chunks"), "chunk_id", "heading")
 
 
+def _listed(spark: SparkSession, sf_dir: str, table: str, column: str, most: int) -> list[str]:
+    """The different values of a table that lists a system's parts; more than ``most`` of them are an error, not cut."""
+    found = sorted(r[0] for r in read(spark, sf_dir, table).select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"{table} lists more than {most} values of {column}")
+    return found
+
+
 def _legs(spark: SparkSession, sf_dir: str) -> dict[str, float]:
-    """The legs of the table of legs, weighted alike; that table has one row per leg of the system."""
-    return {r.leg: 1.0 for r in read(spark, sf_dir, "legs").select("leg").where("leg is not null").distinct().limit(64).collect()}
+    """The legs of the table of legs, weighted alike."""
+    return dict.fromkeys(_listed(spark, sf_dir, "legs", "leg", 64), 1.0)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.unanimous_first(usable_hits(read(spark, sf_dir, "hits")), _legs(spark, sf_dir))
 
 
-def p7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p7_method(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = fusion.borda(usable_hits(read(spark, sf_dir, "hits")), _legs(spark, sf_dir))
     return ranked.select("query_id", "chunk_id", F.round("points", 4).alias("points"), "rank")
 
@@ -114,12 +122,12 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = sorted(r.subject for r in read(spark, sf_dir, "subjects").where("subject is not null").distinct().limit(1000).collect())
+    names = _listed(spark, sf_dir, "subjects", "subject", 1000)
     return subjects.subjects_of(read(spark, sf_dir, "documents"), read(spark, sf_dir, "doc_labels"), names)
 
 
 def queries() -> dict[str, Query]:
-    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_text, p6_headings, p7_found, p7_ranking, p8_ids, p9_containers, p10_found, p10_shares]
+    found = [p1_found, p1_top_scores, p2_found, p2_classes, p3_found, p3_chunk_pieces, p3_document_pieces, p4_found, p4_neighbours, p5_found, p5_redacted, p6_found, p6_text, p6_headings, p7_method, p7_found, p8_ids, p9_containers, p10_found, p10_shares]
     return {f.__name__: f for f in found}
 
 
@@ -159,7 +167,7 @@ SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM ranked WH
         "p7_found": f"""{_PLACES}, unanimous AS (
   SELECT query_id, chunk_id FROM placed GROUP BY ALL HAVING count(*) = (SELECT count(DISTINCT leg) FROM legs) AND max(place) <= 3)
 SELECT query_id, min(chunk_id) AS chunk_id FROM unanimous GROUP BY query_id HAVING count(*) = 1""",
-        "p7_ranking": f"""{_PLACES}, items AS (SELECT query_id, chunk_id, count(*) OVER (PARTITION BY query_id) AS c FROM (SELECT DISTINCT query_id, chunk_id FROM placed)),
+        "p7_method": f"""{_PLACES}, items AS (SELECT query_id, chunk_id, count(*) OVER (PARTITION BY query_id) AS c FROM (SELECT DISTINCT query_id, chunk_id FROM placed)),
 sizes AS (SELECT query_id, leg, max(n) AS n FROM placed GROUP BY ALL),
 scored AS (
   SELECT i.query_id, i.chunk_id, sum(i.c - coalesce(p.place + (p.same - 1) / 2, (coalesce(s.n, 0) + 1 + i.c) / 2)) AS points

@@ -1,8 +1,8 @@
 """Problem 6: clean text and structure from HTML, Markdown, wiki and LaTeX markup.
 
 A document becomes a tree of containers with blocks as leaves. Paragraphs pass points for length and
-commas to their ancestors, discounted by link density; the best container and its siblings are kept,
-and only siblings that are little but links are left out.
+commas to their ancestors, discounted by link density; the best container is kept, with those of its
+siblings that belong to it.
 """
 
 from __future__ import annotations
@@ -500,36 +500,66 @@ def _only_links(node: Node) -> bool:
 
 
 def main_blocks(root: Node) -> list[Block]:
-    """The blocks of the best container and of its siblings and ancestors' children, in order, without link lists."""
+    """The blocks of the best container and of the siblings that belong to it, in order.
+
+    A sibling container belongs to it with a fifth of its points, or if it is not mostly links and
+    longer than 80 characters; a sibling block if it is not mostly links.
+    """
     best = score_tree(root)
+    parent = next((n for n in _containers(root) if any(c is best for c in n.children)), None)
+    if parent is None:
+        return list(best.blocks())
+    out: list[Block] = []
+    for child in parent.children:
+        if isinstance(child, Block):
+            if child.links <= 0.5 * len(child.content):
+                out.append(child)
+            continue
+        blocks = list(child.blocks())
+        size, links = sum(len(b.content) for b in blocks), sum(b.links for b in blocks)
+        if child is best or child.score >= 0.2 * best.score > 0 or size > 80 and links < 0.25 * size:
+            out += blocks
+    return out
+
+
+def _containers(node: Node) -> Iterator[Node]:
+    yield node
+    for child in node.children:
+        if isinstance(child, Node):
+            yield from _containers(child)
+
+
+def all_blocks(root: Node) -> list[Block]:
+    """The blocks of every container that is more than links, wherever it stands, in order."""
 
     def walk(node: Node) -> Iterator[Block]:
         for child in node.children:
             if isinstance(child, Block):
                 yield child
-            elif child is best or not _only_links(child):
+            elif not _only_links(child):
                 yield from walk(child)
 
     return list(walk(root))
 
 
-def read_blocks(text: str | None) -> list[Block]:
-    """The kept blocks of a text in any of the formats; none for a null or blank text."""
+def read_tree(text: str | None) -> Node:
+    """The tree of a text in any of the formats; empty for a null or blank text."""
     if not text or not text.strip():
-        return []
+        return Node()
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     form = markup_format(text)
     if form == "latex":
-        tree = _latex(text)
-    elif form == "wiki":
-        tree = _wiki(text)
-    else:
-        tree = _page(text, form == "markdown")
-    return main_blocks(tree)
+        return _latex(text)
+    return _wiki(text) if form == "wiki" else _page(text, form == "markdown")
+
+
+def read_blocks(text: str | None) -> list[Block]:
+    """The blocks of a text's best container and its siblings."""
+    return main_blocks(read_tree(text))
 
 
 def text_blocks(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, position, block, content): the kept blocks of every text, in order.
+    """(key, position, block, content): the blocks of every text's best container and siblings, in order.
 
     block is heading, item, code, formula, paragraph or table; content is without inline markup and
     with single spaces. A null, empty or blank text has no rows; repeated rows give their blocks
@@ -547,7 +577,7 @@ def text_blocks(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def structure(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, block, content): the distinct headings, items, code blocks and formulas of each text."""
+    """(key, block, content): the distinct headings, items, code blocks and formulas of each text's kept blocks."""
     return text_blocks(rows, key, text).where(F.col("block").isin(*CASES)).select(key, "block", "content").distinct()
 
 
@@ -555,7 +585,7 @@ def heading_text(raw: str | None) -> str | None:
     """A heading without the markup of whatever format it came from; null stays null."""
     if raw is None:
         return None
-    for block in read_blocks(raw):
+    for block in all_blocks(read_tree(raw)):
         return block.content
     return ""
 

@@ -1,12 +1,13 @@
 """Problem 3: cut oversized texts at natural limits, with an overlap.
 
 A dynamic programme over the boundary positions of a text minimises the penalties of the cuts and
-the imbalance of the pieces' sizes, under a largest size and a wanted overlap.
+of the places where pieces begin, and the imbalance of the pieces' sizes, under a largest size and a wanted overlap.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 #: Cost of a cut before a position, by the kind of limit there.
 PENALTY = {"section": 0.0, "paragraph": 0.04, "line": 0.1, "sentence": 0.2, "word": 0.6, "none": 2.0}
 KINDS = tuple(PENALTY)
+#: Part of a limit's cost for a piece that begins there rather than ends.
+START = 0.25
+#: Signs that belong to the character before them.
+_JOINING = "\u200d\ufe0e\ufe0f\u20e3"
 #: White space that is taken off the ends of a text before it is measured.
 TRIMMED = " \t\r\n"
 
@@ -58,24 +63,47 @@ def boundaries(text: str, max_len: int, overlap: int, sections: Sequence[str] =
     for a, b in gaps():
         offer("word", (m.end() for m in _WORD.finditer(text, a, b)))
     for a, b in gaps():
-        offer("none", iter(range(a + step, b, step)))
+        offer("none", (_whole(text, p) for p in range(a + step, b, step)))
     at = np.array(sorted(found), dtype=np.int64)
     return at, np.array([found[p] for p in at.tolist()], dtype=np.int64)
 
 
-def _starts(text: str, cuts: np.ndarray, overlap: int) -> np.ndarray:
-    """Where the piece after each cut begins: overlap characters before it or the next limit of a word after that."""
+def _whole(text: str, p: int, step: int = -1) -> int:
+    """p, or the nearest place from there on that parts no character from its marks and no joined sequence."""
+    for _ in range(16):
+        if not 0 < p < len(text) or not (unicodedata.combining(text[p]) or text[p] in _JOINING or "\U0001f3fb" <= text[p] <= "\U0001f3ff" or text[p - 1] == "\u200d"):
+            break
+        p += step
+    return max(p, 1)
+
+
+def _starts(text: str, at: np.ndarray, kind: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the piece after each cut begins, and the kind of limit there.
+
+    Of the limits in the overlap characters before the cut the strongest kind counts, and of that
+    the first; without any, the next beginning of a word, else overlap characters before the cut.
+    """
     if not overlap:
-        return cuts.copy()
-    out = np.empty_like(cuts)
-    for i, c in enumerate(cuts.tolist()):
+        return at.copy(), kind.copy()
+    word, none = KINDS.index("word"), KINDS.index("none")
+    out, kinds = np.empty_like(at), np.empty_like(kind)
+    lows = np.searchsorted(at, at - overlap)
+    for i, c in enumerate(at.tolist()):
+        near = kind[lows[i] : i]
+        if len(near) and near.min() < word:
+            j = lows[i] + int(np.argmin(near))
+            out[i], kinds[i] = at[j], kind[j]
+            continue
         low = max(0, c - overlap)
-        if low == 0 or text[low - 1].isspace() != text[low].isspace() and not text[low].isspace():
-            out[i] = low
+        if low == 0 or text[low - 1].isspace() and not text[low].isspace():
+            out[i], kinds[i] = low, word if low else 0
             continue
         m = _WORD.search(text, low, c)
-        out[i] = m.end() if m and m.end() < c else low
-    return out
+        if m and m.end() < c:
+            out[i], kinds[i] = m.end(), word
+        else:
+            out[i], kinds[i] = min(_whole(text, low, 1), c), none
+    return out, kinds
 
 
 def split_spans(text: str, max_len: int = 1200, overlap: int = 120, sections: Sequence[str] = ()) -> list[tuple[int, int, str]]:
@@ -84,7 +112,8 @@ def split_spans(text: str, max_len: int = 1200, overlap: int = 120, sections: Se
     The text is first trimmed of spaces, tabs and line breaks; positions count from its untrimmed
     start. A text within max_len is one piece, an empty one none. Every character of the trimmed
     text is in a piece, no piece is longer than max_len, and consecutive pieces share overlap
-    characters, or fewer down to the next beginning of a word.
+    characters or fewer, down to the strongest limit there: a section, paragraph, line or sentence
+    if one begins there, else a word.
     """
     if not 0 <= overlap < max_len:
         raise ValueError("overlap must be 0 or more and less than max_len")
@@ -95,29 +124,47 @@ def split_spans(text: str, max_len: int = 1200, overlap: int = 120, sections: Se
     if len(body) <= max_len:
         return [(shift, shift + len(body), "end")]
     at, kind = boundaries(body, max_len, overlap, sections)
+    found = _cheapest(body, at, kind, *_starts(body, at, kind, overlap), max_len, overlap)
+    if found is None:  # strong limits so close that pieces can't begin there: begin them at words
+        found = _cheapest(body, at, kind, *_starts(body, at, np.full_like(kind, KINDS.index("none")), overlap), max_len, overlap)
+    if found is None:  # nor there: cut anywhere
+        grid = np.arange(max_len, len(body), max_len - overlap)
+        found = [(max(0, e - max_len), e, "none") for e in grid.tolist()] + [(int(grid[-1]) - overlap, len(body), "end")]
+    return [(shift + x, shift + y, limit) for x, y, limit in found]
+
+
+def _cheapest(body: str, at: np.ndarray, kind: np.ndarray, begins: np.ndarray, begun: np.ndarray, max_len: int, overlap: int) -> list[tuple[int, int, str]] | None:
+    """The pieces of the least cost, by a programme over the cuts; None if there are none within max_len."""
     n = len(body)
+    costs = np.array(list(PENALTY.values()))
     cuts = np.append(at, n)
-    price = np.append(np.array([PENALTY[k] for k in KINDS])[kind], 0.0)
-    starts = np.append(0, _starts(body, cuts[:-1], overlap))  # starts[j]: of the piece after the (j-1)th cut
+    price = np.append(costs[kind] + START * costs[begun], 0.0)
+    starts = np.append(0, begins)  # starts[j]: of the piece after the (j-1)th cut
     pieces = max(2, -(-(n - overlap) // (max_len - overlap)))
     target = (n + (pieces - 1) * overlap) / pieces
     best = np.full(len(cuts) + 1, np.inf)
     back = np.zeros(len(cuts) + 1, dtype=np.int64)
     best[0] = 0.0
-    first = 0
+    first, before = 0, np.append(0, at)
     for j, c in enumerate(cuts.tolist(), 1):
-        while c - starts[first] > max_len:
+        while c - before[first] > max_len:
             first += 1
         size = c - starts[first:j]
-        cost = best[first:j] + ((size - target) / target) ** 2
-        # A piece must reach beyond the end of the one before it: each cut lies after the last.
+        fits = size <= max_len
+        if j < len(cuts):
+            fits &= starts[first:j] < starts[j]  # each piece begins and ends after the one before it
+        cost = np.where(fits, best[first:j] + ((size - target) / target) ** 2, np.inf)
+        if not len(cost):
+            continue
         k = int(np.argmin(cost))
         best[j] = cost[k] + price[j - 1]
         back[j] = first + k
+    if not np.isfinite(best[-1]):
+        return None
     spans, j = [], len(cuts)
     while j:
         i = int(back[j])
-        spans.append((shift + int(starts[i]), shift + int(cuts[j - 1]), "end" if j == len(cuts) else KINDS[int(kind[j - 1])]))
+        spans.append((int(starts[i]), int(cuts[j - 1]), "end" if j == len(cuts) else KINDS[int(kind[j - 1])]))
         j = i
     return spans[::-1]
 

@@ -43,6 +43,9 @@ class Settings:
     top: int = 60
 
 
+#: A topic's share of a word below which it doesn't count for the topic's statistics.
+LEAST = 1e-3
+
 _WORD = re.compile(r"[^\W\d_]+")
 _HAN = re.compile(r"[㐀-鿿]+")
 _NOISE = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^<>]{1,300}>|https?://\S+|&\w+;|\\[a-zA-Z]+", re.S | re.I)
@@ -97,15 +100,26 @@ def infer(beta: np.ndarray, alpha: np.ndarray, ends: np.ndarray, terms: np.ndarr
     counts = counts.astype(np.float32)
     size = np.add.reduceat(counts, starts)
     held = np.repeat((size / len(alpha))[:, None], len(alpha), axis=1)
+    last = np.empty_like(held)
+    # each document stops by itself, so that its shares don't depend on what it is read with
+    running, at, first, some, many = np.arange(len(ends)), doc, starts, word, counts
     for step in range(steps):
-        theta = np.exp(_digamma(held + alpha)).astype(np.float32)
-        odds = counts / np.maximum(np.einsum("ij,ij->i", word, theta[doc]), 1e-30)
-        new = theta * np.add.reduceat(word * odds[:, None], starts, axis=0)
-        moved = float(np.abs(new - held).sum() / size.sum())
-        held = new
-        if step > 3 and moved < 0.002:  # less than one word in 500 still changes its topic
-            break
-    share = word * theta[doc]
+        theta = np.exp(_digamma(held[running] + alpha)).astype(np.float32)
+        last[running] = theta
+        odds = many / np.maximum(np.einsum("ij,ij->i", some, theta[at]), 1e-30)
+        new = theta * np.add.reduceat(some * odds[:, None], first, axis=0)
+        moved = np.abs(new - held[running]).sum(axis=1) / size[running]
+        held[running] = new
+        if step > 3:
+            on = moved >= 0.002  # less than one word in 500 still changes its topic
+            if not on.any():
+                break
+            if not on.all():
+                kept = on[at]
+                running, some, many = running[on], some[kept], many[kept]
+                lengths = np.bincount(at[kept], minlength=len(on))[on]
+                at, first = np.repeat(np.arange(len(running)), lengths), np.append(0, np.cumsum(lengths)[:-1])
+    share = word * last[doc]
     share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
     return held, share
 
@@ -167,6 +181,8 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["_key", "_terms", "_counts"])
 
     coded = cut(slim.mapInArrow(encode, f"_key {kind}, _terms array<int>, _counts array<int>"))
+    # each task of a pass sends a matrix, so there are few of them: two for each core
+    few = coded.coalesce(2 * documents.sparkSession.sparkContext.defaultParallelism)
 
     # Terms of the labelled examples, by subject: one small matrix per partition.
     wanted = F.lower(F.trim(F.col("subject")))
@@ -183,7 +199,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
         total = np.zeros((rows, v))
         got = parts.groupBy("t", "w").agg(F.sum("n").alias("n")).toArrow()
         total[got["t"].to_numpy(), got["w"].to_numpy()] = got["n"].to_numpy()
-        return total
+        return np.round(total, 6)  # what is left of the order of summing
 
     def by_label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = np.zeros((len(names), v))
@@ -205,12 +221,12 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
             for batch in batches:
                 for _, ends, terms, counts in _batches(batch):
                     _, share = infer(beta, alpha, ends, terms, counts, s.steps)
+                    share[share < LEAST] = 0  # by word and document, so partitions don't matter; keeps the sums sparse
                     for t in range(k):
                         matrix[t] += np.bincount(terms, share[:, t] * counts, minlength=v)
-            matrix[matrix < 1e-3] = 0
             yield sums(matrix)
 
-        learned = gather(coded.mapInArrow(learn, "t int, w int, n double"), k)
+        learned = gather(few.mapInArrow(learn, "t int, w int, n double"), k)
         learned[len(names) :] *= _common(labelled)  # spare topics mustn't take the words of a subject
         topics = Topics(prior(labelled, s) + learned, alpha, topics.subject)
     topics.subject = judge(topics.weights, labelled, s)

@@ -1,7 +1,7 @@
 """Problem 1: the N best items of every group.
 
-Scores fall into buckets that keep their order whatever their scale, so no pass for minimum and
-maximum is needed. A histogram per group gives the highest bucket bound that at least N different
+Scores fall into buckets by sign and logarithm, which keep their order and part them at any scale, so no
+pass for minimum and maximum is needed. A histogram per group gives the highest bucket bound that at least N different
 items reach; rows below it can't be among the best and go before anything is sorted. The histogram
 counts items by a bit set, so repeated rows of an item never raise the bound too far.
 """
@@ -14,18 +14,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets per unit of the natural logarithm, and the bucket of scores beyond any scale.
-RESOLUTION = 64
-LAST_BUCKET = 1_000_000
+#: Buckets per doubling of a score: scores a thousandth apart differ, at whatever scale.
+RESOLUTION = 1024
+#: Doublings from the smallest to the largest double.
+DOUBLINGS = 2200
 #: Bits that stand for one wanted item, so that few of N items share a bit.
 BITS_PER_ITEM = 4
 SALTS = 8
 
 
-def score_bucket(score: Column) -> Column:
-    """An integer that never falls as the score rises; infinities get the outermost buckets."""
-    size = F.least(F.log1p(F.abs(score)) * RESOLUTION, F.lit(float(LAST_BUCKET)))
-    return F.when(score >= 0, F.floor(size)).otherwise(-F.ceil(size)).cast("int")
+def score_bucket(score: Column, resolution: int = RESOLUTION) -> Column:
+    """An integer that never falls as the score rises: its sign and logarithm, so every scale has as many buckets.
+
+    Zero gets 0, infinities the outermost buckets.
+    """
+    size = F.least(F.greatest((F.log2(F.abs(score)) + DOUBLINGS // 2) * resolution, F.lit(1.0)), F.lit(float(DOUBLINGS * resolution)))
+    return F.when(score > 0, F.floor(size)).when(score < 0, -F.floor(size)).otherwise(0).cast("int")
 
 
 def thresholds(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
