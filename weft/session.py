@@ -27,10 +27,12 @@ def session(app: str = "weft", cpus: int | str = "*") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's ``spark.checkpoint.dir``; set a folder of our own only where none is named."""
+    """Keep the cluster's ``spark.checkpoint.dir``; set a folder of our own only in local mode where none is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weft-checkpoint-"))
 
 
