@@ -42,6 +42,38 @@ def test_variants_of_an_organisation(spark):
     assert variants.name_classes(df.where("false")).isEmpty()
 
 
+def test_chain_of_family_names(spark):
+    """Six families, each an edit from the next and four times rarer, are one."""
+    chain = ["marivolente", "marivolenta", "marivolanta", "marivalanta", "maravalanta", "saravalanta"]
+    df = spark.createDataFrame([("person", w, 4 ** (6 - i)) for i, w in enumerate(chain)] + [("person", "kim", 60), ("person", "kin", 1), ("person", "lim", 30), ("org", "marivolenti", 1)], "_kind string, _family string, _n long")
+    got = {(r._kind, r._family): r._head for r in variants.family_heads(df).collect()}
+    assert got == {("person", w): chain[0] for w in chain[1:]} | {("person", "kin"): "kim"}
+    two = spark.createDataFrame([("person", "brandubilek", 40), ("person", "brendubelek", 2), ("person", "brandubilke", 9)], "_kind string, _family string, _n long")
+    assert {r._family: r._head for r in variants.family_heads(two).collect()} == {"brendubelek": "brandubilek", "brandubilke": "brandubilek"}
+
+
+def test_large_family_is_quick():
+    import time
+
+    rng = random.Random(5)
+    forms = {("".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(rng.randint(5, 9))), ""): rng.randint(1, 9) for _ in range(20000)}
+    began = time.perf_counter()
+    assert len(variants.attribute("person", forms, {})) == len(forms) and time.perf_counter() - began < 30
+
+
+def test_index_loses_no_candidate():
+    """What the index offers holds every candidate of a likelihood above zero."""
+    rng = random.Random(6)
+    names = ["theodore", "theo", "teodore", "theo.", "t", "william", "bill", "wiliam", "willaim", "robert", "bob", "rupert", "anna", "anne", "an.", "elizabeth", "elisabeth", "liz"]
+    for kind, score in (("person", variants.person_likelihood), ("org", variants.org_likelihood)):
+        forms = [(n, rng.choice(["", "k", "karl"])) for n in names] if kind == "person" else [(rng.choice(["", "university"]), " ".join(rng.sample(names, rng.randint(0, 2)))) for _ in range(60)]
+        heads = variants.Heads(kind)
+        for f in dict.fromkeys(forms):
+            heads.add(f)
+        for f in forms:
+            assert {h for h in forms if score(f, h) > variants.NEVER} <= set(heads.near(f))
+
+
 def test_edits():
     assert [variants.edits(*x) for x in (("abc", "abc"), ("abc", "acb"), ("abc", "abd"), ("abc", "abcd"), ("abcdef", "badcfe"), ("a", "zzzz"))] == [0, 1, 1, 1, 3, 3]
 

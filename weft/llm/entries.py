@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return variants.name_classes(read(spark, sf_dir, "entities"))
+    return variants.with_links(variants.name_classes(read(spark, sf_dir, "entities"))).select("entity_id", "kind", "class_id", "links")
 
 
 def _chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

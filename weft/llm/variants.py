@@ -16,28 +16,35 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.session import cut
 
-# Common short and pet forms of given names.
+# Given names with their usual short and pet forms, in the order of the alphabet.
 NICKNAMES = {
-    "abigail": "abby abbie gail", "alexander": "alex al sandy sasha xander lex alec", "benjamin": "ben benny benji benjy", "charlotte": "lottie charlie lotte charly",
-    "constantin": "costa kostya costin stan konstantin", "dorothea": "thea dora dot dottie dorothy", "edmund": "ned ed eddie ted", "elizabeth": "liz beth betty lizzie eliza bess libby lisa",
-    "francesca": "fran frankie cesca franny", "frederick": "fred freddy freddie fritz", "gregory": "greg gregor", "harold": "harry hal", "hildegard": "hilda hilde hildy",
-    "ignacio": "nacho iggy", "isabella": "izzy bella isa belle", "johannes": "hannes hans johann jannes jan", "josephine": "jo josie fifi joey josy", "katarzyna": "kasia kate katya kaska",
-    "katherine": "kathy kate katie kit kitty kath", "leonardo": "leo leon lenny nardo", "lorenzo": "enzo renzo larry", "margaret": "maggie meg peggy marge greta margie",
-    "nicholas": "nick nicky nico klaus claus", "olivier": "ollie olli oli olly", "patricia": "trish pat patty tricia patsy", "penelope": "penny nell poppy", "quentin": "quin quinn quint",
-    "robert": "bob rob bobby robbie bert", "rosalind": "roz rosa lindy ros", "samuel": "sam sammy", "theodore": "theo ted teddy", "ulrike": "uli rike ulli", "ursula": "ulla uschi sula",
-    "valentina": "val tina valya", "vincent": "vince vin vinny vinnie", "wilhelmina": "mina willa minnie billie", "william": "bill will billy liam willy", "yevgenia": "zhenya genia jenya evgenia",
-    "zachary": "zach zack zac zak", "michael": "mike mick", "richard": "rick dick rich", "james": "jim jimmy jamie", "john": "jack johnny", "thomas": "tom tommy", "anthony": "tony",
-    "christopher": "chris kit", "daniel": "dan danny", "matthew": "matt", "andrew": "andy drew", "joseph": "joe joey", "david": "dave", "edward": "ed eddie ted ned", "catherine": "cathy kate cat",
-    "susan": "sue susie", "jennifer": "jen jenny", "victoria": "vicky tori", "rebecca": "becky", "philip": "phil", "peter": "pete", "stephen": "steve", "timothy": "tim", "george": "georgie",
-    "henry": "hank harry", "charles": "charlie chuck", "eleanor": "ellie nell nora", "florence": "flo", "gabriela": "gabi", "sebastian": "seb bastian", "maximilian": "max", "francisco": "paco pancho",
-    "jose": "pepe", "dolores": "lola", "giuseppe": "beppe", "heinrich": "heinz heini", "friedrich": "fritz",
+    "aaron": "ron ronnie", "abigail": "abby abbie gail", "abraham": "abe bram", "adelaide": "addie heidi", "albert": "al bert bertie", "alejandro": "alex jandro", "alexander": "alex al sandy sasha xander lex alec", "alexandra": "alex sandra sasha lexi",
+    "alfred": "alf alfie fred", "alice": "ali allie", "amanda": "mandy", "anastasia": "nastya stacy", "andreas": "andi andy", "andrew": "andy drew", "angela": "angie", "anne": "annie nan nancy", "anthony": "tony ant", "antonio": "toni tonio", "arthur": "art artie",
+    "augustine": "gus augie", "barbara": "babs barb barbie", "bartholomew": "bart barry", "beatrice": "bea trixie", "benjamin": "ben benny benji benjy", "bernard": "bernie", "caroline": "carrie caro", "catherine": "cathy kate cat kitty", "cecilia": "cissy celia",
+    "charles": "charlie chuck chaz", "charlotte": "lottie charlie lotte charly", "christian": "chris", "christina": "chris chrissie tina", "christopher": "chris kit topher", "clarence": "clare", "constantin": "costa kostya costin stan", "cornelius": "neil corny", "cynthia": "cindy",
+    "daniel": "dan danny", "david": "dave davy", "deborah": "deb debbie", "dmitri": "dima mitya", "dolores": "lola", "dominic": "dom nick", "donald": "don donnie", "dorothea": "thea dora dot dottie", "dorothy": "dot dottie dolly", "edgar": "ed eddie", "edmund": "ned ed eddie ted",
+    "edward": "ed eddie ted ned teddy", "eleanor": "ellie nell nora", "elizabeth": "liz beth betty lizzie eliza bess libby lisa", "emanuel": "manny", "emily": "em emmy millie", "ernest": "ernie", "eugene": "gene", "evelyn": "eve evie", "felicity": "fliss", "ferdinand": "ferdi nando",
+    "florence": "flo florrie", "frances": "fran fanny", "francesca": "fran frankie cesca franny", "francis": "frank", "francisco": "paco pancho", "franz": "franzl", "frederick": "fred freddy freddie fritz", "friedrich": "fritz", "gabriel": "gabe", "gabriela": "gabi gaby", "genevieve": "gen viv",
+    "geoffrey": "geoff jeff", "george": "georgie", "gerald": "gerry jerry", "gertrude": "trudy gert", "gilbert": "gil bert", "giovanni": "gianni nino", "giuseppe": "beppe pino", "gregory": "greg gregor", "guadalupe": "lupe", "harold": "harry hal", "heinrich": "heinz heini", "helen": "nell",
+    "henrietta": "hetty etta", "henry": "hank harry hal", "hildegard": "hilda hilde hildy", "howard": "howie", "hubert": "bert hugh", "ignacio": "nacho iggy", "isabella": "izzy bella isa belle", "isabelle": "izzy belle isa", "ivan": "vanya", "jacob": "jake", "jacqueline": "jackie", "james": "jim jimmy jamie",
+    "janet": "jan", "jennifer": "jen jenny", "jessica": "jess jessie", "joanna": "jo", "johannes": "hannes hans johann jan", "john": "jack johnny", "jonathan": "jon", "jose": "pepe", "joseph": "joe joey", "josephine": "jo josie fifi joey", "joshua": "josh", "judith": "judy", "julia": "jules",
+    "karl": "kalle", "katarzyna": "kasia kate katya", "katherine": "kathy kate katie kit kitty kath", "kenneth": "ken kenny", "kimberly": "kim", "lawrence": "larry laurie", "leonard": "len lenny leo", "leonardo": "leo leon lenny nardo", "leopold": "leo poldi", "lorenzo": "enzo renzo", "louis": "lou louie", "ludwig": "lutz",
+    "magdalena": "lena magda", "manuel": "manolo", "margaret": "maggie meg peggy marge greta margie", "maria": "mia mimi", "martha": "marty", "martin": "marty", "matthew": "matt matty", "maurice": "mo", "maximilian": "max", "michael": "mike mick micky", "mikhail": "misha", "nancy": "nan", "natalia": "natasha tasha talia", "nathaniel": "nat nate",
+    "nicholas": "nick nicky nico klaus claus", "nikolai": "kolya", "oliver": "ollie oli olli olly", "olivia": "liv livvy", "olivier": "ollie oli olli olly", "oscar": "ozzie", "pamela": "pam", "patricia": "trish pat patty tricia patsy", "patrick": "pat paddy", "penelope": "penny nell poppy", "peter": "pete", "philip": "phil pip",
+    "quentin": "quin quinn quint", "rachel": "rae", "raymond": "ray", "rebecca": "becky becca", "richard": "rick dick rich ricky", "robert": "bob rob bobby robbie bert", "ronald": "ron ronnie", "rosalind": "roz rosa lindy ros", "rosemary": "rose rosie", "rudolf": "rudi", "samantha": "sam", "samuel": "sam sammy", "sebastian": "seb bastian",
+    "sergei": "seryozha", "simon": "si", "sophia": "sophie", "stanley": "stan", "stefan": "steff", "stephanie": "steph", "stephen": "steve stevie", "steven": "steve stevie", "susan": "sue susie suzy", "sylvester": "sly", "tatiana": "tanya", "teresa": "terry tess", "theodore": "theo ted teddy", "thomas": "tom tommy", "timothy": "tim timmy",
+    "ulrich": "uli", "ulrike": "uli rike ulli", "ursula": "ulla uschi", "valentina": "val tina valya", "veronica": "ronnie vera", "victor": "vic", "victoria": "vicky tori", "vincent": "vince vin vinny vinnie", "virginia": "ginny", "vladimir": "vova volodya", "walter": "walt wally", "wilhelm": "willi", "wilhelmina": "mina willa minnie billie",
+    "william": "bill will billy liam willy", "winifred": "winnie freda", "xavier": "javi", "yevgenia": "zhenya genia", "zachary": "zach zack zac zak",
 }
-PET_NAMES = {(pet, full) for full, pets in NICKNAMES.items() for pet in pets.split()}
+PET_NAMES: dict[str, frozenset[str]] = {}
+for _full, _pets in NICKNAMES.items():
+    for _pet in _pets.split():
+        PET_NAMES[_pet] = PET_NAMES.get(_pet, frozenset()) | {_full}
 # Titles and degrees, legal forms, and words for kinds of organisations.
 TITLES = set("dr prof professor mr mrs ms miss sir madam phd md msc bsc ma esq jr sr ing dipl herr frau mme mlle sra".split())
 LEGAL = set("inc incorporated ltd limited llc llp plc gmbh ag kg sa sas sarl spa corp corporation co company bv nv oy ab srl pty international intl group holding holdings gesellschaft mbh".split())
@@ -48,6 +55,8 @@ PLACEHOLDERS = set("- -- n/a na none null nil unknown default test tbd ? ?? . x
 
 #: Log likelihoods of the channel: of one edit, a pet name, an initial, a clipped form, a left-out or added middle name.
 EDIT, PET, INITIAL, CLIPPED, MIDDLE = -3.0, -1.0, -1.5, -1.2, -0.5
+#: And of an edit in a family name.
+FAMILY_EDIT = -1.4
 NEVER = -math.inf
 
 
@@ -148,7 +157,7 @@ def word_likelihood(seen: str, meant: str) -> float:
         return INITIAL if bare[:1] == meant[:1] and len(bare) == 1 else NEVER
     if seen.endswith("."):
         return CLIPPED if meant.startswith(bare) else NEVER
-    if (seen, meant) in PET_NAMES:
+    if meant in PET_NAMES.get(seen, ()):
         return PET
     d = edits(seen, meant, 2 if min(len(seen), len(meant)) > 6 else 1)
     return EDIT * d if d <= (2 if min(len(seen), len(meant)) > 6 else 1) and min(len(seen), len(meant)) > 3 else NEVER
@@ -156,10 +165,8 @@ def word_likelihood(seen: str, meant: str) -> float:
 
 def person_likelihood(seen: tuple[str, str], meant: tuple[str, str]) -> float:
     first = word_likelihood(seen[0], meant[0])
-    if first == NEVER and any((seen[0], p) in PET_NAMES and p == meant[0] for p in (meant[0],)):
-        first = PET
-    if first == NEVER and (near := [full for pet, full in PET_NAMES if pet == meant[0] and edits(seen[0], full, 1) <= 1]):
-        first = PET if near else NEVER
+    if first == NEVER and any(edits(seen[0], full, 1) <= 1 for full in PET_NAMES.get(meant[0], ())):
+        first = PET  # the pet name is the frequent form of a name typed in full
     if first == NEVER:
         return NEVER
     if not seen[1] or not meant[1]:
@@ -182,6 +189,54 @@ def org_likelihood(seen: tuple[str, str], meant: tuple[str, str]) -> float:
     return sum(word_likelihood(x, y) for x, y in zip(a, b))
 
 
+def shortened(word: str) -> set[str]:
+    """The word and every word with one letter less, of long ones with two: words within as many edits share one."""
+    if len(word) < 4:
+        return {word}
+    once = {word[:i] + word[i + 1 :] for i in range(len(word))}
+    return {word} | once | ({w[:i] + w[i + 1 :] for w in once for i in range(len(w))} if len(word) > 6 else set())
+
+
+class Heads:
+    """Candidates for the canonical form, found by what their leading word could have been typed as.
+
+    The leading word is a person's given name, or the first of an organisation's other words.
+    """
+
+    def __init__(self, kind: str) -> None:
+        self.person = kind == "person"
+        self.by: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+
+    def _lead(self, form: tuple[str, str]) -> tuple[str, tuple[str, ...]]:
+        """The leading word, and what must agree exactly."""
+        if self.person:
+            return form[0], ()
+        words = form[1].split()
+        return words[0] if words else "", (form[0], str(len(words)))
+
+    def add(self, head: tuple[str, str]) -> None:
+        lead, same = self._lead(head)
+        keys = {("word", lead), ("letter", lead[:1]), ("start", lead[:3])} | {("near", w) for w in shortened(lead)}
+        if self.person:
+            keys |= {("pet", w) for full in PET_NAMES.get(lead, ()) for w in shortened(full)}
+        for key in keys:
+            self.by.setdefault((*same, *key), []).append(head)
+
+    def near(self, form: tuple[str, str]) -> list[tuple[str, str]]:
+        """All candidates that could explain the form, and few others."""
+        lead, same = self._lead(form)
+        bare = lead.rstrip(".")
+        if len(bare) == 1:
+            keys = {("letter", bare)}
+        elif lead.endswith("."):
+            keys = {("word", lead), ("start", bare[:3]) if len(bare) > 2 else ("letter", bare[:1])}
+        else:
+            keys = {("near", w) for w in shortened(lead)} | {("word", full) for full in PET_NAMES.get(lead, ())}
+            if self.person:
+                keys |= {("pet", w) for w in shortened(lead)}
+        return list(dict.fromkeys(h for key in sorted(keys) for h in self.by.get((*same, *key), ())))
+
+
 def attribute(kind: str, forms: dict[tuple[str, str], int], known: dict[str, int]) -> dict[tuple[str, str], tuple[str, str]]:
     """The canonical form of every form of a family.
 
@@ -198,17 +253,17 @@ def attribute(kind: str, forms: dict[tuple[str, str], int], known: dict[str, int
 
     ranked = sorted(forms, key=lambda f: (weak(f), -prior(f), -len(f[1]), f))
     chosen: dict[tuple[str, str], tuple[str, str]] = {}
-    heads: list[tuple[str, str]] = []
+    heads = Heads(kind)
     middles: dict[tuple[str, str], str] = {}  # the middle name that the forms of a head agree on
     for form in ranked:
         found = []
-        for head in heads:
+        for head in heads.near(form):
             meant = (head[0], middles[head] if kind == "person" else head[1])
             if (s := score(form, meant)) > NEVER:
                 found.append((s + prior(head), head))
         found.sort(key=lambda x: (-x[0], x[1]))
         if not found:
-            heads.append(form)
+            heads.add(form)
             chosen[form], middles[form] = form, form[1]
             continue
         if weak(form) and len(found) > 1:
@@ -224,9 +279,50 @@ def attribute(kind: str, forms: dict[tuple[str, str], int], known: dict[str, int
     return chosen
 
 
-def _keys(word: str) -> list[str]:
-    """The word and every word with one letter less: two words with one edit between them share one."""
-    return [word] if len(word) < 5 else list({word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+def _dropped(word: Column) -> Column:
+    """Every word with one letter less."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
+def _keys(word: Column) -> Column:
+    """The word and every word with one letter less, of words of eight letters and more with two."""
+    once = _dropped(word)
+    twice = F.when(F.length(word) >= 8, F.flatten(F.transform(once, _dropped))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(word) < 3, F.array(word)).otherwise(F.array_distinct(F.concat(F.array(word), once, twice)))
+
+
+def family_heads(families: DataFrame) -> DataFrame:
+    """(kind, family, head): the families that are attached to another, at the end of every chain.
+
+    families has _kind, _family and _n, its rows. Candidates are the words within an edit or a swap of
+    neighbours, two for rare names of eight letters or more. Of those frequent enough to outweigh the
+    edits - four times as frequent, or the name has at most three rows; fifty times for names of three
+    or four letters - the greatest posterior counts, log frequency plus log likelihood of the edits;
+    ties go to the more frequent, then to the greater word. Words of one shortened form differ by its
+    missing letters, so a key holds few of them however large the table is.
+    """
+    keyed = families.withColumn("_key", F.explode(_keys(F.col("_family"))))
+    heads = keyed.select("_kind", "_key", F.col("_family").alias("_head"), F.col("_n").alias("_hn"))
+    letters = lambda w: F.array_sort(F.split(w, ""))
+    pairs = (
+        keyed.join(heads, ["_kind", "_key"])
+        .where(F.struct("_hn", "_head") > F.struct(F.col("_n").alias("_hn"), F.col("_family").alias("_head")))  # so no two are attached to each other
+        .select("_kind", "_family", "_n", "_head", "_hn")
+        .distinct()
+        .withColumn("_d", F.levenshtein("_family", "_head"))
+        .withColumn("_d", F.when((F.col("_d") == 2) & (letters(F.col("_family")) == letters(F.col("_head"))), 1).otherwise(F.col("_d")))
+    )
+    size, n, head = F.least(F.length("_family"), F.length("_head")), F.col("_n"), F.col("_hn")
+    enough = F.when(size < 5, head >= 50 * n).when(F.col("_d") == 1, (head >= 4 * n) | (n <= 3)).otherwise((size >= 8) & (n <= 3) & (head >= 4 * n))
+    posterior = F.log(F.col("_hn")) + FAMILY_EDIT * F.col("_d")
+    better = pairs.where((F.col("_d") <= 2) & (size > 2) & enough).groupBy("_kind", "_family").agg(F.max(F.struct(posterior.alias("p"), F.col("_hn"), F.col("_head"))).alias("_top"))
+    chain = cut(better.select("_kind", "_family", F.col("_top._head").alias("_head")))
+    while True:  # each round doubles the steps followed, until all are at their end
+        step = chain.select("_kind", F.col("_family").alias("_head"), F.col("_head").alias("_next"))
+        longer = chain.join(step, ["_kind", "_head"], "left")
+        if longer.where("_next is not null").isEmpty():
+            return chain
+        chain = cut(longer.select("_kind", "_family", F.coalesce("_next", "_head").alias("_head")))
 
 
 def name_classes(entities: DataFrame, entity_id: str = "entity_id", name: str = "name", type_: str = "type") -> DataFrame:
@@ -275,25 +371,7 @@ def name_classes(entities: DataFrame, entity_id: str = "entity_id", name: str =
     )
 
     oriented = cut(oriented)
-    # Rare family names go to the most frequent one that an edit explains.
-    families = oriented.groupBy("_kind", "_family").agg(F.sum("_rows").alias("_n"))
-    keys_of = F.udf(_keys, "array<string>")
-    keyed = families.withColumn("_key", F.explode(keys_of("_family")))
-    heads = keyed.groupBy("_kind", "_key").agg(F.max(F.struct("_n", F.col("_family").alias("_head"))).alias("_top"))
-    better = (
-        keyed.join(heads, ["_kind", "_key"])
-        .where((F.col("_top._head") != F.col("_family")) & (F.length("_family") > 4))
-        # one more edit must be outweighed by the head's frequency; ties go to the greater word
-        .where((F.col("_top._n") >= 4 * F.col("_n")) | ((F.col("_n") <= 3) & (F.col("_top._n") >= F.col("_n"))))
-        .groupBy("_kind", "_family")
-        .agg(F.max("_top").alias("_top"))
-        .select("_kind", "_family", F.col("_top._head").alias("_head"))
-    )
-    better = cut(better)
-    # A head may itself be attached: two more steps reach the end of such a chain in practice.
-    step = better.select("_kind", F.col("_family").alias("_head"), F.col("_head").alias("_next"))
-    chain = better.join(step, ["_kind", "_head"], "left").select("_kind", "_family", F.coalesce("_next", "_head").alias("_head"))
-    chain = chain.join(step, ["_kind", "_head"], "left").select("_kind", "_family", F.coalesce("_next", "_head").alias("_head"))
+    chain = family_heads(oriented.groupBy("_kind", "_family").agg(F.sum("_rows").alias("_n")))
     grouped = oriented.join(chain, ["_kind", "_family"], "left").withColumn("_head", F.coalesce("_head", "_family"))
 
     def resolve(frame: pd.DataFrame) -> pd.DataFrame:
@@ -311,6 +389,11 @@ def name_classes(entities: DataFrame, entity_id: str = "entity_id", name: str =
     return slim.join(classes, ["_kind", "_name"]).select(F.col("_id").alias(entity_id), F.col("_kind").alias("kind"), F.col("_class").alias("class_id")).distinct()
 
 
+def with_links(classes: DataFrame) -> DataFrame:
+    """The classes with links: to how many other rows each row is linked."""
+    return classes.join(classes.groupBy("class_id").agg((F.count("*") - 1).alias("links")), "class_id")
+
+
 def linked_pairs(classes: DataFrame, entity_id: str = "entity_id") -> DataFrame:
     """(entity_a, entity_b), entity_a < entity_b: the pairs that share a class."""
     a = classes.select("class_id", F.col(entity_id).alias("entity_a"))
