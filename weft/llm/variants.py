@@ -374,18 +374,34 @@ def name_classes(entities: DataFrame, entity_id: str = "entity_id", name: str =
     chain = family_heads(oriented.groupBy("_kind", "_family").agg(F.sum("_rows").alias("_n")))
     grouped = oriented.join(chain, ["_kind", "_family"], "left").withColumn("_head", F.coalesce("_head", "_family"))
 
-    def resolve(frame: pd.DataFrame) -> pd.DataFrame:
-        kind, head = frame["_kind"].iloc[0], frame["_head"].iloc[0]
+    def family(kind: str, head: str, rows: list[tuple[str, str, str, int, int]]) -> list[tuple[str, str, str]]:
         forms: dict[tuple[str, str], int] = {}
         known: dict[str, int] = {}
-        for a, b, rows, n in zip(frame["_a"], frame["_b"], frame["_rows"], frame["_known"]):
-            forms[a, b] = forms.get((a, b), 0) + int(rows)
-            known[a] = int(n or 0)
+        for _, a, b, n, often in rows:
+            forms[a, b] = forms.get((a, b), 0) + n
+            known[a] = often
         got = attribute(kind, forms, known)
-        ids = [f"{kind}:{head}:{' '.join(got[a, b])}" for a, b in zip(frame["_a"], frame["_b"])]
-        return pd.DataFrame({"_kind": kind, "_name": frame["_name"], "_class": ids})
+        return [(kind, name, f"{kind}:{head}:{' '.join(got[a, b])}") for name, a, b, _, _ in rows]
 
-    classes = grouped.groupBy("_kind", "_head").applyInPandas(resolve, "_kind string, _name string, _class string")
+    def resolve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sorted rows, family by family; a family may run on from frame to frame."""
+        key, rows = None, []
+        for frame in frames:
+            out = []
+            for kind, head, *row in frame.itertuples(index=False, name=None):
+                if (kind, head) != key:
+                    if key:
+                        out += family(*key, rows)
+                    key, rows = (kind, head), []
+                rows.append(tuple(row))
+            yield pd.DataFrame(out, columns=["_kind", "_name", "_class"])
+        if key:
+            yield pd.DataFrame(family(*key, rows), columns=["_kind", "_name", "_class"])
+
+    # Few bytes but much work: the number of partitions is the session's, not what their size would ask for.
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = grouped.select("_kind", "_head", "_name", "_a", "_b", "_rows", F.coalesce("_known", F.lit(0)).cast("long").alias("_known")).repartition(parts, "_kind", "_head").sortWithinPartitions("_kind", "_head")
+    classes = sorted_.mapInPandas(resolve, "_kind string, _name string, _class string")
     return slim.join(classes, ["_kind", "_name"]).select(F.col("_id").alias(entity_id), F.col("_kind").alias("kind"), F.col("_class").alias("class_id")).distinct()
 
 
