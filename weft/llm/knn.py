@@ -1,13 +1,14 @@
 """Problem 4: the k most similar vectors of every vector, by an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals are fitted on a bounded sample; every vector is
-indexed. A query probes the lists of its nearest centroids, distances to codes come from one
-asymmetric table per query, and the best candidates are ranked again by exact cosine.
-
-The work is cut by group (namespace). A group within ``unit`` vectors is one unit. A larger one is
-cut into packs of coarse cells, and a pack that is still too large by salt; its queries are copied
-to the packs they probe. So no task holds an unbounded group, and vectors of small groups are moved
-once. Equal vectors are searched as one and brought apart again afterwards.
+indexed. A query probes the lists of the cells nearest to its own, distances between the query as it
+is and codes come from products with the vectors that codes stand for, and the best candidates are
+ranked again by exact cosine.
+
+The work is cut by group (namespace) and by block of asking vectors. A group within ``unit`` vectors
+is one list of items. A larger one is cut into packs of coarse cells, and a pack that is still too
+large by salt; its queries are copied to the packs they probe. So no task holds an unbounded group,
+and vectors of small groups are moved once. Equal vectors are searched as one and brought apart again afterwards.
 """
 
 from __future__ import annotations
@@ -29,21 +30,20 @@ DIM = 64
 @dataclass(frozen=True)
 class Settings:
     """sample: most vectors the index is fitted on; cells: most coarse centroids; parts, codes: of the
-    product quantiser; scan: least vectors a query is compared with by code, or the share 1/spread of
-    its unit if that is more (1: all of it, which one matrix product does faster than list by list);
-    rerank: least candidates ranked exactly, or twice the root of the unit's vectors if that is more;
-    unit: most vectors of a task's group; probes: least cells a query probes in larger groups, or the
-    share 1/spread of them if that is more."""
+    product quantiser; probes: cells whose lists a vector is compared with, those nearest to its own
+    cell; scan: and further cells until it meets so many vectors; rerank: least candidates ranked
+    exactly, or the root of the vectors met if that is more; unit: most vectors of a task's list;
+    block: most vectors that ask in a task."""
 
     sample: int = 16_384
-    cells: int = 1024
-    parts: int = 8
+    cells: int = 256
+    parts: int = 16
     codes: int = 256
-    scan: int = 1024
-    spread: int = 1
-    rerank: int = 40
+    probes: int = 64
+    scan: int = 2048
+    rerank: int = 64
     unit: int = 65_536
-    probes: int = 8
+    block: int = 12_288
 
 
 def usable(vector: Column, dim: int = DIM) -> Column:
@@ -79,6 +79,30 @@ class Index:
     centroids: np.ndarray  # cells x dim
     books: np.ndarray  # parts x codes x dim of a part
 
+    def __post_init__(self) -> None:
+        # near[c]: all cells, those nearest to the centroid of c first
+        self.near = np.argsort(-(self.centroids @ self.centroids.T - (self.centroids**2).sum(1) / 2), axis=1, kind="stable")
+
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        out = self.centroids[cell]
+        width = self.books.shape[2]
+        for m, book in enumerate(self.books):
+            out[:, m * width : (m + 1) * width] += book[codes[:, m]]
+        return out
+
+    def line(self) -> np.ndarray:
+        """The place of each cell in an order that keeps near ones together: halves by the main axis, again and again."""
+
+        def halves(cells: np.ndarray) -> list[int]:
+            if len(cells) < 3:
+                return cells.tolist()
+            middle = self.centroids[cells] - self.centroids[cells].mean(axis=0)
+            along = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable")
+            return halves(cells[along[: len(cells) // 2]]) + halves(cells[along[len(cells) // 2 :]])
+
+        return np.argsort(halves(np.arange(len(self.centroids))))
+
     def encode(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell of each point, and the codes of its residual, one column per part."""
         cell = assign(points, self.centroids)
@@ -109,55 +133,55 @@ def search(index: Index, queries: np.ndarray, items: np.ndarray, same: np.ndarra
     """(query, item, cosine to 12 decimals) of the best k items of each query, and those equal to the k-th.
 
     same[q] is the query's own item or -1. Both are of unit length in double precision; the items
-    should differ, since copies take each other's place among the candidates. A distance to a code
-    is the product with the vector that the code stands for, so a list is scanned by one matrix
-    product. Queries go through in blocks, so that memory follows the items and not their product
-    with the queries.
+    should differ, since copies take each other's place among the candidates. Queries of one cell
+    probe the same lists; a distance to a code is the product with the vector that the code stands
+    for, so their lists are scanned by one matrix product.
     """
     cell, codes = index.encode(items.astype(np.float32))
     order = np.argsort(cell, kind="stable")
-    found, starts = np.unique(cell[order], return_index=True)
-    ends = np.append(starts[1:], len(items))
-    width = index.books.shape[2]
-    coded = index.centroids[cell[order]]
-    for m, book in enumerate(index.books):
-        coded[:, m * width : (m + 1) * width] += book[codes[order, m]]
+    counts = np.bincount(cell, minlength=len(index.centroids))
+    starts = np.cumsum(counts) - counts
+    coded = index.decode(cell[order], codes[order])
     place = np.empty(len(items), dtype=np.int64)
     place[order] = np.arange(len(items))
-    centroids = np.ascontiguousarray(index.centroids[found].T)
-    sizes = ends - starts
-    want = max(s.scan, len(items) // s.spread)
-    most = min(max(s.rerank, 4 * k, 2 * int(np.sqrt(len(items)))), len(items))
-    size = int(np.clip(16_000_000 // len(items), 64, 1024))
-    out_q, out_x, out_c = [], [], []
-    for start in range(0, len(queries), size):
-        block, own = queries[start : start + size], same[start : start + size]
-        q32 = block.astype(np.float32)
-        if len(items) <= want:
-            near = q32 @ coded.T
-        else:
-            coarse = q32 @ centroids
-            by = np.argsort(-coarse, axis=1, kind="stable")
-            before = np.cumsum(sizes[by], axis=1) - sizes[by]
-            probed = np.zeros(coarse.shape, dtype=bool)
-            np.put_along_axis(probed, by, before < want, axis=1)
-            near = np.full((len(block), len(items)), -np.inf, dtype=np.float32)
-            for j, (first, last) in enumerate(zip(starts, ends)):
-                asking = np.nonzero(probed[:, j])[0]
-                if len(asking):
-                    near[asking, first:last] = q32[asking] @ coded[first:last].T
-        rows = np.nonzero(own >= 0)[0]
-        near[rows, place[own[rows]]] = -np.inf
-        top = np.argpartition(near, len(items) - most, axis=1)[:, len(items) - most :] if most < len(items) else np.broadcast_to(np.arange(len(items)), near.shape)
-        scanned = np.isfinite(np.take_along_axis(near, top, axis=1))
-        xs = order[top]
-        exact = np.round(np.clip(np.matmul(items[xs], block[:, :, None])[:, :, 0], -1.0, 1.0), 12)
-        exact[~scanned] = -np.inf
-        least = np.partition(exact, most - min(k, most), axis=1)[:, most - min(k, most)]
-        qs, at = np.nonzero(scanned & (exact >= least[:, None]))
-        out_q.append(start + qs)
-        out_x.append(xs[qs, at])
-        out_c.append(exact[qs, at])
+    out_q, out_x, out_c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+
+    def scan(asking: np.ndarray, listed: np.ndarray) -> None:
+        """Compare queries with the items at these places, which ascend."""
+        most = min(max(s.rerank, 4 * k, int(np.sqrt(len(listed)))), len(listed))
+        seen = np.ascontiguousarray(coded[listed].T)
+        size = int(np.clip(8_000_000 // len(listed), 64, 512))
+        for at in range(0, len(asking), size):
+            part = asking[at : at + size]
+            block = queries[part]
+            near = block.astype(np.float32) @ seen
+            rows = np.nonzero(same[part] >= 0)[0]
+            own = place[same[part][rows]]
+            here = np.searchsorted(listed, own)
+            there = (here < len(listed)) & (listed[np.minimum(here, len(listed) - 1)] == own)
+            near[rows[there], here[there]] = -np.inf
+            top = np.argpartition(near, len(listed) - most, axis=1)[:, len(listed) - most :] if most < len(listed) else np.broadcast_to(np.arange(len(listed)), near.shape)
+            other = np.isfinite(np.take_along_axis(near, top, axis=1))
+            xs = order[listed[top]]
+            exact = np.round(np.clip(np.matmul(items[xs], block[:, :, None])[:, :, 0], -1.0, 1.0), 12)
+            exact[~other] = -np.inf
+            least = np.partition(exact, most - min(k, most), axis=1)[:, most - min(k, most)]
+            qs, column = np.nonzero(other & (exact >= least[:, None]))
+            out_q.append(part[qs])
+            out_x.append(xs[qs, column])
+            out_c.append(exact[qs, column])
+
+    if len(items) <= s.scan:
+        scan(np.arange(len(queries)), np.arange(len(items)))
+    else:
+        mine = assign(queries.astype(np.float32), index.centroids)
+        by = np.argsort(mine, kind="stable")
+        for c in np.unique(mine).tolist():
+            asking = by[np.searchsorted(mine[by], c) : np.searchsorted(mine[by], c, side="right")]
+            met = np.cumsum(counts[index.near[c]])
+            probed = np.sort(index.near[c][: max(s.probes, int(np.searchsorted(met, s.scan)) + 1)])
+            if listed := [np.arange(starts[j], starts[j] + counts[j]) for j in probed.tolist() if counts[j]]:
+                scan(asking, np.concatenate(listed))
     return np.concatenate(out_q), np.concatenate(out_x), np.concatenate(out_c)
 
 
@@ -210,25 +234,26 @@ def nearest(rows: DataFrame, group: str, key: str, vector: str, k: int = 5, dim:
         return slim.select(F.col("_g").alias(group), F.col("_id").alias(key), F.col("_id").alias("neighbour"), F.lit(0.0).alias("cosine"), F.lit(1).alias("rank")).where("false")
     sample = picked.sort_by("_h")
     points = unit_length(sample["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-    index = fit(points, min(s.cells, max(16, int(np.sqrt(n)))), s)
+    index = fit(points, s.cells, s)
 
+    units = ["_g", "_pack", "_salt", "_block"]
     sizes = slim.groupBy("_g").agg(F.count("*").alias("_n"))
     sized = slim.join(sizes, "_g")
-    small = sized.where(F.col("_n") <= s.unit).select("_g", F.lit(0).alias("_pack"), F.lit(0).alias("_salt"), F.lit(0).alias("_block"), "_id", "_v", F.lit(3).alias("_role"))
-    # Cells that lie side by side on the centroids' main axis go to packs side by side.
-    middle = index.centroids - index.centroids.mean(axis=0)
-    line = np.argsort(np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable"), kind="stable")
-    probes = max(s.probes, -(-len(index.centroids) // s.spread))
+    # A group within the unit is one list; if more than a block of its vectors ask, each block gets the list.
+    blocks_of = F.ceil(F.col("_n") / s.block).cast("int")
+    small = sized.where(F.col("_n") <= s.unit).withColumn("_blocks", blocks_of).withColumn("_mine", F.expr("cast(pmod(xxhash64(_v), _blocks) as int)"))
+    small = small.select("_g", F.lit(0).alias("_pack"), F.lit(0).alias("_salt"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"), "_id", "_v", "_mine")
+    small = small.select(*units, "_id", "_v", F.when(F.col("_block") == F.col("_mine"), 3).otherwise(2).alias("_role"))
+    line = index.line()
 
     @F.pandas_udf("array<int>")
     def cells(vectors: pd.Series) -> pd.Series:
-        """The place on the line of the vector's own cell, then those of the cells to probe."""
+        """The places in that order of the vector's own cell, then of the cells whose lists it is compared with."""
         if not len(vectors):
             return pd.Series([], dtype=object)
-        v = unit_length(np.stack(vectors.to_numpy())).astype(np.float32)
-        own = assign(v, index.centroids)
-        by = np.argsort(-(v @ index.centroids.T), axis=1, kind="stable")[:, :probes]
-        return pd.Series([[int(line[o]), *map(int, line[p])] for o, p in zip(own, by)])
+        own = assign(unit_length(np.stack(vectors.to_numpy())).astype(np.float32), index.centroids)
+        reach = [[int(line[c]), *map(int, line[near[: s.probes]])] for c, near in enumerate(index.near)]
+        return pd.Series([reach[c] for c in own])
 
     # Of equal vectors the first asks for all, and k + 1 are enough to be found.
     copies = Window.partitionBy("_g", "_v").orderBy("_id")
@@ -243,7 +268,7 @@ def nearest(rows: DataFrame, group: str, key: str, vector: str, k: int = 5, dim:
     reached = F.array_distinct(F.filter(F.transform("_p", lambda c: F.try_element_at("_packs", c)), lambda x: x.isNotNull()))
     asked = offered.where(F.col("_r") == 1).join(held, "_g").select("_g", F.explode(reached).alias("_pack"), "_id", "_v")
     salts = packs.groupBy("_g", "_pack").agg(F.ceil(F.sum("_n") / s.unit).cast("int").alias("_salts"))
-    blocks = asked.groupBy("_g", "_pack").agg(F.ceil(F.count("*") / s.unit).cast("int").alias("_blocks"))
+    blocks = asked.groupBy("_g", "_pack").agg(F.ceil(F.count("*") / s.block).cast("int").alias("_blocks"))
     cuts = salts.join(blocks, ["_g", "_pack"])
     items = items.join(cuts, ["_g", "_pack"]).select("_g", "_pack", F.expr("cast(pmod(xxhash64(_v), _salts) as int)").alias("_salt"), F.explode(F.expr("sequence(0, _blocks - 1)")).alias("_block"), "_id", "_v", F.lit(2).alias("_role"))
     asked = asked.join(cuts, ["_g", "_pack"]).select("_g", "_pack", F.explode(F.expr("sequence(0, _salts - 1)")).alias("_salt"), F.expr("cast(pmod(xxhash64(_id, 1), _blocks) as int)").alias("_block"), "_id", "_v", F.lit(1).alias("_role"))
@@ -271,7 +296,6 @@ def nearest(rows: DataFrame, group: str, key: str, vector: str, k: int = 5, dim:
         return pa.table({"_g": table["_g"].combine_chunks().take(pa.array(qs)), "_id": ids.take(pa.array(qs)), "_x": ids.take(pa.array(xs)), "_c": pa.array(cosine), "rank": pa.array(rank)})
 
     schema = f"_g {group_type}, _id {id_type}, _x {id_type}, _c double, rank int"
-    units = ["_g", "_pack", "_salt", "_block"]
     within = small.groupBy(*units).applyInArrow(run, schema)
     best = Window.partitionBy("_g", "_id").orderBy(F.desc("_c"), F.asc("_x"))
     parts = items.unionByName(asked).groupBy(*units).applyInArrow(run, schema).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
