@@ -238,8 +238,8 @@ def nearest(rows: DataFrame, group: str, key: str, vector: str, k: int = 5, dim:
 
     units = ["_g", "_pack", "_salt", "_block"]
     # Fewer than n / block groups exceed a block, so their sizes may be sent to all tasks while that is a small number.
-    sizes = slim.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > s.block)
-    sized = slim.join(F.broadcast(sizes) if n <= 10_000 * s.block else sizes, "_g", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    sizes = slim.groupBy("_g").agg(F.count("*").alias("_n")).where(F.col("_n") > min(s.block, s.unit))
+    sized = slim.join(F.broadcast(sizes) if n <= 10_000 * min(s.block, s.unit) else sizes, "_g", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
     # A group within the unit is one list; if more than a block of its vectors ask, each block gets the list.
     blocks_of = F.ceil(F.col("_n") / s.block).cast("int")
     small = sized.where(F.col("_n") <= s.unit).withColumn("_blocks", blocks_of).withColumn("_mine", F.expr("cast(pmod(xxhash64(_v), _blocks) as int)"))
