@@ -193,7 +193,7 @@ def brute_force(rows, k=5):
     return {r[1]: [rows[j][1] for j in sorted((j for j in range(len(rows)) if j != i), key=lambda j: (-cosine[i, j], rows[j][1]))[:k]] for i, r in enumerate(rows)}
 
 
-@pytest.mark.parametrize("settings", [knn.Settings(), knn.Settings(unit=1500)])
+@pytest.mark.parametrize("settings", [knn.Settings(), knn.Settings(unit=1500, probes=256), knn.Settings(block=700)])
 def test_recall_in_a_large_group(spark, settings):
     v = np.random.default_rng(7).standard_normal((4000, 64)).astype(np.float32)
     rows = [("n", f"v{i:04}", [float(x) for x in v[i]]) for i in range(len(v))]

@@ -40,7 +40,7 @@ class Settings:
     parts: int = 16
     codes: int = 256
     probes: int = 64
-    scan: int = 2048
+    scan: int = 4096
     rerank: int = 64
     unit: int = 65_536
     block: int = 12_288
