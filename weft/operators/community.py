@@ -154,10 +154,14 @@ def select_for(queries: DataFrame, table: DataFrame, names: DataFrame, most: int
     counted = members.groupBy("namespace", "community_id", "_w").agg(F.count("*").alias("_n"))
     asked = queries.select("query_id", "namespace", F.explode(F.array_distinct(words(F.col("query_text")))).alias("_w"))
     overlap = asked.join(counted, ["namespace", "_w"]).groupBy("query_id", "community_id").agg(F.sum("_n").alias("overlap"))
-    all_pairs = queries.select("query_id", "namespace").join(top.select("namespace", "community_id"), "namespace").join(overlap, ["query_id", "community_id"], "left")
-    filled = all_pairs.select("query_id", "community_id", F.coalesce("overlap", F.lit(0)).alias("overlap"))
+    most = most if most > 0 else 8
+    # communities without a common word only fill up, in order of their ids: more than most of a namespace are never needed
+    first = Window.partitionBy("namespace").orderBy("community_id")
+    filler = top.select("namespace", "community_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most)
+    idle = queries.select("query_id", "namespace").join(filler, "namespace").select("query_id", "community_id", F.lit(0).cast("long").alias("overlap"))
+    filled = overlap.unionByName(idle).groupBy("query_id", "community_id").agg(F.max("overlap").alias("overlap"))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), F.asc("community_id"))
-    return filled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= (most if most > 0 else 8)).drop("_r")
+    return filled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most).drop("_r")
 
 
 def stale(table: DataFrame, reports: DataFrame) -> DataFrame:

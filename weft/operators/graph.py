@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from weft.functions.text import union_kept
 from weft.functions.vectors import cosine, hash_embedding
+from weft.operators.match import containing
 from weft.session import cut
 
 FANOUT, MAX_DEPTH = 64, 2
@@ -21,11 +22,12 @@ def normal_name(name: Column) -> Column:
 def gazetteer_entities(chunks: DataFrame, terms: DataFrame) -> DataFrame:
     """(chunk_id, name, type) of every term (name, type) whose lower-case form stands anywhere in the chunk's text.
 
-    The terms are a dictionary: they are broadcast if Spark measures them as small, else blocked by it.
+    The terms are a dictionary: each block of texts is searched once for all of them.
     """
-    wanted = terms.where(F.coalesce("name", F.lit("")) != "").select("name", "type", F.lower("name").alias("_low")).dropDuplicates(["name"])
-    texts = chunks.where(F.col("content").isNotNull()).select("chunk_id", F.lower("content").alias("_text"))
-    return texts.join(wanted, F.col("_text").contains(F.col("_low"))).select("chunk_id", "name", "type")
+    wanted = terms.where(F.coalesce("name", F.lit("")) != "").select("name", "type", F.lower("name").alias("needle")).dropDuplicates(["name"])
+    texts = chunks.select(F.lit(0).alias("scope"), F.col("chunk_id").alias("id"), F.lower("content").alias("text"))
+    found = containing(wanted.select(F.lit(0).alias("scope"), "needle"), texts)
+    return found.join(wanted, "needle").select(F.col("id").alias("chunk_id"), "name", "type")
 
 
 def co_occurrences(found: DataFrame) -> DataFrame:
@@ -35,6 +37,12 @@ def co_occurrences(found: DataFrame) -> DataFrame:
     return pairs.select("chunk_id", "source", "target", F.lit("co-occurs").alias("relation"), F.lit(1.0).alias("weight"))
 
 
+def with_sources(rows: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """rows with the sorted union of the sources of each key; each source of a key is moved once, whatever rows name it."""
+    each = sources.select(key, F.explode("source_chunk_ids").alias("_c")).where("_c is not null").distinct().groupBy(key).agg(F.array_sort(F.collect_list("_c")).alias("source_chunk_ids"))
+    return rows.join(each, key, "left").withColumn("source_chunk_ids", F.coalesce("source_chunk_ids", F.array().cast("array<string>")))
+
+
 def canonical_entities(entities: DataFrame) -> DataFrame:
     """(entity_id, name, type, description, source_chunk_ids): one row per type and lower-case trimmed name.
 
@@ -64,8 +72,9 @@ def canonical_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
     keyed = rows.withColumn("_key", F.concat_ws("::", "_source_id", F.coalesce("relation", F.lit("")), "_target_id"))
     weight = F.when(F.isnan("weight"), 0.0).otherwise(F.coalesce("weight", F.lit(0.0)))
     out = keyed.groupBy(F.col("_key").alias("relation_id"), F.col("_source_id").alias("source"), F.col("_target_id").alias("target"), F.coalesce("relation", F.lit("")).alias("relation")).agg(
-        F.min_by(F.coalesce("description", F.lit("")), F.struct("relation_id", F.coalesce("description", F.lit("")))).alias("description"), F.round(F.sum(weight), DIGITS).alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids")
+        F.min_by(F.coalesce("description", F.lit("")), F.struct("relation_id", F.coalesce("description", F.lit("")))).alias("description"), F.round(F.sum(weight), DIGITS).alias("weight")
     )
+    out = with_sources(out, keyed.select(F.col("_key").alias("relation_id"), "source_chunk_ids"), "relation_id")
     return out.select("relation_id", "source", "target", "relation", "description", "weight", "source_chunk_ids")
 
 
@@ -83,9 +92,10 @@ def merge_relations(stored: DataFrame, arriving: DataFrame) -> DataFrame:
     """Both tables' relations by id: weights added, the stored description unless empty, sources united."""
     a = stored.select("relation_id", "source", "target", "relation", "description", "weight", "source_chunk_ids", F.lit(0).alias("_o"))
     rows = a.unionByName(arriving.select("relation_id", "source", "target", "relation", "description", "weight", "source_chunk_ids", F.lit(1).alias("_o")))
-    return rows.groupBy("relation_id").agg(
-        F.min_by("source", "_o").alias("source"), F.min_by("target", "_o").alias("target"), F.min_by("relation", "_o").alias("relation"), F.coalesce(F.min_by("description", F.when(F.col("description") != "", F.col("_o"))), F.lit("")).alias("description"), F.round(F.sum("weight"), DIGITS).alias("weight"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunk_ids")))).alias("source_chunk_ids")
+    merged = rows.groupBy("relation_id").agg(
+        F.min_by("source", "_o").alias("source"), F.min_by("target", "_o").alias("target"), F.min_by("relation", "_o").alias("relation"), F.coalesce(F.min_by("description", F.when(F.col("description") != "", F.col("_o"))), F.lit("")).alias("description"), F.round(F.sum("weight"), DIGITS).alias("weight")
     )
+    return with_sources(merged, rows, "relation_id")
 
 
 def remove_sources(rows: DataFrame, chunk_ids: DataFrame) -> DataFrame:

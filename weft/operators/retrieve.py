@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.text import search_tokens
-from weft.functions.vectors import cosine, hash_embedding, norm
+from weft.functions.vectors import hash_embedding
+from weft.operators.match import containing, cosine_top
+from weft.session import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -72,17 +74,15 @@ def lexical_top(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def dense(queries: DataFrame, corpus: DataFrame, query_vector: str, vector: str) -> DataFrame:
-    """(query_id, chunk_id, score, top_k): clamped cosine of each query with every chunk of its scope. Norms are computed once per row."""
-    q = queries.select("query_id", "scope", "top_k", F.col(query_vector).alias("_a"), norm(F.transform(query_vector, lambda x: x.cast("double"))).alias("_na"))
-    c = corpus.select("chunk_id", "scope", F.col(vector).alias("_b"), norm(F.transform(vector, lambda x: x.cast("double"))).alias("_nb"))
-    return q.join(c, "scope").select("query_id", "chunk_id", "top_k", cosine(F.col("_a"), F.col("_b"), F.col("_na"), F.col("_nb")).alias("score"))
+    """(query_id, chunk_id, score, rank): the top_k chunks of a query's scope by clamped cosine, exactly."""
+    return cut_top(cosine_top(queries, corpus, query_vector, vector))
 
 
 def dense_text_top(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Dense leg over hash embeddings of the texts."""
     q = queries.withColumn("_qv", hash_embedding(F.col("query_text")))
-    c = corpus.withColumn("_cv", hash_embedding(F.col("content")))
-    return cut_top(dense(q, c, "_qv", "_cv"))
+    c = corpus.select("scope", "chunk_id", hash_embedding(F.col("content")).alias("_cv"))
+    return dense(q, c, "_qv", "_cv")
 
 
 def fuse(legs: Mapping[str, DataFrame], queries: DataFrame, k: int = RRF_K) -> DataFrame:
@@ -102,9 +102,21 @@ def fuse(legs: Mapping[str, DataFrame], queries: DataFrame, k: int = RRF_K) -> D
 # ---------------------------------------------------------------- structure and routes
 
 
-def _hits(space: Column, tokens: Column) -> Column:
-    """2 points for each (text, token) where the text has the token."""
-    return 2.0 * F.aggregate(space, F.lit(0), lambda n, s: n + F.size(F.filter(tokens, lambda t: s.contains(t))))
+def query_tokens(queries: DataFrame) -> DataFrame:
+    """(query_id, scope, top_k, needle, times): the different tokens of each query and how often it has them."""
+    asked = queries.select("query_id", "scope", "top_k", F.explode(search_tokens(F.col("query_text"))).alias("needle"))
+    return asked.groupBy("query_id", "scope", "top_k", "needle").agg(F.count("*").alias("times"))
+
+
+def token_hits(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, scope, top_k, key, pos, hits): how many of a query's tokens stand in each text (scope, key, pos, text) of its scope.
+
+    Each different text of a scope is searched once, for all tokens of all queries together.
+    """
+    kinds = texts.where(F.coalesce("text", F.lit("")) != "").select("scope", "text").distinct()
+    found = containing(tokens, kinds.withColumn("id", F.col("text"))).withColumnRenamed("id", "text")
+    per_text = tokens.join(found, ["scope", "needle"]).groupBy("query_id", "scope", "top_k", "text").agg(F.sum("times").alias("hits"))
+    return per_text.join(texts, ["scope", "text"]).select("query_id", "scope", "top_k", "key", "pos", "hits")
 
 
 def _space(path: Column, heading: Column, title: Column) -> Column:
@@ -141,31 +153,39 @@ def structure(queries: DataFrame, corpus: DataFrame, depth: int = EXPANSION_DEPT
     chunks' own headings, or half their overlap. A document's title is that of its first chunk.
     """
     titles = corpus.groupBy("scope", "doc_id").agg(F.min_by("title", "chunk_id").alias("_doc_title"))
-    chunks = corpus.join(titles, ["scope", "doc_id"]).select(
-        "scope", "chunk_id", F.transform(_path(), lambda p: F.lower(p)).alias("_p"), F.lower(F.coalesce("_doc_title", F.lit(""))).alias("_t"), F.lower(F.coalesce("title", F.lit(""))).alias("_own"), F.lower(F.coalesce("heading", F.lit(""))).alias("_h"),
-        search_tokens(F.col("content")).alias("_c"), (F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", "") != "").alias("_full")
-    )
-    asked = queries.select("query_id", "scope", "top_k", search_tokens(F.col("query_text")).alias("_q"))
-    pairs = asked.join(chunks, "scope")
-    count = lambda text: F.size(F.filter(F.col("_q"), lambda t: text.contains(t)))
-    overlap = F.size(F.filter("_q", lambda t: F.array_contains("_c", t))).cast("double")
-    per_level = F.transform("_p", count)
-    title = F.when(F.col("_t") != "", count(F.col("_t"))).otherwise(0)
+    place = F.struct(F.transform(_path(), lambda p: F.lower(p)).alias("p"), F.lower(F.coalesce("_doc_title", F.lit(""))).alias("t"), F.lower(F.coalesce("title", F.lit(""))).alias("own"), F.lower(F.coalesce("heading", F.lit(""))).alias("h"))
+    full = F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", "") != ""
+    chunks = corpus.join(titles, ["scope", "doc_id"]).select("scope", "chunk_id", place.alias("_at"), full.alias("_full")).withColumn("key", F.sha2(F.to_json("_at"), 256))
+    # Chunks of the same path, title and heading are one place; scores hang on places, not on chunks.
+    places = chunks.groupBy("scope", "key").agg(F.first("_at").alias("_at"), F.max("_full").alias("_any"))
+    named = F.filter(F.transform(F.col("_at.p"), lambda x, i: F.struct((i + 1).alias("pos"), x.alias("text"))), lambda x: x["text"].isNotNull())
+    more = F.array(*[F.struct(F.lit(n).alias("pos"), F.col(f"_at.{c}").alias("text")) for n, c in ((0, "t"), (-1, "own"), (-2, "h"))])
+    texts = places.select("scope", "key", F.explode(F.concat(named, more)).alias("x")).select("scope", "key", "x.pos", "x.text")
+    tokens = query_tokens(queries)
+    hits = token_hits(tokens, texts).groupBy("query_id", "scope", "top_k", "key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "hits"))).alias("_n"))
+    at = lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0))
+    levels = F.transform(F.col("_at.p"), lambda x, i: at(i + 1))
 
     def section(i: Column) -> Column:
-        matched = 2.0 * (F.aggregate(F.slice(F.col("_l"), 1, i), F.lit(0), lambda a, x: a + x) + F.element_at("_l", i) + F.col("_tt"))
+        matched = 2.0 * (F.aggregate(F.slice(F.col("_l"), 1, i), F.lit(0).cast("long"), lambda a, x: a + x) + F.element_at("_l", i) + F.col("_tt"))
         below = F.size("_l") - i + 1
         return F.when((matched > 0) & (below <= depth), matched + 0.2 * i + 1.5 + 0.1 * (depth - below) + 0.5)
 
-    scored = pairs.withColumn("_l", per_level).withColumn("_tt", title).withColumn("_o", overlap)
-    best = F.when(F.col("_full") & (F.size("_l") > 0), F.array_max(F.transform(F.sequence(F.lit(1), F.size("_l")), section)))
-    own = 2.0 * (F.aggregate("_l", F.lit(0), lambda a, x: a + x) + F.when(F.col("_h") != "", count(F.col("_h"))).otherwise(0) + F.when(F.col("_own") != "", count(F.col("_own"))).otherwise(0))
-    heading = F.when(F.col("_h") != "", 1.5 * count(F.col("_h"))).otherwise(0.0)
-    scored = scored.select("query_id", "chunk_id", "top_k", (best + 0.5 * F.col("_o")).alias("_best"), F.when(own > 0, own + heading + 0.1 * F.size("_l")).otherwise(0.5 * F.col("_o")).alias("_own_score"))
-    matched = scored.where(F.col("_best").isNotNull()).select("query_id").distinct()
-    direct = scored.where(F.col("_best").isNotNull()).select("query_id", "chunk_id", "top_k", F.col("_best").alias("score"))
-    fallback = scored.where(F.col("_own_score") > 0).join(matched, "query_id", "left_anti").select("query_id", "chunk_id", "top_k", F.col("_own_score").alias("score"))
-    return direct.unionByName(fallback)
+    judged = hits.join(places, ["scope", "key"]).withColumn("_l", levels).withColumn("_tt", at(F.lit(0)))
+    best = F.when(F.size("_l") > 0, F.array_max(F.transform(F.sequence(F.lit(1), F.size("_l")), section)))
+    own = 2.0 * (F.aggregate("_l", F.lit(0).cast("long"), lambda a, x: a + x) + at(F.lit(-2)) + at(F.lit(-1)))
+    # written once: read for the matching places, the queries without any, and their fallback
+    judged = cut(judged.select("query_id", "scope", "top_k", "key", "_any", best.alias("_best"), F.when(own > 0, own + 1.5 * at(F.lit(-2)) + 0.1 * F.size("_l")).alias("_own")))
+    overlap = lexical_overlap(queries, corpus)
+    direct = judged.where(F.col("_best").isNotNull() & F.col("_any")).select("query_id", "scope", "top_k", "key", "_best")
+    matched = direct.select("query_id").distinct()
+    under = direct.join(chunks.where("_full").select("scope", "key", "chunk_id"), ["scope", "key"]).join(overlap, ["query_id", "chunk_id"], "left")
+    under = under.select("query_id", "chunk_id", "top_k", (F.col("_best") + 0.5 * F.coalesce("overlap", F.lit(0))).alias("score"))
+    alone = judged.where(F.col("_own").isNotNull()).join(matched, "query_id", "left_anti").select("query_id", "scope", "top_k", "key", "_own")
+    headed = alone.join(chunks.select("scope", "key", "chunk_id"), ["scope", "key"]).select("query_id", "chunk_id", "top_k", F.col("_own").alias("score"))
+    rest = overlap.join(matched, "query_id", "left_anti").join(headed.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    rest = rest.join(queries.select("query_id", "top_k"), "query_id").select("query_id", "chunk_id", "top_k", (0.5 * F.col("overlap")).alias("score"))
+    return under.unionByName(headed).unionByName(rest)
 
 
 def route_candidates(queries: DataFrame, corpus: DataFrame, least: float = ROUTE_MIN_SCORE, most: int = ROUTE_CANDIDATES) -> DataFrame:
@@ -176,9 +196,9 @@ def route_candidates(queries: DataFrame, corpus: DataFrame, least: float = ROUTE
     """
     firsts = corpus.withColumn("_p", _path()).where(F.size("_p") > 0).groupBy("scope", F.col("_p").alias("path")).agg(F.min_by(F.struct("heading", "title"), "chunk_id").alias("_f"))
     spaces = firsts.select("scope", "path", _space(F.col("path"), F.col("_f.heading"), F.col("_f.title")).alias("_s"))
-    asked = queries.select("query_id", "scope", search_tokens(F.col("query_text")).alias("_q"))
-    points = _hits(F.col("_s"), F.col("_q"))
-    scored = asked.join(spaces, "scope").select("query_id", "scope", "path", points.alias("score")).where(F.col("score") > 0)
+    texts = spaces.select("scope", F.array_join("path", "\x1f").alias("key"), F.posexplode("_s").alias("pos", "text"))
+    points = token_hits(query_tokens(queries), texts).groupBy("query_id", "scope", "key").agg((2.0 * F.sum("hits")).alias("score"))
+    scored = points.join(spaces.select("scope", "path", F.array_join("path", "\x1f").alias("key")), ["scope", "key"]).select("query_id", "scope", "path", "score")
     scored = scored.withColumn("score", F.round(F.col("score") + 0.2 * F.size("path"), DIGITS)).where(F.col("score") >= (least or ROUTE_MIN_SCORE))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.size("path")), F.asc(F.array_join("path", "/")))
     kept = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (most or ROUTE_CANDIDATES))
@@ -283,6 +303,7 @@ def graph_hits(reached: DataFrame, entities: DataFrame, queries: DataFrame, deca
 
 def lexical_overlap(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, chunk_id, overlap) of the pairs of one scope that share a token."""
-    asked = queries.select("query_id", "scope", search_tokens(F.col("query_text")).alias("_q"))
-    have = corpus.select("scope", "chunk_id", search_tokens(F.col("content")).alias("_c"))
-    return asked.join(have, "scope").select("query_id", "chunk_id", F.size(F.filter("_q", lambda t: F.array_contains("_c", t))).alias("overlap")).where(F.col("overlap") > 0)
+    tokens = query_tokens(queries)
+    have = corpus.select("scope", "chunk_id", F.explode(F.array_distinct(search_tokens(F.col("content")))).alias("needle"))
+    have = have.join(tokens.select("scope", "needle").distinct(), ["scope", "needle"], "left_semi")
+    return tokens.join(have, ["scope", "needle"]).groupBy("query_id", "chunk_id").agg(F.sum("times").cast("int").alias("overlap"))

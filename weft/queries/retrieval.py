@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.functions.vectors import cosine, hash_counts, norm
+from weft.functions.vectors import hash_counts
 from weft.operators import retrieve as R
+from weft.operators.match import cosine_top
 from weft.queries.base import ASKED, BM25, CORPUS, DENSE, LEXICAL, SPACE, asked, buckets_sql, cosine_sql, corpus, counts_sql, lexical_hits, query, read, tokens_sql, top_sql
 
 
@@ -27,13 +28,10 @@ SELECT vec_id, neighbour, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, r
 )
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of the same label, for every vector: exact search within a namespace."""
-    from pyspark.sql.window import Window
-
-    rows = read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("n", norm(F.col("v")))
-    left = rows.select("label", "vec_id", F.col("v").alias("a"), F.col("n").alias("na"))
-    right = rows.select("label", F.col("vec_id").alias("neighbour"), F.col("v").alias("b"), F.col("n").alias("nb"))
-    pairs = left.join(right, "label").where("vec_id <> neighbour").select("vec_id", "neighbour", F.round(cosine(F.col("a"), F.col("b"), F.col("na"), F.col("nb")), 5).alias("score"))
-    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour"))).where("rank <= 5")
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").alias("scope"), F.col("vec_id").alias("query_id"), F.col("vec_id").alias("chunk_id"), F.lit(5).alias("top_k"), "embedding")
+    best = cosine_top(rows.drop("chunk_id"), rows.drop("query_id", "top_k"), "embedding", "embedding", others=True)
+    ranked = R.cut_top(best.withColumn("score", F.round("score", 5)))
+    return ranked.select(F.col("query_id").alias("vec_id"), F.col("chunk_id").alias("neighbour"), "score", "rank")
 
 
 @query(f"WITH {CORPUS}, {ASKED}, {DENSE} SELECT query_id, chunk_id, score, rank FROM dense")
