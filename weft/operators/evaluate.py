@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +52,20 @@ def exact_match(answer: Column, golds: Column) -> Column:
 
 def token_f1(answer: Column, golds: Column) -> Column:
     """The best F1 of the answer's tokens against a gold answer's, repeated tokens counted; 0 where either is empty."""
-    mine = answer_tokens(answer)
-
-    def one(gold: Column) -> Column:
-        theirs = answer_tokens(gold)
-        times = lambda tokens, t: F.size(F.filter(tokens, lambda x: x == t))
-        shared = F.aggregate(F.array_distinct(mine), F.lit(0), lambda n, t: n + F.least(times(mine, t), times(theirs, t)))
-        return F.when(shared > 0, 2.0 * shared / (F.size(mine) + F.size(theirs))).otherwise(0.0)
 
-    return F.coalesce(F.array_max(F.transform(golds, one)), F.lit(0.0))
+    @F.pandas_udf("double")
+    def best(mine: pd.Series, golds_: pd.Series) -> pd.Series:
+        out = []
+        for tokens, theirs in zip(mine, golds_):
+            have, top = Counter(tokens if tokens is not None else ()), 0.0
+            for gold in theirs if theirs is not None else ():
+                want = Counter(gold if gold is not None else ())
+                if shared := (have & want).total():
+                    top = max(top, 2.0 * shared / (have.total() + want.total()))
+            out.append(top)
+        return pd.Series(out, dtype=float)
+
+    return best(answer_tokens(answer), F.transform(golds, answer_tokens))
 
 
 def phrase_hits(answer: Column, phrases: Column) -> Column:

@@ -215,3 +215,29 @@ def resolve(entities: DataFrame, threshold: float = 0.92) -> DataFrame:
     placed = keyed.join(linked, keyed._id == linked.node).select("type", "name", "component")
     heads = placed.groupBy("component").agg(F.min_by("name", F.struct(-F.octet_length("name"), F.col("name"))).alias("canonical"))
     return placed.join(heads, "component").select("type", "name", "canonical")
+
+
+def rewrite(entities: DataFrame, relations: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations with every resolved name (name, canonical) replaced, by name alone and whatever the type.
+
+    A name that several types resolve differently goes to the longest canonical name, then the smallest.
+    """
+    best = names.groupBy(F.col("name").alias("_n")).agg(F.min_by("canonical", F.struct(-F.octet_length("canonical"), F.col("canonical"))).alias("_to"))
+
+    def replaced(rows: DataFrame, column: str) -> DataFrame:
+        joined = rows.withColumn("_n", F.trim(F.col(column))).join(best, "_n", "left")
+        return joined.withColumn(column, F.coalesce("_to", F.col(column))).drop("_n", "_to").select(*rows.columns)
+
+    return replaced(entities, "name"), replaced(replaced(relations, "source"), "target")
+
+
+def snapshot(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, id, place) of a graph's entities and relations, each kind in the order of its ids."""
+    ids = nodes.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id")).unionByName(edges.select(F.lit("relation").alias("kind"), F.col("relation_id").alias("id")))
+    return ids.distinct().withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("id")))
+
+
+def find_entities(nodes: DataFrame, names: DataFrame) -> DataFrame:
+    """(name, entity_id, entity_name) of the entities that have a name of the list (name), without regard to case and outer blanks."""
+    wanted = names.select("name", normal_name(F.col("name")).alias("_n")).where("_n <> ''").distinct()
+    return wanted.join(nodes.select("entity_id", F.col("name").alias("entity_name"), normal_name(F.col("name")).alias("_n")), "_n").select("name", "entity_id", "entity_name")

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from weft.functions.guard import injection_findings, neutralized
 from weft.functions.text import TRUNCATED, estimated_tokens, search_tokens, sentences
 from weft.functions.vectors import cosine, hash_embedding
+from weft.session import cut
 
 DIGITS = 6
 # The default texts of the answer prompt.
@@ -37,7 +38,7 @@ def heuristic_rerank(hits: DataFrame, boost: float = 0.05) -> DataFrame:
 def model_rerank(hits: DataFrame, model: Callable[[list[tuple[str, str]]], list[float]], top: int = 0) -> DataFrame:
     """hits scored anew by a model of (query, passage) pairs; a reply of another length is an error. top > 0 keeps the best.
 
-    The model sees batches of rows, once each: materialise the result before it is read twice.
+    The model sees batches of rows, once each; its scores are written before anything reads them.
     """
     schema = "query_id " + hits.schema["query_id"].dataType.simpleString() + ", chunk_id string, _model double"
 
@@ -48,7 +49,7 @@ def model_rerank(hits: DataFrame, model: Callable[[list[tuple[str, str]]], list[
                 raise ValueError(f"the model returned {len(scores)} scores for {len(frame)} passages")
             yield pd.DataFrame({"query_id": frame["query_id"], "chunk_id": frame["chunk_id"], "_model": scores})
 
-    scored = hits.select("query_id", "chunk_id", "query_text", "content").mapInPandas(run, schema)
+    scored = cut(hits.select("query_id", "chunk_id", "query_text", "content").mapInPandas(run, schema))
     again = ranked(hits.join(scored, ["query_id", "chunk_id"]).drop("score").withColumnRenamed("_model", "score"))
     return again.where(F.col("rank") <= top) if top > 0 else again
 

@@ -8,7 +8,7 @@ broken by the smaller chunk_id, on scores rounded to six decimals.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -262,11 +262,11 @@ def multi_hop(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return best_of_variants(scored, queries)
 
 
-def route_fanout(queries: DataFrame, corpus: DataFrame, routes: DataFrame) -> DataFrame:
-    """Lexical search in every planned route; a route's confidence is added to its scores and the best counts."""
+def route_fanout(queries: DataFrame, corpus: DataFrame, routes: DataFrame, base: Callable[[DataFrame, DataFrame], DataFrame] = lexical_top) -> DataFrame:
+    """Search by base in every planned route; a route's confidence is added to its scores and the best counts."""
     asked, held = routed(queries, corpus, routes)
     keyed = asked.withColumn("_id", F.to_json(F.struct("query_id", "scope")))
-    found = lexical_top(keyed.select(F.col("_id").alias("query_id"), "scope", "query_text", "top_k"), held)
+    found = base(keyed.select(F.col("_id").alias("query_id"), "scope", "query_text", "top_k"), held)
     scored = found.join(keyed.select(F.col("_id"), F.col("query_id").alias("_whole"), "confidence"), found.query_id == F.col("_id"))
     return best_of_variants(scored.select(F.col("_whole").alias("query_id"), "chunk_id", F.round(F.col("score") + F.col("confidence"), DIGITS).alias("score"), F.lit(0).alias("order")), queries)
 
@@ -307,3 +307,56 @@ def lexical_overlap(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     have = corpus.select("scope", "chunk_id", F.explode(F.array_distinct(search_tokens(F.col("content")))).alias("needle"))
     have = have.join(tokens.select("scope", "needle").distinct(), ["scope", "needle"], "left_semi")
     return tokens.join(have, ["scope", "needle"]).groupBy("query_id", "chunk_id").agg(F.sum("times").cast("int").alias("overlap"))
+
+
+# ---------------------------------------------------------------- routes around whole searches
+
+
+def auto_routed(queries: DataFrame, corpus: DataFrame, base: Callable[[DataFrame, DataFrame], DataFrame], least: float = ROUTE_MIN_SCORE) -> DataFrame:
+    """Search by base, each query inside its best route; queries without a route search everything."""
+    first = route_candidates(queries, corpus, least).where("place = 1").select("query_id", "scope", "path", F.lit(0.0).alias("confidence"))
+    inside = route_fanout(queries, corpus, first, base)
+    return inside.unionByName(base(queries.join(first, "query_id", "left_anti"), corpus).select(*inside.columns))
+
+
+def search_by_policy(queries: DataFrame, corpus: DataFrame, base: Callable[[DataFrame, DataFrame], DataFrame], fanout: int = 1, threshold: float = ROUTE_CONFIDENCE, gap: float = 0.0, least: float = ROUTE_MIN_SCORE) -> DataFrame:
+    """Search by base in the routes planned for each query, scores raised by a route's confidence; without routes everywhere.
+
+    A fanout of one or less searches everything at once.
+    """
+    if fanout <= 1:
+        return base(queries, corpus)
+    routes = cut(plan_routes(route_candidates(queries, corpus, least, max(ROUTE_CANDIDATES, fanout)), threshold, gap, fanout))
+    inside = route_fanout(queries, corpus, routes, base)
+    return inside.unionByName(base(queries.join(routes.select("query_id").distinct(), "query_id", "left_anti"), corpus).select(*inside.columns))
+
+
+def trajectory(queries: DataFrame, hits: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query_id, route, confidence, mode, hit_count, hit_ids, rationale) of searches that took one route or none."""
+    first = candidates.where("place = 1").select("query_id", F.col("path").alias("route"), "confidence")
+    ids = hits.groupBy("query_id").agg(F.count("*").alias("hit_count"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("hit_ids"))
+    none = F.array().cast("array<string>")
+    rows = queries.select("query_id").join(first, "query_id", "left").join(ids, "query_id", "left")
+    return rows.select("query_id", F.coalesce("route", none).alias("route"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.lit("single").alias("mode"), F.coalesce("hit_count", F.lit(0)).alias("hit_count"), F.coalesce("hit_ids", none).alias("hit_ids"), F.lit("single route execution").alias("rationale"))
+
+
+def section_trail(hits: DataFrame) -> DataFrame:
+    """(query_id, section_ids, trail) of hits in order: their different section ids, and their paths end to end."""
+    order = F.array_sort(F.collect_list(F.struct("rank", F.coalesce("section_id", F.lit("")).alias("s"), _path().alias("p"))))
+    rows = hits.groupBy("query_id").agg(order.alias("_o"))
+    ids = F.array_distinct(F.filter(F.transform("_o", lambda x: x["s"]), lambda s: s != ""))
+    return rows.select("query_id", ids.alias("section_ids"), F.flatten(F.transform("_o", lambda x: x["p"])).alias("trail"))
+
+
+def communities_of(reached: DataFrame, communities: DataFrame) -> DataFrame:
+    """(query_id, communities): the sorted ids of the communities that hold an entity the query reached."""
+    members = communities.select("community_id", F.explode("entity_ids").alias("entity_id"))
+    return reached.join(members, "entity_id").groupBy("query_id").agg(F.array_sort(F.collect_set("community_id")).alias("communities"))
+
+
+def search(queries: DataFrame, corpus: DataFrame, base: Callable[[DataFrame, DataFrame], DataFrame], preprocess: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(query_id, effective_query, chunk_id, score, rank): search of queries that may be changed first; a blank query is an error."""
+    text = F.regexp_replace(F.coalesce("query_text", F.lit("")), r"(?U)\s+", "")
+    checked = queries.withColumn("query_text", F.when(text == "", F.raise_error(F.lit("the query is blank")).cast("string")).otherwise(F.col("query_text")))
+    ready = cut(preprocess(checked) if preprocess else checked)
+    return base(ready, corpus).join(ready.select("query_id", F.col("query_text").alias("effective_query")), "query_id").select("query_id", "effective_query", "chunk_id", "score", "rank")

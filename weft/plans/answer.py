@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weft.functions.parsers import decision, grader_score, judgement, planned_queries
+from weft.functions.parsers import decision, extraction_lines, grader_score, judgement, planned_queries, sub_queries
 from weft.operators import evaluate, post, retrieve
 from weft.plans.seams import Model, Usage, generate
 from weft.session import cut
 
 Retriever = Callable[[DataFrame, DataFrame], DataFrame]
+#: The grade of a chunk whose grader failed, and the most follow-up queries of a question over all its rounds.
+FAILED_GRADE, FOLLOW_UPS = 0.5, 4
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,7 @@ class Asker:
     def __init__(self, corpus: DataFrame, model: Model, grader: Model | None = None, planner: Model | None = None, judge: Model | None = None, usage: Usage | None = None) -> None:
         self.corpus, self.model, self.usage = corpus, model, usage
         self.grader, self.planner, self.judge = grader, planner, judge
+        self.followed = 0  # follow-up queries that a question of this ask may have used so far
 
     def _hits(self, questions: DataFrame, options: Options) -> DataFrame:
         found = hybrid(questions, self.corpus, options.structure).select("query_id", "chunk_id", "score", "rank")
@@ -75,8 +78,8 @@ class Asker:
 
     def _graded(self, hits: DataFrame) -> DataFrame:
         prompt = F.concat(F.lit("Query: "), "query_text", F.lit("\nChunk: "), "chunk_id", F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\nHow relevant is the chunk, from 0 to 1? Reply: score=<number>"))
-        rated = generate(hits.withColumn("_prompt", prompt), "_prompt", self.grader, "_reply", "grade", self.usage)
-        return rated.withColumn("relevance", grader_score(F.col("_reply"))).drop("_prompt", "_reply")
+        rated = generate(hits.withColumn("_prompt", prompt), "_prompt", self.grader, "_reply", "grade", self.usage, skip_failures=True)
+        return rated.withColumn("relevance", F.when(F.col("_reply").isNull(), FAILED_GRADE).otherwise(grader_score(F.col("_reply")))).drop("_prompt", "_reply")
 
     def _follow_up(self, questions: DataFrame, found: DataFrame, options: Options) -> DataFrame:
         """Search again where no hit reaches the floor, with planned queries; the best score of each chunk counts."""
@@ -84,8 +87,9 @@ class Asker:
         weak = graded.groupBy("query_id").agg(F.max("relevance").alias("_best")).where(F.col("_best") < options.relevance_floor)
         asked = questions.join(weak.select("query_id"), "query_id")
         prompt = F.concat(F.lit("Question: "), "query_text", F.lit(f"\nUp to {options.per_round} search queries for missing evidence, one per line."))
-        planned = generate(asked.withColumn("_prompt", prompt), "_prompt", self.planner, "_reply", "plan", self.usage)
-        most = options.per_round
+        planned = generate(asked.withColumn("_prompt", prompt), "_prompt", self.planner, "_reply", "plan", self.usage, skip_failures=True)
+        most = max(0, min(options.per_round, FOLLOW_UPS - self.followed))
+        self.followed += most
 
         @F.pandas_udf("array<string>")
         def lines(replies: pd.Series) -> pd.Series:
@@ -156,6 +160,7 @@ class Asker:
         options = options or Options()
         if options.mode not in ("off", "rule", "model", "hybrid"):
             raise ValueError(options.mode)
+        self.followed = 0
         limit = max(1, options.max_rounds) if options.mode != "off" else 1
         options = replace(options, max_rounds=limit)
         open_rows = questions.withColumn("_original", F.col("query_text")).withColumn("_before", F.lit(None).cast("array<string>"))
@@ -182,7 +187,7 @@ class Asker:
         pairs = rows.select("query_id", "query_text", "answer", F.explode(F.arrays_zip("chunk_ids", "contexts")).alias("c")).select("query_id", "query_text", "answer", F.col("c.chunk_ids").alias("chunk_id"), F.col("c.contexts").alias("content"))
         rated = self._graded(pairs)
         prompt = F.concat(F.lit("Answer: "), F.coalesce("answer", F.lit("")), F.lit("\nChunk: "), "chunk_id", F.lit("\n"), F.coalesce("content", F.lit("")), F.lit("\nHow well does the chunk support the answer, from 0 to 1? Reply: score=<number>"))
-        rated = generate(rated.withColumn("_prompt", prompt), "_prompt", self.grader, "_reply", "grade", self.usage).withColumn("support", grader_score(F.col("_reply")))
+        rated = generate(rated.withColumn("_prompt", prompt), "_prompt", self.grader, "_reply", "grade", self.usage, skip_failures=True).withColumn("support", F.when(F.col("_reply").isNull(), FAILED_GRADE).otherwise(grader_score(F.col("_reply"))))
         means = rated.groupBy("query_id").agg(F.max("relevance").alias("relevance"), F.avg("relevance").alias("mean_relevance"), F.avg("support").alias("mean_support"))
         return rows.join(means, "query_id", "left").fillna(0.0, ["relevance", "mean_relevance", "mean_support"])
 
@@ -254,3 +259,40 @@ def retrieve_variants(queries: DataFrame, corpus: DataFrame, variants: DataFrame
     keyed = variants.withColumn("_whole", F.col("query_id")).withColumn("query_id", F.to_json(F.struct("query_id", "order")))
     found = hybrid(keyed.select("query_id", "scope", "query_text", "top_k"), corpus).join(keyed.select("query_id", "_whole", "order"), "query_id")
     return retrieve.best_of_variants(found.select(F.col("_whole").alias("query_id"), "chunk_id", "score", "order"), queries)
+
+
+def abstractive_compress(hits: DataFrame, model: Model, usage: Usage | None = None) -> DataFrame:
+    """(query_id, chunk_id, content): each chunk summarised towards its query; an empty reply keeps the text."""
+    prompt = F.concat(F.lit("Summarize the passage, keeping only what helps with the query. Reply with the summary only.\n\nQuery: "), "query_text", F.lit("\n\nPassage:\n"), F.coalesce("content", F.lit("")))
+    told = generate(hits.withColumn("_prompt", prompt), "_prompt", model, "_reply", "compress", usage)
+    return told.select("query_id", "chunk_id", F.coalesce(F.nullif(F.regexp_replace("_reply", r"(?U)^\s+|\s+$", ""), F.lit("")), F.col("content")).alias("content"))
+
+
+def decompose(queries: DataFrame, model: Model, most: int = 5, usage: Usage | None = None) -> DataFrame:
+    """(query_id, order, scope, query_text, top_k): up to most sub-questions that a model finds; the question itself if it finds none."""
+    prompt = F.concat(F.lit("Break the question into simpler ones, one per line.\nQuestion: "), "query_text")
+    told = generate(queries.withColumn("_prompt", prompt), "_prompt", model, "_reply", "decompose", usage)
+
+    @F.pandas_udf("array<string>")
+    def lines(replies: pd.Series) -> pd.Series:
+        return pd.Series([sub_queries(r or "", most) for r in replies], dtype=object)
+
+    parts = told.withColumn("_l", lines("_reply"))
+    chosen = F.when(F.size("_l") > 0, F.col("_l")).otherwise(F.array("query_text"))
+    return parts.select("query_id", "scope", "top_k", F.posexplode(chosen).alias("order", "query_text"))
+
+
+def extract_graph(chunks: DataFrame, model: Model, usage: Usage | None = None) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations that a model names in chunks (chunk_id, content), with the chunk as their source.
+
+    Lines that aren't ENTITY | name | type | description or RELATION | source | target | relation |
+    description are passed over.
+    """
+    prompt = F.concat(F.lit("List the entities and relations of the text, one per line:\nENTITY | name | type | description\nRELATION | source | target | relation | description\nText:\n"), F.coalesce("content", F.lit("")))
+    told = generate(chunks.select("chunk_id", prompt.alias("_prompt")), "_prompt", model, "_reply", "extract", usage)
+    lines = cut(told.select("chunk_id", F.posexplode(extraction_lines(F.col("_reply"))).alias("_n", "l")).withColumn("_k", F.upper(F.get("l", 0))))
+    part = lambda i: F.coalesce(F.get("l", i), F.lit(""))
+    row = F.xxhash64("chunk_id", "_n")
+    found = lines.where((F.col("_k") == "ENTITY") & (part(1) != "")).select(row.alias("entity_id"), part(1).alias("name"), part(2).alias("type"), part(3).alias("description"), F.array("chunk_id").alias("source_chunk_ids"))
+    links = lines.where((F.col("_k") == "RELATION") & (part(1) != "") & (part(2) != "")).select(row.alias("relation_id"), part(1).alias("source"), part(2).alias("target"), part(3).alias("relation"), part(4).alias("description"), F.lit(1.0).alias("weight"), F.array("chunk_id").alias("source_chunk_ids"))
+    return found, links

@@ -50,17 +50,26 @@ def echo(prompts: list[str]) -> list[str]:
     return [p.rstrip().rsplit("\n", 1)[-1] for p in prompts]
 
 
-def generate(rows: DataFrame, prompt: str, model: Model, out: str, stage: str = "generate", usage: Usage | None = None) -> DataFrame:
-    """rows with the model's reply to each prompt.
+def generate(rows: DataFrame, prompt: str, model: Model, out: str, stage: str = "generate", usage: Usage | None = None, skip_failures: bool = False) -> DataFrame:
+    """rows with the model's reply to each prompt; with skip_failures, null for prompts whose call fails.
 
     Each distinct prompt is asked once, in batches, and the replies are written before anything reads
     them, so that a plan that runs again never calls the model again. A reply of another length is an error.
     """
     asked = rows.select(F.col(prompt).alias("_p")).where("_p is not null").distinct()
 
+    def call(prompts: list[str]) -> list[str | None]:
+        if not skip_failures:
+            return list(model(prompts))
+        try:
+            return list(model(prompts))
+        except Exception:
+            # a batch fails as a whole: ask one by one, so that only those that fail are left out
+            return [None] if len(prompts) == 1 else [r for p in prompts for r in call([p])]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            replies = model(frame["_p"].tolist())
+            replies = call(frame["_p"].tolist())
             if len(replies) != len(frame):
                 raise ValueError(f"the model returned {len(replies)} replies to {len(frame)} prompts")
             yield pd.DataFrame({"_p": frame["_p"], "_r": replies})
@@ -72,11 +81,21 @@ def generate(rows: DataFrame, prompt: str, model: Model, out: str, stage: str =
     return rows.join(replies.select(F.col("_p").alias(prompt), F.col("_r").alias(out)), prompt, "left")
 
 
-def cached(rows: DataFrame, key: str, cache: DataFrame, out: str, call: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(rows with out, the cache with the new values): only rows whose key the cache lacks are passed to call."""
-    fresh = call(rows.join(cache.select(key), key, "left_anti").dropDuplicates([key]))
-    grown = cut(cache.select(key, out).unionByName(fresh.select(key, out)))
-    return rows.join(grown, key, "left"), grown
+def cached(rows: DataFrame, key: str, cache: DataFrame, out: str, call: Callable[[DataFrame], DataFrame], most: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """(rows with out, the cache with the new values): only rows whose key the cache lacks are passed to call.
+
+    Values that call leaves null (it failed) aren't kept. The cache (key, out, and used, the number of
+    the call that last used a value) holds at most ``most`` values; those unused for longest go first.
+    """
+    used = F.col("used") if "used" in cache.columns else F.lit(0)
+    held = cache.select(key, out, used.cast("long").alias("used"))
+    now = (held.agg(F.coalesce(F.max("used"), F.lit(0))).first()[0] or 0) + 1
+    asked = rows.select(key).distinct()
+    fresh = cut(call(rows.join(held.select(key), key, "left_anti").dropDuplicates([key])).select(key, out))
+    touched = held.join(asked.withColumn("_t", F.lit(True)), key, "left").select(key, out, F.when(F.col("_t"), F.lit(now)).otherwise(F.col("used")).alias("used"))
+    grown = touched.unionByName(fresh.where(F.col(out).isNotNull()).select(key, out, F.lit(now).cast("long").alias("used")))
+    kept = cut(grown.orderBy(F.desc("used"), F.asc(key)).limit(most))
+    return rows.join(held.select(key, out).unionByName(fresh), key, "left"), kept
 
 
 def retrying(call: Callable[[], object], attempts: int = 3, base: float = 0.1, cap: float = 30.0, transient: Callable[[Exception], bool] = lambda _: True, jitter: bool = False, sleep: Callable[[float], None] = time.sleep) -> object:

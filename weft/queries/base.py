@@ -34,6 +34,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 COLUMNS = ("chunk_id", "ingested_at", "namespace", "doc_id", "title", "section_path", "heading", "content")
 
 
+
 def corpus(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The current version of every chunk; its namespace is its scope. Only the named columns are read, all without names."""
     kept = [c for c in COLUMNS if c in ("chunk_id", "ingested_at", "namespace", *(columns or COLUMNS))]

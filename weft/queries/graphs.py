@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weft.functions.parsers import extraction_lines
 from weft.operators import community, graph, retrieve
-from weft.queries.base import ASKED, CORPUS, SPACE, asked, corpus, query, read, top_sql
+from weft.queries.base import ASKED, CORPUS, SPACE, asked, buckets_sql, corpus, cosine_sql, counts_sql, query, read, top_sql
+from weft.streaming import ingest
 
 
 def _name(x: str) -> str:
@@ -51,11 +52,11 @@ def canonical_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(canonical(spark, sf_dir)[1])
 
 
-_TERMS = "terms AS (SELECT name, min(type) AS type FROM (SELECT DISTINCT name, type FROM entities WHERE type IN ('concept') AND coalesce(trim(name), '') <> '') GROUP BY name)"
+_TERMS = "terms AS (SELECT name, min(type) AS type FROM (SELECT DISTINCT name, type FROM entities WHERE lower(trim(type)) IN ('concept', 'location', 'place') AND coalesce(trim(name), '') <> '') GROUP BY name)"
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "entities").where("type = 'concept' and coalesce(trim(name), '') <> ''").groupBy("name").agg(F.min("type").alias("type"))
+    return read(spark, sf_dir, "entities").where("lower(trim(type)) in ('concept', 'location', 'place') and coalesce(trim(name), '') <> ''").groupBy("name").agg(F.min("type").alias("type"))
 
 
 @query(f"WITH {CORPUS}, {_TERMS} SELECT chunk_id, name, type FROM corpus JOIN terms ON contains(lower(content), lower(name))")
@@ -68,14 +69,60 @@ def cooccur_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.co_occurrences(graph.gazetteer_entities(corpus(spark, sf_dir, "content"), _terms(spark, sf_dir)))
 
 
-@query(f"WITH {ENTITIES} SELECT entity_id, name, type, array_to_string(list_sort(source_chunk_ids), ',') AS source_chunk_ids FROM nodes")
+_MERGED = f"""{ENTITIES}, parts AS (SELECT *, row_id % 2 AS half FROM rawents),
+named AS (SELECT entity_id, type, arg_min(name, (half, row_id, name)) AS name FROM parts GROUP BY ALL),
+told AS (SELECT entity_id, string_agg(description, '; ' ORDER BY half, f, description) AS description FROM (SELECT entity_id, description, min(half) AS half, arg_min(row_id, (half, row_id)) AS f FROM parts WHERE description <> '' GROUP BY ALL) GROUP BY entity_id)"""
+
+
+@query(f"WITH {_MERGED} SELECT n.entity_id, n.name, n.type, coalesce(t.description, '') AS description, array_to_string(coalesce(s.source_chunk_ids, []), ',') AS source_chunk_ids FROM named n LEFT JOIN told t USING (entity_id) LEFT JOIN sources s USING (entity_id)")
 def graph_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entities imported in two halves and merged have the sources of both."""
+    """Entities of the even rows are stored, those of the odd rows arrive: the stored name stays, descriptions and sources unite."""
     rows, _ = extracted(spark, sf_dir)
-    ids = graph.canonical_entities(rows).select("entity_id", F.col("name").alias("_n"))
     first, second = graph.canonical_entities(rows.where("entity_id % 2 = 0")), graph.canonical_entities(rows.where("entity_id % 2 = 1"))
-    merged = graph.merge_entities(first, second).join(ids, "entity_id").withColumn("name", F.col("_n"))
-    return merged.select("entity_id", "name", "type", F.array_join(F.array_sort("source_chunk_ids"), ",").alias("source_chunk_ids"))
+    return graph.merge_entities(first, second).select("entity_id", "name", "type", "description", F.array_join(F.array_sort("source_chunk_ids"), ",").alias("source_chunk_ids"))
+
+
+@query(f"""WITH {GRAPH}, relparts AS (SELECT *, row_id % 2 AS half, source || '::' || relation || '::' || target AS relation_id FROM ends),
+sides AS (SELECT relation_id, half, arg_min(description, (row_id, description)) AS description, round(sum(weight), 6) AS weight FROM relparts GROUP BY ALL),
+links AS (SELECT relation_id, list_sort(list(DISTINCT c)) AS cs FROM (SELECT relation_id, unnest(source_chunk_ids) AS c FROM relparts) WHERE c IS NOT NULL GROUP BY relation_id)
+SELECT s.relation_id, coalesce(arg_min(description, half) FILTER (description <> ''), '') AS description, round(sum(weight), 6) AS weight, array_to_string(coalesce(any_value(l.cs), []), ',') AS source_chunk_ids FROM sides s LEFT JOIN links l USING (relation_id) GROUP BY s.relation_id""")
+def relation_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of the even rows are stored, those of the odd rows arrive: weights add up, the stored description stays unless empty."""
+    entities, relations = extracted(spark, sf_dir)
+    nodes = graph.canonical_entities(entities)
+    first, second = (graph.canonical_relations(relations.where(f"relation_id % 2 = {i}"), nodes) for i in (0, 1))
+    return _joined(graph.merge_relations(first, second)).select("relation_id", "description", "weight", "source_chunk_ids")
+
+
+@query(f"""WITH {GRAPH} SELECT kind, id, CAST(row_number() OVER (PARTITION BY kind ORDER BY id) AS INTEGER) AS place FROM (SELECT 'entity' AS kind, entity_id AS id FROM nodes UNION ALL SELECT 'relation', relation_id FROM edges)""")
+def graph_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.snapshot(*canonical(spark, sf_dir))
+
+
+@query(f"WITH {ENTITIES}, wanted AS (SELECT DISTINCT source AS name, {_name('source')} AS n FROM relations WHERE {_name('source')} <> '') SELECT w.name, e.entity_id, e.name AS entity_name FROM wanted w JOIN nodes e ON {_name('e.name')} = w.n")
+def find_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities that the sources of relations name."""
+    return graph.find_entities(canonical(spark, sf_dir)[0], read(spark, sf_dir, "relations").select(F.col("source").alias("name")))
+
+
+@query(f"""WITH {CORPUS}, {_TERMS}, after AS (SELECT * FROM corpus WHERE namespace <> 'handbook' OR chunk_id LIKE '%:0'),
+found AS (SELECT DISTINCT chunk_id, type || ':' || {_name('name')} AS entity_id FROM after JOIN terms ON contains(lower(content), lower(name)))
+SELECT entity_id, array_to_string(list_sort(list(chunk_id)), ',') AS source_chunk_ids FROM found GROUP BY entity_id""")
+def import_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first chunks of the handbook are imported again in place of all its chunks: what only the others mention leaves the graph."""
+    terms = _terms(spark, sf_dir)
+    rows = corpus(spark, sf_dir, "content").withColumn("source_id", F.col("namespace"))
+    none = "relation_id long, source string, target string, relation string, description string, weight double, source_chunk_ids array<string>"
+
+    def extract(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = graph.gazetteer_entities(chunks, terms)
+        return found.select(F.xxhash64("chunk_id", "name").alias("entity_id"), "name", "type", F.lit("").alias("description"), F.array("chunk_id").alias("source_chunk_ids")), spark.createDataFrame([], none)
+
+    nodes, links = extract(rows)
+    stored = graph.canonical_entities(nodes)
+    arriving = rows.where("namespace = 'handbook' and chunk_id like '%:0'")
+    after = ingest.import_graph(rows, arriving, stored, graph.canonical_relations(links, stored), extract)[1]
+    return _joined(after.withColumn("source_chunk_ids", F.array_sort("source_chunk_ids"))).select("entity_id", "source_chunk_ids")
 
 
 @query(f"""WITH {CORPUS}, {ENTITIES}, gone AS (SELECT chunk_id FROM corpus WHERE namespace = 'handbook'), kept AS (SELECT entity_id, list_sort(list_filter(source_chunk_ids, lambda c: c NOT IN (SELECT chunk_id FROM gone))) AS l FROM nodes)
@@ -228,11 +275,37 @@ def community_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return community.select_for(asked(spark, sf_dir).withColumnRenamed("scope", "namespace"), table, nodes, 3)
 
 
-@query()
+_RESOLVED = f"""RECURSIVE names AS (SELECT DISTINCT coalesce(type, '') AS type, trim(name) AS name FROM entities WHERE coalesce({_name("name")}, '') <> ''),
+embedded AS (SELECT type, name, {_name("name")} AS n, {counts_sql("b")} AS v FROM (SELECT *, {buckets_sql("name")} AS b FROM names)),
+alike AS (SELECT a.type, a.name AS a, b.name AS b FROM embedded a JOIN embedded b ON a.type = b.type AND (a.n = b.n OR round({cosine_sql("a.v", "b.v")}, 6) >= 0.92)),
+reach AS (SELECT type, name, name AS other FROM names UNION SELECT r.type, r.name, k.b FROM reach r JOIN alike k ON k.type = r.type AND k.a = r.other),
+resolved AS (SELECT type, name, arg_min(other, (-strlen(other), other)) AS canonical FROM reach GROUP BY ALL)"""
+
+
+@query(f"WITH {_RESOLVED} SELECT type, name, canonical FROM resolved")
 def resolve_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve(extracted(spark, sf_dir)[0])
 
 
+@query(f"""WITH {_RESOLVED}, best AS (SELECT name, arg_min(canonical, (-strlen(canonical), canonical)) AS target FROM resolved GROUP BY name)
+SELECT DISTINCT r.relation_id, coalesce(s.target, r.source) AS source, coalesce(t.target, r.target) AS target FROM relations r LEFT JOIN best s ON s.name = trim(r.source) LEFT JOIN best t ON t.name = trim(r.target)""")
+def resolve_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations whose ends carry the resolved names."""
+    entities, relations = extracted(spark, sf_dir)
+    return graph.rewrite(entities, relations, graph.resolve(entities))[1].select("relation_id", "source", "target").distinct()
+
+
+@query(f"""WITH {_HOOD.replace("WITH ", "")}, nsrel AS (SELECT e.namespace, CAST(e.row_id AS VARCHAR) AS relation_id, e.source, e.target FROM ends e WHERE e.namespace IS NOT NULL),
+nsnode AS (SELECT DISTINCT namespace, entity_id FROM (SELECT namespace, source AS entity_id FROM nsrel UNION ALL SELECT namespace, target FROM nsrel)),
+labelled AS (SELECT n.namespace, n.entity_id, d.type AS label FROM nsnode n JOIN nodes d USING (entity_id)),
+member AS (SELECT entity_id, 'L0-' || min(entity_id) OVER (PARTITION BY namespace, label) AS community_id FROM labelled)
+SELECT query_id, array_to_string(list_sort(list(DISTINCT community_id)), ',') AS communities FROM hood JOIN member USING (entity_id) WHERE depth <= 1 GROUP BY query_id""")
+def communities_of_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds, nodes, edges = _linked(spark, sf_dir)
+    found = retrieve.communities_of(graph.neighbourhood(seeds, edges, nodes, 1), _typed(spark, sf_dir)[0])
+    return found.withColumn("communities", F.array_join("communities", ","))
+
+
 _REPLIES = "replies AS (SELECT DISTINCT entity_id, 'ENTITY | ' || coalesce(name, '') || ' | ' || coalesce(type, '') || chr(10) || chr(10) || 'noise' || chr(10) || 'relation|' || coalesce(name, '') || '|x|cites' AS reply FROM entities)"
 
 

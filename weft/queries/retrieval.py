@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weft.functions.vectors import hash_counts
 from weft.operators import retrieve as R
 from weft.operators.match import cosine_top
-from weft.queries.base import ASKED, BM25, CORPUS, DENSE, LEXICAL, SPACE, asked, buckets_sql, cosine_sql, corpus, counts_sql, lexical_hits, query, read, tokens_sql, top_sql
+from weft.queries.base import ASKED, BM25, CORPUS, DENSE, HITS, LEXICAL, SPACE, asked, buckets_sql, cosine_sql, corpus, counts_sql, lexical_hits, query, read, tokens_sql, top_sql
 
 
 @query(f"WITH {LEXICAL} SELECT query_id, chunk_id, score, rank FROM lexical")
@@ -195,4 +195,42 @@ def hit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.union_hits(R.lexical_top(questions, chunks), R.dense_text_top(questions, chunks), 4)
 
 
+@query(
+    f"""WITH {_PLAN}, best1 AS (SELECT query_id, scope, path, 0.0 AS confidence FROM routes WHERE place = 1),
+rasked AS (SELECT a.query_id || '|' || array_to_string(list_transform(p.path, lambda x: lower(x)), '/') AS query_id, a.query_id AS whole, p.scope || '|' || array_to_string(list_transform(p.path, lambda x: lower(x)), '/') AS scope, a.query_text, a.top_k
+  FROM asked a JOIN best1 p USING (query_id) UNION ALL SELECT query_id || '|', query_id, scope, query_text, top_k FROM asked WHERE query_id NOT IN (SELECT query_id FROM best1)),
+kinds AS (SELECT DISTINCT scope, list_transform(path, lambda x: lower(x)) AS path FROM best1),
+rcorpus AS (SELECT c.chunk_id, c.content, k.scope || '|' || array_to_string(k.path, '/') AS scope FROM corpus c JOIN kinds k ON k.scope = c.scope AND list_transform(c.section_path[1:len(k.path)], lambda x: lower(x)) = k.path UNION ALL SELECT chunk_id, content, scope FROM corpus),
+{_renamed(BM25)}, found AS {top_sql("bm25")}
+SELECT r.whole AS query_id, f.chunk_id, f.score, f.rank FROM found f JOIN rasked r USING (query_id)"""
+)
+def auto_route_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical search inside each query's best route; everywhere for queries without one."""
+    return R.auto_routed(asked(spark, sf_dir), corpus(spark, sf_dir, "title", "section_path", "heading", "content"), R.lexical_top)
+
+
+@query()
+def route_policy_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hybrid search in up to two planned routes of each query."""
+    base = lambda q, c: R.fuse({"dense": R.dense_text_top(q, c), "lexical": R.lexical_top(q, c)}, q).select("query_id", "chunk_id", "score", "rank")
+    return R.search_by_policy(asked(spark, sf_dir), corpus(spark, sf_dir, "title", "section_path", "heading", "content"), base, fanout=2, gap=0.3)
+
+
+@query(f"WITH {HITS} SELECT query_id, array_to_string(flatten(list(section_path ORDER BY rank)), ' > ') AS trail FROM hitrows GROUP BY query_id")
+def section_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexical_hits(spark, sf_dir).withColumn("section_id", F.lit(""))
+    return R.section_trail(rows).select("query_id", F.array_join("trail", " > ").alias("trail"))
+
+
+@query(
+    f"""WITH {LEXICAL}, {_ROUTES.split("rq AS", 1)[0].replace(CORPUS + ", " + ASKED + ", ", "")}rq AS {_ROUTES.split("rq AS", 1)[1]}
+SELECT a.query_id, coalesce(array_to_string(r.path, ' > '), '') AS route, coalesce(r.confidence, 0.0) AS confidence, coalesce(h.n, 0) AS hit_count, coalesce(h.ids, '') AS hit_ids
+FROM asked a LEFT JOIN (SELECT * FROM routes WHERE place = 1) r USING (query_id) LEFT JOIN (SELECT query_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY rank) AS ids FROM lexical GROUP BY query_id) h USING (query_id)"""
+)
+def route_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions, chunks = asked(spark, sf_dir), corpus(spark, sf_dir, "title", "section_path", "heading", "content")
+    steps = R.trajectory(questions, R.lexical_top(questions, chunks), R.route_candidates(questions, chunks))
+    return steps.select("query_id", F.array_join("route", " > ").alias("route"), "confidence", "hit_count", F.array_join("hit_ids", ",").alias("hit_ids"))
+
+
 __all__ = ["hybrid", "lexical_hits"]

@@ -37,11 +37,22 @@ def json_props_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").where(F.get_json_object("props", "$.k").cast("int") % 2 == 0).select("event_id", "user_id")
 
 
-@query(f"WITH {CORPUS} SELECT chunk_id, namespace, doc_id, title, heading, content FROM corpus")
+_SPLIT_AT = "2024-07-02 00:00:00"
+
+
+def _versions(when: str) -> str:
+    return f"""(SELECT chunk_id, namespace, doc_id, title, heading, content FROM (
+    SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC NULLS LAST, namespace DESC, doc_id DESC, title DESC NULLS LAST, section_path DESC NULLS LAST, heading DESC NULLS LAST, content DESC NULLS LAST) AS v
+    FROM chunks WHERE chunk_id IS NOT NULL AND {when}) WHERE v = 1)"""
+
+
+@query(f"""WITH stored AS {_versions(f"(ingested_at IS NULL OR ingested_at < TIMESTAMP '{_SPLIT_AT}')")}, arriving AS {_versions(f"ingested_at >= TIMESTAMP '{_SPLIT_AT}'")}
+SELECT * FROM arriving UNION ALL SELECT * FROM stored WHERE chunk_id NOT IN (SELECT chunk_id FROM arriving)""")
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of embedding version history arrive after the others: the last write of an id wins."""
-    chunks = store.latest(read(spark, sf_dir, "chunks").select("chunk_id", "ingested_at", "namespace", "doc_id", "title", "section_path", "heading", "content"))
-    return store.upsert(chunks, chunks).select("chunk_id", "namespace", "doc_id", "title", "heading", "content")
+    """What was ingested up to some day is stored; what came later arrives, partly under ids that are stored with other values."""
+    rows = read(spark, sf_dir, "chunks").select("chunk_id", "ingested_at", "namespace", "doc_id", "title", "section_path", "heading", "content")
+    later = F.coalesce(F.col("ingested_at") >= F.lit(_SPLIT_AT).cast("timestamp_ntz"), F.lit(False))
+    return store.upsert(store.latest(rows.where(~later)), store.latest(rows.where(later))).select("chunk_id", "namespace", "doc_id", "title", "heading", "content")
 
 
 @query("SELECT doc_id, source FROM documents WHERE metadata IS NULL OR metadata['lang'] IS DISTINCT FROM 'en'")
@@ -106,6 +117,7 @@ def lineage_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.explode(marks).alias("k", "v"))
 
 
+# Fixed values, stated a second time to check the library's: the redaction rules in their order.
 def _redact_sql() -> tuple[str, str]:
     patterns = [("ssn", r"\b\d{3}-\d{2}-\d{4}\b", "[REDACTED:SSN]"), ("credit_card", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,4}\b", "[REDACTED:CREDIT_CARD]"), ("phone", r"\+?\b\d[\d ()-]{7,}\d\b", "[REDACTED:PHONE]"),
                 ("ipv4", r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b", "[REDACTED:IPV4]"), ("email", r"(?i)[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}", "[REDACTED:EMAIL]")]
@@ -131,7 +143,12 @@ def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.unpivot([], list(counts), "kind", "n")
 
 
-_FLAGS = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(coalesce(content, ''), '{p}') THEN '{n}' END" for n, p in guard.INJECTIONS) + "], lambda x: x IS NOT NULL)"
+# Fixed values, stated a second time to check the library's: names and patterns of injection phrases.
+_FLAGS = r"""list_filter([
+  CASE WHEN regexp_matches(coalesce(content, ''), '(?i)ignore\s+(all\s+|the\s+)?(previous|prior|above)\s+(instructions|prompts?)') THEN 'instruction_override' END,
+  CASE WHEN regexp_matches(coalesce(content, ''), '(?i)disregard\s+(everything\s+|all\s+)?(the\s+)?above') THEN 'disregard_above' END,
+  CASE WHEN regexp_matches(coalesce(content, ''), '(?i)(you\s+are\s+now\b|new\s+instructions\s*:|forget\s+(everything|all\s+previous))') THEN 'role_override' END,
+  CASE WHEN regexp_matches(coalesce(content, ''), '(?i)(reveal|print|show|repeat|display)\s+(your\s+|the\s+)?(system\s+)?(prompt|instructions)') THEN 'prompt_exfiltration' END], lambda x: x IS NOT NULL)"""
 
 
 @query(f"SELECT chunk_id, ingested_at, array_to_string({_FLAGS}, ',') AS findings FROM chunks")

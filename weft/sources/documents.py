@@ -78,6 +78,49 @@ def decode_benchmark(text: str, header_keys: set[str], example_keys: set[str]) -
     return rows[0], rows[1:]
 
 
+def encode_record(record: Mapping[str, object]) -> str:
+    """A run's result or diagnostics as one JSON object; NaN is written as null."""
+
+    def clean(value: object) -> object:
+        if isinstance(value, float) and value != value:
+            return None
+        if isinstance(value, Mapping):
+            return {k: clean(v) for k, v in value.items()}
+        return [clean(v) for v in value] if isinstance(value, (list, tuple)) else value
+
+    return json.dumps(clean(record), ensure_ascii=False)
+
+
+def decode_record(text: str, shape: Mapping[str, object]) -> dict[str, object]:
+    """What encode_record wrote. shape has the known keys: None for a value, a shape for an object, [shape] for a list of them.
+
+    Unknown keys at any depth, and anything but one JSON object, are errors.
+    """
+
+    def checked(value: object, known: object, where: str) -> object:
+        if isinstance(known, list) and isinstance(value, list):
+            return [checked(v, known[0], where) for v in value]
+        if isinstance(known, Mapping) and value is not None:
+            if not isinstance(value, dict):
+                raise ValueError(f"{where or 'the text'} is no object")
+            if unknown := set(value) - set(known):
+                raise ValueError(f"unknown keys {sorted(unknown)} in {where or 'the object'}")
+            return {k: checked(v, known[k], f"{where}.{k}".lstrip(".")) for k, v in value.items()}
+        return value
+
+    out = checked(json.loads(text), shape, "")
+    if not isinstance(out, dict):
+        raise ValueError("the text is no object")
+    return out
+
+
+def write_triad(path: str, examples: DataFrame, summary: Mapping[str, object]) -> None:
+    """Each example as a JSON line in files of the folder, the summary as a line of its own in a last file."""
+    write_lines(examples, path)
+    spark = examples.sparkSession
+    spark.createDataFrame([(json.dumps({"summary": dict(summary)}, ensure_ascii=False),)], "value string").coalesce(1).write.mode("append").text(path)
+
+
 def http_scores(url: str, query: str, passages: list[str], model: str = "", key: str = "", timeout: float = 30.0) -> list[float]:
     """Relevance scores of passages from a rerank endpoint, in their order."""
     import urllib.request
@@ -90,3 +133,19 @@ def http_scores(url: str, query: str, passages: list[str], model: str = "", key:
     for r in results:
         out[r["index"]] = float(r["relevance_score"])
     return out
+
+
+def http_model(url: str, model: str = "", key: str = "", timeout: float = 30.0, ask: Callable[..., list[float]] = http_scores) -> Callable[[list[tuple[str, str]]], list[float]]:
+    """A rerank endpoint as a model of (query, passage) pairs: one request for each different query of a batch."""
+
+    def scores(pairs: list[tuple[str, str]]) -> list[float]:
+        out = [0.0] * len(pairs)
+        by: dict[str, list[int]] = {}
+        for i, (query, _) in enumerate(pairs):
+            by.setdefault(query, []).append(i)
+        for query, places in by.items():
+            for i, s in zip(places, ask(url, query, [pairs[i][1] or "" for i in places], model, key, timeout), strict=True):
+                out[i] = s
+        return out
+
+    return scores
