@@ -7,6 +7,8 @@ product, or one automaton over all words. What leaves a task is its best rows or
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,51 +50,107 @@ def _cosines(a: np.ndarray, sa: np.ndarray, b: np.ndarray, sb: np.ndarray) -> np
     return np.where((sa[:, None] == sb) & (size != 0), value, 0.0)
 
 
+def in_blocks(queries: DataFrame, rows: DataFrame, key: str, work: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What work makes of each block of queries (scope, query_id, …) with each block of rows (scope, key, …) of the same scope."""
+    parts = lambda df, most, name: df.groupBy("scope").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    cuts = parts(rows, ITEMS, "_nr").join(parts(queries, QUERIES, "_nq"), "scope")
+    own = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = rows.join(cuts, "scope").withColumns({"_r": own(key, "_nr"), "_asks": F.lit(False)}).withColumn("_q", every("_nq")).drop("_nr", "_nq")
+    asked = queries.join(cuts, "scope").withColumns({"_q": own("query_id", "_nq"), "_asks": F.lit(True)}).withColumn("_r", every("_nr")).drop("_nr", "_nq")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        return work(table.filter(table["_asks"]).combine_chunks(), table.filter(pc.invert(table["_asks"])).sort_by(key).combine_chunks())
+
+    return held.unionByName(asked, allowMissingColumns=True).groupBy("scope", "_r", "_q").applyInArrow(run, schema)
+
+
+def firsts(seen: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Which of each row's values are its k greatest, of equal ones the first; k is a column. -inf is never among them."""
+    most = min(int(k.max(initial=1)), seen.shape[1])
+    top = -np.sort(-np.partition(seen, seen.shape[1] - most, axis=1)[:, seen.shape[1] - most :], axis=1)
+    floor = np.take_along_axis(top, np.minimum(k, most) - 1, axis=1)
+    above, level = seen > floor, seen == floor
+    return (above | level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True))) & (seen > -np.inf)
+
+
+def _array(column: pa.ChunkedArray) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def cosine_top(queries: DataFrame, corpus: DataFrame, query_vector: str, vector: str, others: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, top_k): of each query and block of its scope, the top_k chunks of the highest clamped cosine.
 
     The best of the whole scope are among them, ties by the smaller chunk_id on rounded scores
     included. With others, a query doesn't meet the row of its own id.
     """
-    parts = lambda rows, most, name: rows.groupBy("scope").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
-    cuts = parts(corpus, ITEMS, "_nc").join(parts(queries, QUERIES, "_nq"), "scope")
     id_of, key = corpus.schema["chunk_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    own = lambda c, n: F.expr(f"cast(pmod(xxhash64({c}), {n}) as int)")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     wide = lambda v: F.col(v).cast("array<double>").alias("_v")
-    items = corpus.join(cuts, "scope").select("scope", own("chunk_id", "_nc").alias("_c"), every("_nq").alias("_q"), F.lit(None).cast(key).alias("query_id"), "chunk_id", F.lit(0).alias("top_k"), wide(vector))
-    asked = queries.join(cuts, "scope").select("scope", every("_nc").alias("_c"), own("query_id", "_nq").alias("_q"), "query_id", F.lit(None).cast(id_of).alias("chunk_id"), F.col("top_k").cast("int").alias("top_k"), wide(query_vector))
 
-    def best(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        q = table.filter(pc.is_valid(table["query_id"]))
-        c = table.filter(pc.is_valid(table["chunk_id"])).sort_by("chunk_id")
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
         ks = q["top_k"].to_numpy()
         rows, columns, scores = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if q.num_rows and c.num_rows:
-            vectors = lambda t: t["_v"].combine_chunks() if isinstance(t["_v"], pa.ChunkedArray) else t["_v"]
-            (a, sa), (b, sb) = _matrix(vectors(q)), _matrix(vectors(c))
+            (a, sa), (b, sb) = _matrix(_array(q["_v"])), _matrix(_array(c["_v"]))
             same = np.array(q["query_id"].to_pylist(), dtype=object)[:, None] == np.array(c["chunk_id"].to_pylist(), dtype=object) if others else None
             for at in range(0, q.num_rows, STRIP):
                 raw = _cosines(a[at : at + STRIP], sa[at : at + STRIP], b, sb)
                 seen = np.round(raw, DIGITS)
                 if same is not None:
-                    seen[same[at : at + STRIP]] = -1.0
-                k = ks[at : at + STRIP, None]
-                most = min(int(k.max(initial=1)), c.num_rows)
-                top = -np.sort(-np.partition(seen, c.num_rows - most, axis=1)[:, c.num_rows - most :], axis=1)
-                floor = np.take_along_axis(top, np.minimum(k, most) - 1, axis=1)
-                above, level = seen > floor, seen == floor
-                # of the scores equal to the last one the first chunks count: they are in order
-                kept = (above | level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True))) & (seen >= 0)
-                r, x = np.nonzero(kept)
+                    seen[same[at : at + STRIP]] = -np.inf
+                r, x = np.nonzero(firsts(seen, ks[at : at + STRIP, None]))
                 rows.append(at + r)
                 columns.append(x)
                 scores.append(raw[r, x])
         r, x = pa.array(np.concatenate(rows)), pa.array(np.concatenate(columns))
         return pa.table({"query_id": q["query_id"].take(r), "chunk_id": c["chunk_id"].take(x), "score": pa.array(np.concatenate(scores)), "top_k": q["top_k"].take(r)})
 
-    return items.unionByName(asked).groupBy("scope", "_c", "_q").applyInArrow(best, f"query_id {key}, chunk_id {id_of}, score double, top_k int")
+    asked = queries.select("scope", "query_id", F.col("top_k").cast("int").alias("top_k"), wide(query_vector))
+    return in_blocks(asked, corpus.select("scope", "chunk_id", wide(vector)), "chunk_id", best, f"query_id {key}, chunk_id {id_of}, score double, top_k int")
+
+
+def found_in(words: list[str], texts: list[str]) -> Iterator[tuple[int, str]]:
+    """(place of a text, word) for the different words that each text holds anywhere."""
+    automaton = None
+    if ahocorasick is not None and words:
+        automaton = ahocorasick.Automaton()
+        for w in words:
+            automaton.add_word(w, w)
+        automaton.make_automaton()
+    for i, text in enumerate(texts):
+        for w in {w for _, w in automaton.iter(text)} if automaton is not None else {w for w in words if w in text}:
+            yield i, w
+
+
+class Tokens:
+    """The tokens of a block's queries, and how often each query has each: what texts and contents are counted with."""
+
+    def __init__(self, tokens: list[list[str] | None]) -> None:
+        self.place: dict[str, int] = {}
+        rows, columns = [], []
+        for i, words in enumerate(tokens):
+            for w in words or ():
+                rows.append(i)
+                columns.append(self.place.setdefault(w, len(self.place)))
+        self.times = np.zeros((len(tokens), max(1, len(self.place))), np.float32)
+        np.add.at(self.times, (rows, columns), 1)
+
+    def in_texts(self, texts: list[str]) -> np.ndarray:
+        """Per query and text, how many of the query's tokens stand anywhere in the text; a last column of zeros for no text."""
+        there = np.zeros((self.times.shape[1], len(texts) + 1), np.float32)
+        for i, w in found_in(list(self.place), texts):
+            there[self.place[w], i] = 1
+        return self.times @ there
+
+    def among(self, words: list[list[str] | None]) -> np.ndarray:
+        """Per query and list of words, how many of the query's tokens are in the list."""
+        there = np.zeros((self.times.shape[1], len(words)), np.float32)
+        for i, some in enumerate(words):
+            for w in some or ():
+                if (at := self.place.get(w)) is not None:
+                    there[at, i] = 1
+        return self.times @ there
 
 
 def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
@@ -109,20 +167,9 @@ def containing(needles: DataFrame, texts: DataFrame) -> DataFrame:
     sought = words.join(cuts, "scope").select("scope", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_b"), F.lit(None).cast(kind).alias("id"), F.col("needle").alias("_s"), F.lit(True).alias("_needle"))
 
     def find(table: pa.Table) -> pa.Table:
-        seek = table.filter(table["_needle"])["_s"].to_pylist()
         read = table.filter(pc.invert(table["_needle"]))
-        at, found = [], []
-        if seek and read.num_rows:
-            automaton = None
-            if ahocorasick is not None:
-                automaton = ahocorasick.Automaton()
-                for w in seek:
-                    automaton.add_word(w, w)
-                automaton.make_automaton()
-            for i, text in enumerate(read["_s"].to_pylist()):
-                got = {w for _, w in automaton.iter(text)} if automaton is not None else {w for w in seek if w in text}
-                at += [i] * len(got)
-                found += sorted(got)
+        got = sorted(found_in(table.filter(table["_needle"])["_s"].to_pylist(), read["_s"].to_pylist()))
+        at, found = [i for i, _ in got], [w for _, w in got]
         where = pa.array(at, pa.int64())
         return pa.table({"scope": read["scope"].take(where), "id": read["id"].take(where), "needle": pa.array(found, pa.string())})
 

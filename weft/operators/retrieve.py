@@ -10,20 +10,21 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.text import search_tokens
 from weft.functions.vectors import hash_embedding
-from weft.operators.match import containing, cosine_top
+from weft.operators.match import DIGITS, Tokens, cosine_top, firsts, in_blocks
 from weft.session import cut
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 ROUTE_MIN_SCORE, ROUTE_CANDIDATES, ROUTE_CONFIDENCE = 2.0, 3, 0.6
 EXPANSION_DEPTH = 8
-DIGITS = 6
 
 
 def prepare_queries(queries: DataFrame, scope: str = "namespace", default_k: int = 5) -> DataFrame:
@@ -108,17 +109,6 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return asked.groupBy("query_id", "scope", "top_k", "needle").agg(F.count("*").alias("times"))
 
 
-def token_hits(tokens: DataFrame, texts: DataFrame) -> DataFrame:
-    """(query_id, scope, top_k, key, pos, hits): how many of a query's tokens stand in each text (scope, key, pos, text) of its scope.
-
-    Each different text of a scope is searched once, for all tokens of all queries together.
-    """
-    kinds = texts.where(F.coalesce("text", F.lit("")) != "").select("scope", "text").distinct()
-    found = containing(tokens, kinds.withColumn("id", F.col("text"))).withColumnRenamed("id", "text")
-    per_text = tokens.join(found, ["scope", "needle"]).groupBy("query_id", "scope", "top_k", "text").agg(F.sum("times").alias("hits"))
-    return per_text.join(texts, ["scope", "text"]).select("query_id", "scope", "top_k", "key", "pos", "hits")
-
-
 def _space(path: Column, heading: Column, title: Column) -> Column:
     extra = F.filter(F.array(F.lower(heading), F.lower(title)), lambda x: F.coalesce(x, F.lit("")) != "")
     return F.concat(F.transform(path, lambda p: F.lower(p)), extra)
@@ -153,39 +143,47 @@ def structure(queries: DataFrame, corpus: DataFrame, depth: int = EXPANSION_DEPT
     chunks' own headings, or half their overlap. A document's title is that of its first chunk.
     """
     titles = corpus.groupBy("scope", "doc_id").agg(F.min_by("title", "chunk_id").alias("_doc_title"))
-    place = F.struct(F.transform(_path(), lambda p: F.lower(p)).alias("p"), F.lower(F.coalesce("_doc_title", F.lit(""))).alias("t"), F.lower(F.coalesce("title", F.lit(""))).alias("own"), F.lower(F.coalesce("heading", F.lit(""))).alias("h"))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     full = F.regexp_replace(F.coalesce("content", F.lit("")), r"(?U)\s+", "") != ""
-    chunks = corpus.join(titles, ["scope", "doc_id"]).select("scope", "chunk_id", place.alias("_at"), full.alias("_full")).withColumn("key", F.sha2(F.to_json("_at"), 256))
-    # Chunks of the same path, title and heading are one place; scores hang on places, not on chunks.
-    places = chunks.groupBy("scope", "key").agg(F.first("_at").alias("_at"), F.max("_full").alias("_any"))
-    named = F.filter(F.transform(F.col("_at.p"), lambda x, i: F.struct((i + 1).alias("pos"), x.alias("text"))), lambda x: x["text"].isNotNull())
-    more = F.array(*[F.struct(F.lit(n).alias("pos"), F.col(f"_at.{c}").alias("text")) for n, c in ((0, "t"), (-1, "own"), (-2, "h"))])
-    texts = places.select("scope", "key", F.explode(F.concat(named, more)).alias("x")).select("scope", "key", "x.pos", "x.text")
-    tokens = query_tokens(queries)
-    hits = token_hits(tokens, texts).groupBy("query_id", "scope", "top_k", "key").agg(F.map_from_entries(F.collect_list(F.struct("pos", "hits"))).alias("_n"))
-    at = lambda i: F.coalesce(F.try_element_at("_n", i), F.lit(0))
-    levels = F.transform(F.col("_at.p"), lambda x, i: at(i + 1))
-
-    def section(i: Column) -> Column:
-        matched = 2.0 * (F.aggregate(F.slice(F.col("_l"), 1, i), F.lit(0).cast("long"), lambda a, x: a + x) + F.element_at("_l", i) + F.col("_tt"))
-        below = F.size("_l") - i + 1
-        return F.when((matched > 0) & (below <= depth), matched + 0.2 * i + 1.5 + 0.1 * (depth - below) + 0.5)
-
-    judged = hits.join(places, ["scope", "key"]).withColumn("_l", levels).withColumn("_tt", at(F.lit(0)))
-    best = F.when(F.size("_l") > 0, F.array_max(F.transform(F.sequence(F.lit(1), F.size("_l")), section)))
-    own = 2.0 * (F.aggregate("_l", F.lit(0).cast("long"), lambda a, x: a + x) + at(F.lit(-2)) + at(F.lit(-1)))
-    # written once: read for the matching places, the queries without any, and their fallback
-    judged = cut(judged.select("query_id", "scope", "top_k", "key", "_any", best.alias("_best"), F.when(own > 0, own + 1.5 * at(F.lit(-2)) + 0.1 * F.size("_l")).alias("_own")))
-    overlap = lexical_overlap(queries, corpus)
-    direct = judged.where(F.col("_best").isNotNull() & F.col("_any")).select("query_id", "scope", "top_k", "key", "_best")
-    matched = direct.select("query_id").distinct()
-    under = direct.join(chunks.where("_full").select("scope", "key", "chunk_id"), ["scope", "key"]).join(overlap, ["query_id", "chunk_id"], "left")
-    under = under.select("query_id", "chunk_id", "top_k", (F.col("_best") + 0.5 * F.coalesce("overlap", F.lit(0))).alias("score"))
-    alone = judged.where(F.col("_own").isNotNull()).join(matched, "query_id", "left_anti").select("query_id", "scope", "top_k", "key", "_own")
-    headed = alone.join(chunks.select("scope", "key", "chunk_id"), ["scope", "key"]).select("query_id", "chunk_id", "top_k", F.col("_own").alias("score"))
-    rest = overlap.join(matched, "query_id", "left_anti").join(headed.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
-    rest = rest.join(queries.select("query_id", "top_k"), "query_id").select("query_id", "chunk_id", "top_k", (0.5 * F.col("overlap")).alias("score"))
-    return under.unionByName(headed).unionByName(rest)
+    chunks = corpus.join(titles, ["scope", "doc_id"]).select("scope", "chunk_id", F.transform(_path(), lambda p: F.lower(p)).alias("_p"), low("_doc_title").alias("_t"), low("title").alias("_own"), low("heading").alias("_h"), full.alias("_full"), F.array_distinct(search_tokens(F.col("content"))).alias("_words"))
+    asked = queries.select("scope", "query_id", F.col("top_k").cast("int").alias("top_k"), search_tokens(F.col("query_text")).alias("_tokens"))
+
+    def judge(q: pa.Table, c: pa.Table) -> pa.Table:
+        """The best chunks of each query by section, and those by their own headings, of this block."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
+        if q.num_rows and c.num_rows:
+            tokens, place = Tokens(q["_tokens"].to_pylist()), {"": -1}
+            of = lambda text: place.setdefault(text, len(place) - 1) if text is not None else -1
+            paths = [[of(x) for x in path] for path in c["_p"].to_pylist()]
+            title, own_title, heading = (np.array([of(x) for x in c[name].to_pylist()]) for name in ("_t", "_own", "_h"))
+            size, filled = np.array([len(x) for x in paths]), c["_full"].to_numpy()
+            levels = np.full((len(paths), int(size.max(initial=0))), -1)
+            for i, path in enumerate(paths):
+                levels[i, : len(path)] = path
+            hits = tokens.in_texts([t for t in place if t])
+            overlap, ks = tokens.among(c["_words"].to_pylist()), q["top_k"].to_numpy()
+            for at in range(0, q.num_rows, 256):
+                some, shared, k = hits[at : at + 256], 0.5 * overlap[at : at + 256].astype(np.float64), ks[at : at + 256, None]
+                above, best = np.zeros(shared.shape), np.full(shared.shape, -np.inf)
+                for i in range(1, levels.shape[1] + 1):
+                    here = some[:, levels[:, i - 1]]
+                    above = above + here
+                    matched, below = 2.0 * (above + here + some[:, title]), size - i + 1
+                    fits = (matched > 0) & (filled & (size >= i) & (below <= depth))
+                    best = np.where(fits, np.maximum(best, matched + 0.2 * i + 1.5 + 0.1 * (depth - below) + 0.5), best)
+                own = 2.0 * (above + some[:, heading] + some[:, own_title])
+                alone = np.where(own > 0, own + 1.5 * some[:, heading] + 0.1 * size, shared)
+                for scores, by_section in ((best + shared, True), (np.where(alone > 0, alone, -np.inf), False)):
+                    r, x = np.nonzero(firsts(np.round(scores, DIGITS), k))
+                    out.append((at + r, x, scores[r, x], by_section))
+        r, x = (pa.array(np.concatenate([np.empty(0, np.int64), *[o[i] for o in out]])) for i in (0, 1))
+        scores = np.concatenate([np.empty(0), *[o[2] for o in out]])
+        return pa.table({"query_id": q["query_id"].take(r), "chunk_id": c["chunk_id"].take(x), "score": pa.array(scores), "top_k": q["top_k"].take(r), "_section": pa.array([o[3] for o in out for _ in o[0]], pa.bool_())})
+
+    found = in_blocks(asked, chunks, "chunk_id", judge, f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id string, score double, top_k int, _section boolean")
+    # a query that matched a section in any block has no fallback
+    matched = found.withColumn("_any", F.max("_section").over(Window.partitionBy("query_id")))
+    return matched.where(F.col("_section") == F.col("_any")).select("query_id", "chunk_id", "score", "top_k")
 
 
 def route_candidates(queries: DataFrame, corpus: DataFrame, least: float = ROUTE_MIN_SCORE, most: int = ROUTE_CANDIDATES) -> DataFrame:
@@ -194,14 +192,33 @@ def route_candidates(queries: DataFrame, corpus: DataFrame, least: float = ROUTE
     A path is judged by its first chunk's path, heading and title. Equal scores: longer paths, then
     the smaller path. confidence is the score over the query's best.
     """
-    firsts = corpus.withColumn("_p", _path()).where(F.size("_p") > 0).groupBy("scope", F.col("_p").alias("path")).agg(F.min_by(F.struct("heading", "title"), "chunk_id").alias("_f"))
-    spaces = firsts.select("scope", "path", _space(F.col("path"), F.col("_f.heading"), F.col("_f.title")).alias("_s"))
-    texts = spaces.select("scope", F.array_join("path", "\x1f").alias("key"), F.posexplode("_s").alias("pos", "text"))
-    points = token_hits(query_tokens(queries), texts).groupBy("query_id", "scope", "key").agg((2.0 * F.sum("hits")).alias("score"))
-    scored = points.join(spaces.select("scope", "path", F.array_join("path", "\x1f").alias("key")), ["scope", "key"]).select("query_id", "scope", "path", "score")
-    scored = scored.withColumn("score", F.round(F.col("score") + 0.2 * F.size("path"), DIGITS)).where(F.col("score") >= (least or ROUTE_MIN_SCORE))
+    heads = corpus.withColumn("_p", _path()).where(F.size("_p") > 0).groupBy("scope", F.col("_p").alias("path")).agg(F.min_by(F.struct("heading", "title"), "chunk_id").alias("_f"))
+    key = F.concat(F.lpad((1000 - F.size("path")).cast("string"), 4, "0"), F.array_join("path", "/"))  # in the order of ties
+    spaces = heads.select("scope", key.alias("_key"), "path", _space(F.col("path"), F.col("_f.heading"), F.col("_f.title")).alias("_s"))
+    asked = queries.select("scope", "query_id", search_tokens(F.col("query_text")).alias("_tokens"))
+    least, most = least or ROUTE_MIN_SCORE, most or ROUTE_CANDIDATES
+
+    def judge(q: pa.Table, c: pa.Table) -> pa.Table:
+        rows, columns, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        if q.num_rows and c.num_rows:
+            tokens, place = Tokens(q["_tokens"].to_pylist()), {"": -1}
+            spaces = c["_s"].to_pylist()
+            at = [(place.setdefault(t, len(place) - 1), i) for i, s in enumerate(spaces) for t in s if t]
+            hits = tokens.in_texts([t for t in place if t])
+            held = np.zeros((hits.shape[1], len(spaces)), np.float32)
+            if at:
+                np.add.at(held, tuple(np.array(at).T), 1)
+            points = 2.0 * (hits @ held).astype(np.float64)
+            total = np.round(points + 0.2 * np.array([len(p) for p in c["path"].to_pylist()]), DIGITS)
+            seen = np.where((points > 0) & (total >= least), total, -np.inf)
+            rows, columns = np.nonzero(firsts(seen, np.full((len(seen), 1), most)))
+            scores = seen[rows, columns]
+        r, x = pa.array(rows), pa.array(columns)
+        return pa.table({"query_id": q["query_id"].take(r), "scope": q["scope"].take(r), "path": c["path"].take(x), "score": pa.array(scores)})
+
+    scored = in_blocks(asked, spaces, "_key", judge, f"query_id {queries.schema['query_id'].dataType.simpleString()}, scope string, path array<string>, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.size("path")), F.asc(F.array_join("path", "/")))
-    kept = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (most or ROUTE_CANDIDATES))
+    kept = scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
     return kept.withColumn("confidence", F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), DIGITS))
 
 
@@ -264,7 +281,7 @@ def multi_hop(queries: DataFrame, corpus: DataFrame) -> DataFrame:
 
 def route_fanout(queries: DataFrame, corpus: DataFrame, routes: DataFrame, base: Callable[[DataFrame, DataFrame], DataFrame] = lexical_top) -> DataFrame:
     """Search by base in every planned route; a route's confidence is added to its scores and the best counts."""
-    asked, held = routed(queries, corpus, routes)
+    asked, held = routed(queries, corpus, cut(routes))  # read three times: for the queries, the corpus and the confidences
     keyed = asked.withColumn("_id", F.to_json(F.struct("query_id", "scope")))
     found = base(keyed.select(F.col("_id").alias("query_id"), "scope", "query_text", "top_k"), held)
     scored = found.join(keyed.select(F.col("_id"), F.col("query_id").alias("_whole"), "confidence"), found.query_id == F.col("_id"))

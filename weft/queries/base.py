@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weft.operators.retrieve import lexical_top, prepare_queries
 from weft.operators.store import latest
+from weft.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,9 +47,11 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 hits with the query's and the chunk's texts."""
-    chunks, questions = corpus(spark, sf_dir), asked(spark, sf_dir)
-    return lexical_top(questions, chunks).join(questions.select("query_id", "query_text", "top_k"), "query_id").join(chunks.drop("scope"), "chunk_id")
+    """BM25 hits with the query's and the chunk's texts; of the texts only those that were hit are gathered a second time."""
+    questions = asked(spark, sf_dir)
+    found = cut(lexical_top(questions, corpus(spark, sf_dir, "content")))
+    rows = read(spark, sf_dir, "chunks").select(*COLUMNS).join(found.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    return found.join(questions.select("query_id", "query_text", "top_k"), "query_id").join(latest(rows), "chunk_id")
 
 
 # ---------------------------------------------------------------- SQL
