@@ -86,17 +86,36 @@ def answer_token_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.select("doc_id", F.size("t").cast("long").alias("words"), F.size(F.array_distinct("t")).cast("long").alias("different"))
 
 
-_ASCII = "(SELECT doc_id, text FROM documents WHERE text IS NOT NULL)"
-_SPLIT = rf"""WITH RECURSIVE src AS (SELECT doc_id, regexp_replace(text, '^{SPACE}|{SPACE}$', '', 'g') AS t FROM {_ASCII}),
-walk AS (
-  SELECT doc_id, t, 0 AS i, 0 AS pos, CAST(NULL AS VARCHAR) AS piece, t = '' AS done FROM src
+# Windows of the texts t of src, by key k: where each begins, and its piece.
+_WALK = rf"""walk AS (
+  SELECT k, t, 0 AS i, 0 AS pos, CAST(NULL AS VARCHAR) AS piece, t = '' AS done FROM src
   UNION ALL
-  SELECT doc_id, t, i + 1, CASE WHEN len(t) <= pos + 600 THEN pos ELSE greatest(cut + CASE WHEN blank > 0 THEN 2 ELSE 0 END - 50, pos + 1) END,
+  SELECT k, t, i + 1, CASE WHEN len(t) <= pos + 600 THEN pos ELSE greatest(cut + CASE WHEN blank > 0 THEN 2 ELSE 0 END - 50, pos + 1) END,
     CASE WHEN len(t) <= pos + 600 THEN substr(t, pos + 1) ELSE substr(t, pos + 1, cut - pos) END, len(t) <= pos + 600
   FROM (SELECT *, pos + CASE WHEN blank > 0 THEN blank - 1 WHEN space > 1 THEN space - 1 ELSE 500 END AS cut FROM (
     SELECT *, CASE WHEN contains(substr(t, pos + 1, 600), E'\n\n') THEN 601 - instr(reverse(substr(t, pos + 1, 600)), E'\n\n') - 1 ELSE 0 END AS blank,
-      CASE WHEN contains(substr(t, pos + 1, 500), ' ') THEN 501 - instr(reverse(substr(t, pos + 1, 500)), ' ') ELSE 0 END AS space FROM walk WHERE NOT done)))
-SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_index, content FROM (SELECT doc_id, i, regexp_replace(piece, '^{SPACE}|{SPACE}$', '', 'g') AS content FROM walk WHERE piece IS NOT NULL) WHERE content <> ''"""
+      CASE WHEN contains(substr(t, pos + 1, 500), ' ') THEN 501 - instr(reverse(substr(t, pos + 1, 500)), ' ') ELSE 0 END AS space FROM walk WHERE NOT done)))"""
+
+
+def _trimmed(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}|{SPACE}$', '', 'g')"
+
+
+_SPLIT = f"""WITH RECURSIVE src AS (SELECT doc_id AS k, {_trimmed("text")} AS t FROM documents WHERE text IS NOT NULL), {_WALK}
+SELECT k AS doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY i) - 1 AS INTEGER) AS chunk_index, content FROM (SELECT k, i, {_trimmed("piece")} AS content FROM walk WHERE piece IS NOT NULL) WHERE content <> ''"""
+_MARKDOWN = f"""WITH RECURSIVE split AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT doc_id, n, ls[n] AS line, {_trimmed("ls[n]")} AS bare FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS n FROM split)),
+marked AS (SELECT *, CASE WHEN regexp_matches(bare, '^#+ ') THEN len(regexp_extract(bare, '^#+')) ELSE 0 END AS level FROM lines),
+placed AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS s FROM marked),
+heads AS (SELECT doc_id, s, level, {_trimmed("substr(bare, level + 1)")} AS title FROM placed WHERE level > 0),
+paths AS (SELECT doc_id, s, level, title, [title] AS path FROM heads WHERE s = 1 UNION ALL SELECT h.doc_id, h.s, h.level, h.title, list_append(p.path[1:h.level - 1], h.title) FROM paths p JOIN heads h ON h.doc_id = p.doc_id AND h.s = p.s + 1),
+bodies AS (SELECT doc_id, s, {_trimmed("string_agg(line, chr(10) ORDER BY n)")} AS t FROM placed WHERE level = 0 GROUP BY ALL),
+parted AS (SELECT DISTINCT doc_id FROM bodies WHERE t <> '' AND doc_id IN (SELECT doc_id FROM heads)),
+src AS (SELECT doc_id || '|' || s AS k, t FROM bodies WHERE doc_id IN (SELECT doc_id FROM parted) AND t <> '' UNION ALL SELECT doc_id || '|', {_trimmed("text")} FROM split WHERE doc_id NOT IN (SELECT doc_id FROM parted)),
+{_WALK},
+pieces AS (SELECT CAST(split_part(k, '|', 1) AS BIGINT) AS doc_id, coalesce(try_cast(split_part(k, '|', 2) AS BIGINT), 0) AS s, i, content FROM (SELECT k, i, {_trimmed("piece")} AS content FROM walk WHERE piece IS NOT NULL) WHERE content <> '')
+SELECT c.doc_id, CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY c.s, c.i) - 1 AS INTEGER) AS chunk_index, c.content, array_to_string(coalesce(p.path, []), ' > ') AS section_path, coalesce(p.title, '') AS heading, CAST(coalesce(p.level, 0) AS INTEGER) AS heading_level
+FROM pieces c LEFT JOIN paths p ON p.doc_id = c.doc_id AND p.s = c.s"""
 
 
 @query(_SPLIT)
@@ -104,9 +123,10 @@ def char_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_documents(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "content")
 
 
-@query()
+@query(_MARKDOWN)
 def markdown_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split.split_documents(read(spark, sf_dir, "documents"), "doc_id", "text", markdown=True)
+    pieces = split.split_documents(read(spark, sf_dir, "documents"), "doc_id", "text", markdown=True)
+    return pieces.select("doc_id", "chunk_index", "content", F.array_join("section_path", " > ").alias("section_path"), "heading", "heading_level")
 
 
 @query("""SELECT doc_id, k, v FROM (SELECT doc_id, unnest(map_entries(metadata)).key AS k, unnest(map_entries(metadata)).value AS v FROM documents) WHERE k NOT IN ('source_id', 'version', 'checksum', 'embedding_version')
@@ -212,7 +232,15 @@ def pack_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.pack_plan(lexical_hits(spark, sf_dir)).select("query_id", "chunk_id", "rank", "cost", "used", "state")
 
 
-@query()
+_MARK = f"' {post.TRUNCATED.strip()}'"
+_CUT = f"""{_PACK}, cuts AS (SELECT s.query_id, s.chunk_id, s.rank, coalesce(h.content, '') AS content, {fields_sql("h.content")} AS w, 300 - (s.used - s.cost) AS room, {_estimate_sql("'[' || s.chunk_id || '] '")} AS base FROM states s JOIN hitrows h USING (query_id, chunk_id) WHERE s.over = 1),
+units AS (SELECT *, CASE WHEN len(w) > 1 THEN w ELSE string_split(content, '') END AS u FROM cuts),
+tries AS (SELECT *, unnest(range(1, len(u) + 1)) AS m FROM units WHERE room > base + 2 AND room - base > {_estimate_sql(_MARK)}),
+fitting AS (SELECT query_id, chunk_id, max(m) AS m FROM tries WHERE {_estimate_sql(f"CASE WHEN len(w) > 1 THEN array_to_string(u[1:m], ' ') ELSE array_to_string(u[1:m], '') END || {_MARK}")} <= room - base GROUP BY ALL)"""
+
+
+@query(f"""WITH {_CUT} SELECT s.query_id, s.chunk_id, s.rank, h.content, CASE WHEN s.over = 0 THEN 'selected' ELSE 'dropped' END AS state FROM states s JOIN hitrows h USING (query_id, chunk_id) WHERE s.over <> 1
+UNION ALL SELECT c.query_id, c.chunk_id, c.rank, CASE WHEN f.m IS NULL THEN h.content ELSE CASE WHEN len(c.w) > 1 THEN array_to_string(c.u[1:f.m], ' ') ELSE array_to_string(c.u[1:f.m], '') END || {_MARK} END, CASE WHEN f.m IS NULL THEN 'dropped' ELSE 'truncated' END FROM units c JOIN hitrows h USING (query_id, chunk_id) LEFT JOIN fitting f USING (query_id, chunk_id)""")
 def pack_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.pack(lexical_hits(spark, sf_dir))
 
