@@ -29,11 +29,6 @@ def leg_places(hits: DataFrame, query: str = "query_id", leg: str = "leg", item:
 
     Only counts by bucket are summed over a whole group; its rows are sorted bucket by bucket.
     """
-    return _places(hits, query, leg, item, score)[0]
-
-
-def _places(hits: DataFrame, query: str = "query_id", leg: str = "leg", item: str = "chunk_id", score: str = "score") -> tuple[DataFrame, DataFrame]:
-    """leg_places, and (query_id, leg, n)."""
     known = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(query).isNotNull() & F.col(leg).isNotNull() & F.col(item).isNotNull()
     best = (
         hits.where(known)
@@ -53,10 +48,9 @@ def _places(hits: DataFrame, query: str = "query_id", leg: str = "leg", item: st
     inside = Window.partitionBy("_q", "_leg", "_bucket")
     placed = best.join(blocks, ["_q", "_leg", "_bucket"]).withColumn("_place", F.col("_above") + F.rank().over(inside.orderBy(F.desc("_score"))))
     same = F.count("*").over(Window.partitionBy("_q", "_leg", "_bucket", "_score"))
-    rows = placed.select(
+    return placed.select(
         F.col("_q").alias("query_id"), F.col("_leg").alias("leg"), F.col("_item").alias("chunk_id"), F.col("_score").alias("score"), F.col("_place").alias("place"), (F.col("_place") + (same - 1) / 2).alias("mean_place"), F.col("_n").alias("n")
     )
-    return rows, blocks.select(F.col("_q").alias("query_id"), F.col("_leg").alias("leg"), F.col("_n").alias("n"))
 
 
 def _numbered(hits: DataFrame, names: list[str]) -> DataFrame:
@@ -77,17 +71,16 @@ def borda(hits: DataFrame, legs: Mapping[str, float]) -> DataFrame:
         raise ValueError("at least one leg is needed")
     names = sorted(legs)
     weight = F.element_at(F.array(*[F.lit(float(legs[n])) for n in names]), F.col("leg"))
-    placed, counts = _places(_numbered(hits, names))
-    # a candidate's known points and the legs they come from: all that later steps need of its places
+    placed = leg_places(_numbered(hits, names))
+    # a candidate's known points, and the sizes of the legs they come from: all that later steps need of its places
     items = placed.groupBy("query_id", "chunk_id").agg(
-        F.count("*").alias("legs"), F.max("place").alias("worst_place"), F.sum(weight * F.col("mean_place")).alias("_spent"), *[F.max(F.col("leg") == i + 1).alias(f"_has{i}") for i in range(len(names))]
+        F.count("*").alias("legs"), F.max("place").alias("worst_place"), F.sum(weight * F.col("mean_place")).alias("_spent"), *[F.max(F.when(F.col("leg") == i + 1, F.col("n"))).alias(f"_n{i}") for i in range(len(names))]
     )
     items = cut(items)  # read for the candidates of each query, for the counts by bucket and for the ranking
-    sizes = counts.groupBy("query_id").agg(*[F.max(F.when(F.col("leg") == i + 1, F.col("n"))).alias(f"_n{i}") for i in range(len(names))])
-    per_query = items.groupBy("query_id").agg(F.count("*").alias("_c")).join(sizes, "query_id")
+    per_query = items.groupBy("query_id").agg(F.count("*").alias("_c"), *[F.coalesce(F.max(f"_n{i}"), F.lit(0)).alias(f"_t{i}") for i in range(len(names))])
     whole, absent = sum(float(x) for x in legs.values()), F.lit(0.0)
     for i, name in enumerate(names):
-        absent = absent + F.when(F.col(f"_has{i}"), 0.0).otherwise(float(legs[name]) * (F.coalesce(F.col(f"_n{i}"), F.lit(0)) + 1 + F.col("_c")) / 2)
+        absent = absent + F.when(F.col(f"_n{i}").isNotNull(), 0.0).otherwise(float(legs[name]) * (F.col(f"_t{i}") + 1 + F.col("_c")) / 2)
     points = F.lit(whole) * F.col("_c") - F.col("_spent") - absent
     scored = items.join(per_query, "query_id").select("query_id", "chunk_id", "legs", "worst_place", points.alias("points")).withColumn("_bucket", score_bucket(F.col("points"), COARSE))
     above = Window.partitionBy("query_id").orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
