@@ -46,6 +46,10 @@ _CUT = re.compile(
 )
 
 
+#: The bare function behind np.clip, whose checks would cost as much as its work on small arrays.
+_clip = getattr(getattr(getattr(np, "_core", None), "umath", None), "clip", np.clip)
+
+
 @dataclass
 class Network:
     """chars: the known characters, by place; 0 is any other. Weights of both directions, tags and transitions.
@@ -116,7 +120,7 @@ class Network:
                 gates, new, old = room[: 3 * hidden * k].reshape(3 * hidden, k), squashed[: hidden * k].reshape(hidden, k), cells[: hidden * k].reshape(hidden, k)
                 np.matmul(weights, fed[way, at, :, :k], out=gates)
                 take, give, content = gates[:hidden], gates[hidden : 2 * hidden], gates[2 * hidden :]
-                np.clip(gates[: 2 * hidden], 0, 1, out=gates[: 2 * hidden])
+                _clip(gates[: 2 * hidden], 0, 1, out=gates[: 2 * hidden])
                 np.tanh(content, out=content)
                 held = cell[:, :k]
                 np.subtract(content, held, out=old)
@@ -196,7 +200,9 @@ def stretches(text: str) -> list[tuple[int, str]]:
     """(start, text) of the sentences and lines, blanks at their ends left out."""
     out: list[tuple[int, str]] = []
     at = 0
-    for end in [*(m.end() for m in _CUT.finditer(text)), len(text)]:
+    ends = [m.end() for m in _CUT.finditer(text)]
+    ends.append(len(text))
+    for end in ends:
         part = text[at:end]
         if body := part.strip():
             out.append((at if body[0] == part[0] else at + len(part) - len(part.lstrip()), body))
