@@ -27,7 +27,7 @@ import pandas as pd
 from weft.llm import pii_phrases
 from weft.llm.pii import FIRST_INSIDE, KINDS, TAGS, WEIGHTS, WINDOW, Network, Reader, load, stretches
 
-EMBED, HIDDEN, RATE = 16, 24, 0.008
+EMBED, HIDDEN, RATE = 16, 20, 0.008
 
 _U = r"[A-ZÀ-ÖØ-Þ]"
 _WORD = rf"(?:{_U}['’]?[\w'’]+(?:-{_U}?[\w'’]+)*)"
