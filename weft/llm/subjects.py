@@ -47,6 +47,7 @@ class Settings:
 LEAST = 1e-3
 
 _WORD = re.compile(r"[^\W\d_]+")
+_ASCII = re.compile("[a-z]+")
 _HAN = re.compile(r"[㐀-鿿]+")
 _NOISE = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^<>]{1,300}>|https?://\S+|&\w+;|\\[a-zA-Z]+", re.S | re.I)
 
@@ -55,8 +56,14 @@ def words(text: str) -> list[str]:
     """Lower-case words; runs of Chinese characters give their pairs of neighbours. Tags and addresses are left out."""
     if "<" in text or "\\" in text or "://" in text:
         text = _NOISE.sub(" ", text)
+    text = text.lower()
+    if text.isascii():
+        return _ASCII.findall(text)
+    found = _WORD.findall(text)
+    if not _HAN.search(text):
+        return found
     out: list[str] = []
-    for w in _WORD.findall(text.lower()):
+    for w in found:
         if w[0] < "㐀":
             out.append(w)
         else:
@@ -103,22 +110,23 @@ def infer(beta: np.ndarray, alpha: np.ndarray, ends: np.ndarray, terms: np.ndarr
     last = np.empty_like(held)
     # each document stops by itself, so that its shares don't depend on what it is read with
     running, at, first, some, many = np.arange(len(ends)), doc, starts, word, counts
+    on = np.ones(len(ends), dtype=bool)
     for step in range(steps):
         theta = np.exp(_digamma(held[running] + alpha)).astype(np.float32)
-        last[running] = theta
+        last[running[on]] = theta[on]
         odds = many / np.maximum(np.einsum("ij,ij->i", some, theta[at]), 1e-30)
         new = theta * np.add.reduceat(some * odds[:, None], first, axis=0)
         moved = np.abs(new - held[running]).sum(axis=1) / size[running]
-        held[running] = new
+        held[running[on]] = new[on]
         if step > 3:
-            on = moved >= 0.002  # less than one word in 500 still changes its topic
+            on = on & (moved >= 0.002)  # less than one word in 500 still changes its topic
             if not on.any():
                 break
-            if not on.all():
+            if on.sum() < 0.8 * len(on):  # those that stopped go when they are many
                 kept = on[at]
-                running, some, many = running[on], some[kept], many[kept]
                 lengths = np.bincount(at[kept], minlength=len(on))[on]
-                at, first = np.repeat(np.arange(len(running)), lengths), np.append(0, np.cumsum(lengths)[:-1])
+                running, some, many = running[on], some[kept], many[kept]
+                at, first, on = np.repeat(np.arange(len(running)), lengths), np.append(0, np.cumsum(lengths)[:-1]), np.ones(len(running), dtype=bool)
     share = word * last[doc]
     share /= np.maximum(share.sum(axis=1, keepdims=True), 1e-30)
     return held, share
@@ -172,7 +180,8 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
         for batch in batches:
             terms, counts, sizes = [], [], []
             for t in batch.column(1).to_pylist():
-                got = Counter(i for w in words(t) if (i := known.get(w)) is not None)
+                got = Counter(map(known.get, words(t)))
+                got.pop(None, None)
                 terms += got
                 counts += got.values()
                 sizes.append(len(got))
