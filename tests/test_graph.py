@@ -89,6 +89,18 @@ def test_resolution_compares_every_pair_of_a_type(spark):
         assert got == want
 
 
+def test_estimated_sizes_stay_small_over_rounds(spark):
+    edges = spark.createDataFrame([(f"{i:04}", f"{i + 1:04}") for i in range(300)], "a string, b string")
+    linked = G.components(edges)
+    assert linked._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+    assert {r.component for r in linked.collect()} == {"0000"}
+
+
+def test_resolution_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(G, "KINDS", 16)
+    test_resolution_compares_every_pair_of_a_type(spark)
+
+
 def graph_of(pairs):
     g = {}
     for a, b, w in pairs:

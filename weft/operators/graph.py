@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weft.functions.text import union_kept
-from weft.functions.vectors import cosine, hash_embedding
-from weft.operators.match import containing
-from weft.session import cut
+from weft.functions.vectors import hash_counts
+from weft.operators.match import STRIP, containing
+from weft.session import cut, unsized
 
 FANOUT, MAX_DEPTH = 64, 2
 DIGITS = 6
+#: Most different name vectors of a block.
+KINDS = 4096
 
 
 def normal_name(name: Column) -> Column:
@@ -173,16 +177,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) is connected with.
 
     Each round hands labels to neighbours and then jumps to the label's label, so that rounds grow
-    with the logarithm of a chain's length; every round is cut by a checkpoint.
+    with the logarithm of a chain's length; every round is cut by a checkpoint, also from what
+    Spark's planner estimates its size to be.
     """
-    both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
+    both = unsized(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct())
     labels = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node")
-    labels = cut(labels)
+    labels = unsized(labels)
     for _ in range(rounds):
         spread = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("_near"))
         near = labels.join(spread, labels.node == spread.a).select("node", F.least("label", "_near").alias("_l"), F.col("label").alias("_old"))
         jump = labels.select(F.col("node").alias("_l"), F.col("label").alias("_far"))
-        new = cut(near.join(jump, "_l", "left").select("node", F.least("_l", F.coalesce("_far", "_l")).alias("label"), "_old"))
+        new = unsized(near.join(jump, "_l", "left").select("node", F.least("_l", F.coalesce("_far", "_l")).alias("label"), "_old"))
         moved = new.where("label <> _old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
@@ -190,31 +195,60 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _stars(counts: np.ndarray, threshold: float) -> np.ndarray:
+    """For each vector of bucket counts the place of the first one that it is connected with by cosines of at least the threshold."""
+    size, first = np.linalg.norm(counts, axis=1), np.arange(len(counts))
+    left = np.arange(len(counts))
+    while len(left):
+        root, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):  # each vector is once in front, so all of this is one product of every two
+            met = np.zeros(len(left), bool)
+            for at in range(0, len(front), STRIP):
+                some = front[at : at + STRIP]
+                met |= (np.round(counts[some] @ counts[left].T / (size[some, None] * size[left]), DIGITS) >= threshold).any(axis=0)
+            front, left = left[met], left[~met]
+            first[front] = root
+    return first
+
+
+def alike_names(kinds: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): edges that connect the nodes of kinds (type, node, counts) as far as cosines of at least the threshold within a type do.
+
+    The vectors of a type are cut into blocks; every two blocks are one task's matrix product, of which
+    only one edge a vector leaves the task.
+    """
+    cuts = kinds.groupBy("type").agg(F.ceil(F.count("*") / KINDS).cast("int").alias("_of"))
+    held = kinds.join(cuts, "type").withColumn("_own", F.expr("cast(pmod(xxhash64(node), _of) as int)")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
+    held = held.where("_own <> _other or _of = 1").select("type", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), "node", "counts")
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by("node")
+        first = _stars(np.array([c.split(",") for c in table["counts"].to_pylist()], dtype=np.float64), threshold)
+        linked = np.nonzero(first != np.arange(len(first)))[0]
+        return pa.table({"a": table["node"].take(pa.array(linked)), "b": table["node"].take(pa.array(first[linked]))})
+
+    return held.groupBy("type", "_i", "_j").applyInArrow(run, "a string, b string")
+
+
 def resolve(entities: DataFrame, threshold: float = 0.92) -> DataFrame:
     """(type, name, canonical): names of one type that mean the same, by equal normal names or the cosine of their embeddings.
 
-    Every two names of a type are compared, by their different vectors. A pair can reach the
-    threshold only if, from its first common bucket on, each vector is at least that long; so vectors
-    meet in such buckets, and count in the first common one alone. The canonical name of a
+    Every two names of a type are compared, by their different vectors: names of one vector are one
+    node of the graph, those without a token one node by normal name. The canonical name of a
     component is the longest in bytes, then the smallest.
     """
     names = entities.where(F.coalesce(normal_name(F.col("name")), F.lit("")) != "").select(F.coalesce("type", F.lit("")).alias("type"), F.trim("name").alias("name")).distinct()
-    keyed = names.withColumn("_id", F.concat("type", F.lit("\x1f"), "name")).withColumn("_n", normal_name(F.col("name"))).withColumn("_v", hash_embedding(F.col("name")))
-    same = Window.partitionBy("type", "_n")
-    equal = keyed.select(F.col("_id").alias("a"), F.min("_id").over(same).alias("b"))
-    rest = lambda v, i: F.aggregate(F.slice(v, i + 1, F.size(v)), F.lit(0.0), lambda s, x: s + x * x)
-    kinds = keyed.where(F.exists("_v", lambda x: x > 0)).groupBy("type", "_v").agg(F.min("_id").alias("_first"))
-    alike = keyed.join(kinds, ["type", "_v"]).where(F.lit(threshold) <= 1).select(F.col("_id").alias("a"), F.col("_first").alias("b"))
-    least = max(0.0, threshold - 10**-DIGITS) ** 2
-    buckets = F.filter(F.sequence(F.lit(0), F.size("_v") - 1), lambda i: (F.get("_v", i) > 0) & (rest(F.col("_v"), i) >= least))
-    placed = cut(kinds.select("type", "_first", "_v", F.explode(buckets).alias("_b")))
-    left, right = placed.select("type", "_b", F.col("_first").alias("a"), F.col("_v").alias("_va")), placed.select("type", "_b", F.col("_first").alias("b"), F.col("_v").alias("_vb"))
-    common = F.array_position(F.zip_with("_va", "_vb", lambda x, y: (x > 0) & (y > 0)), F.lit(True)) - 1
-    near = left.join(right, ["type", "_b"]).where((F.col("a") < F.col("b")) & (common == F.col("_b"))).where(F.round(cosine(F.col("_va"), F.col("_vb")), DIGITS) >= threshold).select("a", "b")
-    linked = components(equal.unionByName(alike).unionByName(near))
-    placed = keyed.join(linked, keyed._id == linked.node).select("type", "name", "component")
-    heads = placed.groupBy("component").agg(F.min_by("name", F.struct(-F.octet_length("name"), F.col("name"))).alias("canonical"))
-    return placed.join(heads, "component").select("type", "name", "canonical")
+    keyed = names.withColumn("_n", normal_name(F.col("name"))).withColumn("_v", hash_counts(F.col("name")))
+    counts = F.when(F.exists("_v", lambda x: x > 0) & F.lit(threshold <= 1), F.array_join(F.transform("_v", lambda x: x.cast("int").cast("string")), ","))
+    keyed = keyed.select("type", "name", "_n", counts.alias("counts"))
+    keyed = cut(keyed.withColumn("node", F.concat("type", F.lit("\x1f"), F.coalesce("counts", F.concat(F.lit("\x1f"), "_n")))))
+    near = alike_names(keyed.where("counts is not null").select("type", "node", "counts").distinct(), threshold)
+    same = keyed.groupBy("type", "_n").agg(F.array_sort(F.collect_set("node")).alias("_s")).where(F.size("_s") > 1)
+    equal = same.select(F.explode(F.slice("_s", 2, F.size("_s") - 1)).alias("a"), F.get("_s", F.lit(0)).alias("b"))
+    longest = F.min_by("name", F.struct(-F.octet_length("name"), F.col("name")))
+    placed = keyed.groupBy("node").agg(longest.alias("name")).join(components(equal.unionByName(near)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = placed.groupBy("component").agg(longest.alias("canonical"))
+    return keyed.join(placed.join(heads, "component").select("node", "canonical"), "node").select("type", "name", "canonical")
 
 
 def rewrite(entities: DataFrame, relations: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:

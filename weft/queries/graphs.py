@@ -284,7 +284,7 @@ resolved AS (SELECT type, name, arg_min(other, (-strlen(other), other)) AS canon
 
 @query(f"WITH {_RESOLVED} SELECT type, name, canonical FROM resolved")
 def resolve_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.resolve(extracted(spark, sf_dir)[0])
+    return graph.resolve(read(spark, sf_dir, "entities"))
 
 
 @query(f"""WITH {_RESOLVED}, best AS (SELECT name, arg_min(canonical, (-strlen(canonical), canonical)) AS target FROM resolved GROUP BY name)

@@ -42,6 +42,16 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """Like ``cut``, and without the size that a checkpoint inherits from its plan.
+
+    That size is a product over joins: in a loop its digits double with each round, until the driver holds little else.
+    """
+    kept = cut(df)
+    spark = kept.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+
+
 _SHIPPED: set[str] = set()
 
 
