@@ -5,9 +5,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from weft.functions.vectors import DIMENSION, _counts
+from weft.functions.vectors import DIMENSION, _counts, token_bucket
 from weft.operators import community as C
 from weft.operators import graph as G
+from weft.queries import graphs
 
 NODES = "entity_id string, name string, type string, description string, source_chunk_ids array<string>"
 EDGES = "relation_id string, source string, target string, relation string, description string, weight double, source_chunk_ids array<string>"
@@ -101,6 +102,19 @@ def test_resolution_over_blocks(spark, monkeypatch):
     test_resolution_compares_every_pair_of_a_type(spark)
 
 
+def test_rewritten_relations_have_small_estimates(spark, tmp_path):
+    words = list({token_bucket(f"w{i}"): f"w{i}" for i in range(99)}.values())[:10]
+    names = [" ".join([a] * m + [b] * n) for a, b in zip(words, words[1:]) for m, n in ((5, 1), (5, 3), (5, 5), (3, 5), (1, 5))]
+    rows = [(i, f" {n}", "t", "", ["c"]) for i, n in enumerate([*names, *names, "other"])]
+    spark.createDataFrame(rows, "entity_id long, name string, type string, description string, source_chunk_ids array<string>").write.parquet(f"{tmp_path}/entities.parquet")
+    ends = [(1, f"{names[0]} ", "other"), (1, f"{names[0]} ", "other"), (2, None, names[-1]), (3, "gone ", " ")]
+    spark.createDataFrame([(i, "n", s, t, None) for i, s, t in ends], "relation_id long, namespace string, source string, target string, description string").write.parquet(f"{tmp_path}/relations.parquet")
+    got = graphs.resolve_rewrite(spark, str(tmp_path))
+    assert got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 2000
+    head = min(names, key=lambda n: (-len(n), n))
+    assert sorted((r.relation_id, r.source, r.target) for r in got.collect()) == [(1, head, "other"), (2, None, head), (3, "gone ", " ")]
+
+
 def graph_of(pairs):
     g = {}
     for a, b, w in pairs:

@@ -291,7 +291,7 @@ def resolve_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT DISTINCT r.relation_id, coalesce(s.target, r.source) AS source, coalesce(t.target, r.target) AS target FROM relations r LEFT JOIN best s ON s.name = trim(r.source) LEFT JOIN best t ON t.name = trim(r.target)""")
 def resolve_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relations whose ends carry the resolved names."""
-    entities, relations = extracted(spark, sf_dir)
+    entities, relations = read(spark, sf_dir, "entities"), read(spark, sf_dir, "relations")
     return graph.rewrite(entities, relations, graph.resolve(entities))[1].select("relation_id", "source", "target").distinct()
 
 
