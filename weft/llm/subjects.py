@@ -10,7 +10,7 @@ that makes up a fifth or more of its subject matter.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -46,10 +46,14 @@ class Settings:
 #: A topic's share of a word below which it doesn't count for the topic's statistics.
 LEAST = 1e-3
 
+#: Documents whose terms are listed together when they are read.
+READ = 4096
+
 _WORD = re.compile(r"[^\W\d_]+")
-_ASCII = re.compile("[a-z]+")
 _HAN = re.compile(r"[㐀-鿿]+")
-_NOISE = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^<>]{1,300}>|https?://\S+|&\w+;|\\[a-zA-Z]+", re.S | re.I)
+# Every branch begins with a letter as it stands, so the search leaps to those letters; case is left open after them.
+_NOISE = re.compile(r"<(?i:(script|style)\b.*?</\1\s*>)|<[^<>]{1,300}>|h(?i:ttps?://\S+)|H(?i:ttps?://\S+)|&\w+;|\\(?i:[a-zA-Z]+)", re.S)
+_ASCII = bytes(c if chr(c).isalpha() else 32 for c in range(128)) + b" " * 128
 
 
 def words(text: str) -> list[str]:
@@ -58,7 +62,7 @@ def words(text: str) -> list[str]:
         text = _NOISE.sub(" ", text)
     text = text.lower()
     if text.isascii():
-        return _ASCII.findall(text)
+        return text.encode().translate(_ASCII).decode().split()
     found = _WORD.findall(text)
     if not _HAN.search(text):
         return found
@@ -157,17 +161,30 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
     names = list(subjects)
     slim = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where(F.col("_key").isNotNull() & F.col("_text").isNotNull())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        for batch in batches:
-            for t in batch.column(0).to_pylist():
-                seen.update(set(words(t)))
-            if len(seen) > 500_000:  # partial counts are summed later anyway
-                yield pa.RecordBatch.from_pydict({"term": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
-
-    found = slim.select("_text").mapInArrow(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= s.least_documents)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are taken apart once: some documents' words with the number of those that have each, then a row for each of them."""
+        for whole in batches:
+            for at in range(0, whole.num_rows, READ):
+                batch = whole.slice(at, READ)
+                listed: defaultdict[str, int] = defaultdict()
+                listed.default_factory = listed.__len__
+                terms, counts, sizes = [], [], []
+                for t in batch.column(1).to_pylist():
+                    got = Counter(words(t))
+                    terms += map(listed.__getitem__, got)
+                    counts += got.values()
+                    sizes.append(len(got))
+                places, n = np.array(terms, dtype=np.int32), len(listed)
+                one, rows = pa.array([0, n], pa.int32()), pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
+                have = pa.ListArray.from_arrays(one, pa.array(np.bincount(places, minlength=n).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, batch.column(0).type), pa.nulls(1, have.type), have, pa.ListArray.from_arrays(one, pa.array(list(listed), pa.string()))], columns)
+                lists = [pa.ListArray.from_arrays(rows, pa.array(x)) for x in (places, np.array(counts, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists, pa.nulls(len(sizes), pa.list_(pa.string()))], columns)
+
+    columns = ["_key", "_terms", "_counts", "_words"]
+    coded = cut(slim.mapInArrow(read, f"_key {kind}, _terms array<int>, _counts array<int>, _words array<string>"))
+    lists = coded.where(F.col("_words").isNotNull()).select(F.explode(F.arrays_zip("_words", "_counts")).alias("_e"))
+    found = lists.groupBy(F.col("_e._words").alias("term")).agg(F.sum("_e._counts").alias("n")).where(F.col("n") >= s.least_documents)
     listed = found.orderBy(F.desc("n"), F.asc("term")).limit(s.terms).collect()  # at most s.terms rows
     place = {r.term: i for i, r in enumerate(listed)}
     out = f"_key {kind}, subject string, share double"
@@ -175,21 +192,24 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
         return slim.select("_key", F.lit("").alias("subject"), F.lit(0.0).alias("share")).where("false").withColumnRenamed("_key", key)
     shared = documents.sparkSession.sparkContext.broadcast(place)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents' terms by their places in the vocabulary; their rows stand behind those of their words."""
+        places = np.empty(0, np.int32)
         for batch in batches:
-            terms, counts, sizes = [], [], []
-            for t in batch.column(1).to_pylist():
-                got = Counter(map(known.get, words(t)))
-                got.pop(None, None)
-                terms += got
-                counts += got.values()
-                sizes.append(len(got))
-            ends = pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(np.array(x, dtype=np.int32))) for x in (terms, counts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["_key", "_terms", "_counts"])
-
-    coded = cut(slim.mapInArrow(encode, f"_key {kind}, _terms array<int>, _counts array<int>"))
+            heads = np.flatnonzero(batch.column(3).is_valid())
+            for a, b in zip([-1, *heads.tolist()], [*heads.tolist(), batch.num_rows]):
+                if a >= 0:
+                    places = np.array([shared.value.get(w, -1) for w in batch.column(3)[a].as_py()], np.int32)
+                part = batch.slice(a + 1, b - a - 1)
+                if not part.num_rows:
+                    continue
+                ends = part.column(1).offsets.to_numpy()
+                terms = places[part.column(1).flatten().to_numpy()]
+                some = terms >= 0
+                rows = pa.array(np.append(0, np.cumsum(some))[ends - ends[0]].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(rows, pa.array(x[some])) for x in (terms, part.column(2).flatten().to_numpy())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], columns[:3])
+
     # each task of a pass sends a matrix, so there are few of them: two for each core
     few = coded.coalesce(2 * documents.sparkSession.sparkContext.defaultParallelism)
 
@@ -217,7 +237,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
                 np.add.at(matrix[position[subject]], np.asarray(terms.values, dtype=np.int64), np.minimum(np.asarray(counts.values), 3))
         yield sums(matrix)
 
-    labelled = gather(coded.join(examples, "_key").select("_terms", "_counts", "_subject").mapInArrow(by_label, "t int, w int, n double"), len(names))
+    labelled = gather(coded.mapInArrow(known, f"_key {kind}, _terms array<int>, _counts array<int>").join(examples, "_key").select("_terms", "_counts", "_subject").mapInArrow(by_label, "t int, w int, n double"), len(names))
     if not labelled.sum():
         return slim.select("_key", F.lit("").alias("subject"), F.lit(0.0).alias("share")).where("false").withColumnRenamed("_key", key)
     topics = start(labelled, np.array([r.n for r in listed], dtype=np.float64), s)
@@ -227,7 +247,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
 
         def learn(batches: Iterator[pa.RecordBatch], beta: np.ndarray = beta, alpha: np.ndarray = alpha) -> Iterator[pa.RecordBatch]:
             matrix = np.zeros((k, v))
-            for batch in batches:
+            for batch in known(batches):
                 for _, ends, terms, counts in _batches(batch):
                     _, share = infer(beta, alpha, ends, terms, counts, s.steps)
                     share[share < LEAST] = 0  # by word and document, so partitions don't matter; keeps the sums sparse
@@ -242,7 +262,7 @@ def subjects_of(documents: DataFrame, labels: DataFrame, subjects: Sequence[str]
     beta, alpha, subject = topics.logs(), topics.alpha, topics.subject
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in known(batches):
             for keys, ends, terms, counts in _batches(batch):
                 held, _ = infer(beta, alpha, ends, terms, counts, 2 * s.steps)
                 matter = np.stack([held[:, subject == i].sum(axis=1) for i in range(len(names))], axis=1)
