@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -363,3 +365,49 @@ def test_subjects_take_texts_apart_once(spark):
     assert {(r.id, r.subject) for r in got} == {(i, names[i % 4]) for i in range(60)}
     assert read.value == 60
     assert subjects.words(rows[0][1]) == [*topics["law"].split(), "the", "note", "ärger", "法庭", "庭内"]
+
+
+def test_network_equals_its_plain_form():
+    import numpy as np
+
+    net = pii.load(pii.weights())
+    x = np.linspace(-1, 1, 2001).astype(np.float32)
+    twice, out = np.r_[2 * x, -1e4, 1e4].astype(np.float32), np.empty_like(x)
+    with np.errstate(over="ignore"):
+        pii.tanh_of_half(twice)
+    pii.state_of(x, out, np.empty_like(x))
+    assert np.abs(twice - np.r_[np.tanh(x), -1, 1]).max() < 1e-6 and np.abs(out * pii.STATE - np.tanh(x)).max() < 1e-6
+    lengths = np.array([40, 33, 33, 7, 1])
+    for _ in range(2):  # what the first left behind must not matter
+        ids = np.random.default_rng(3).integers(0, len(net.embed), (40, len(lengths)))
+        with np.errstate(over="ignore"):
+            got = net.emissions(ids, lengths)
+        for i, size in enumerate(lengths):
+            states = np.zeros((2, size, len(net.u[0])))
+            for way in (0, 1):
+                h = c = np.zeros(len(net.u[0]))
+                for t in range(size) if way == 0 else range(size - 1, -1, -1):
+                    take, give, content = np.split(h @ net.u[way] + net.embed[ids[t, i]] @ net.w[way] + net.b[way], 3)
+                    c = c + np.clip(take / 4 + 0.5, 0, 1) * (np.tanh(content) - c)
+                    h = states[way, t] = np.tanh(c) * np.clip(give / 4 + 0.5, 0, 1)
+            assert np.abs(np.concatenate(states, axis=1) @ net.out + net.bias - got[:size, :, i]).max() < 1e-3
+        net.emissions(ids[:20, ::-1], np.full(len(lengths), 20))
+
+
+def test_cuts_are_found_by_leaps():
+    """The cuts of the plain pattern, in less than its time."""
+    lines = r"[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+    plain = re.compile(lines + r"|[。！？](?=[^\n])|>(?=[^\W\d_a-z])|[.!?](?<=[^\W\d_]{4}[.!?])(?:(?=<)| (?=[^\W\d_a-zß-ÿ]))")
+    rng = random.Random(8)
+    for _ in range(3000):
+        text = "".join(rng.choice("abcdZÉé.!? <>\n\r。！？中\x85\u2028\x1d_9") for _ in range(60))
+        assert [m.span() for m in pii._CUT.finditer(text)] == [m.span() for m in plain.finditer(text)]
+    text = "The note says that a reader may find more on this page below. " * 2000
+
+    def seconds(pattern):
+        began = time.process_time()
+        assert sum(1 for _ in pattern.finditer(text)) == 1999
+        return time.process_time() - began
+
+    took = [(seconds(pii._CUT), seconds(plain)) for _ in range(7)]
+    assert min(a for a, _ in took) < 0.8 * min(b for _, b in took)
